@@ -34,6 +34,14 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(F.when(known, value * weight)), F.sum(F.when(known, weight)))
 
 
+def pearson(x: Column | str, y: Column | str) -> Column:
+    """Aggregate: Pearson correlation of complete pairs, NULL where either side is constant."""
+    x, y = (F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def share(condition: Column) -> Column:
     """Aggregate: fraction of rows for which the condition holds (unknown counts as not)."""
     return F.avg(F.when(condition, 1.0).otherwise(0.0))

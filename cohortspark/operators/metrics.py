@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.stats import share
+from cohortspark.functions.stats import pearson, share
 from cohortspark.operators import ranks
 
 
@@ -33,9 +33,11 @@ def score_histogram(
     )
 
 
-def ranking_from_histogram(hist: DataFrame, by: Sequence[str] = (), edges: Sequence[float] | None = None) -> DataFrame:
+def ranking_from_histogram(
+    hist: DataFrame, by: Sequence[str] = (), edges: Sequence[float] | None = None, scale_of: str | None = None,
+) -> DataFrame:
     """roc_auc, pr_auc, ks, brier, prevalencia, n and the F1 threshold per stratum."""
-    c = ranks.cumulate(hist, "score", ["n_pos", "n_neg"], by, edges)
+    c = ranks.cumulate(hist, "score", ["n_pos", "n_neg"], by, edges, scale_of)
     pos, neg = F.col("n_pos_total").cast("double"), F.col("n_neg_total").cast("double")
     both = (pos > 0) & (neg > 0)
     true_pos = F.col("n_pos_total") - F.col("n_pos_before")
@@ -82,7 +84,8 @@ def auc_by_feature(df: DataFrame, label: str, features: Sequence[str]) -> DataFr
     filled = df.agg(*[share(F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))).alias(f) for f in features])
     available = filled.select(F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).alias("pct_disponivel")) for f in features])).alias("p")).select("p.*")
-    scored = auc(long, label, "value", ["feature"])
+    hist = score_histogram(long, label, "value", ["feature"])
+    scored = ranking_from_histogram(hist, ["feature"], scale_of="feature").select("feature", F.col("roc_auc").alias("auc"))
     return available.join(scored, "feature", "left").withColumn(
         "auc_orientada", F.greatest("auc", 1 - F.col("auc")))
 
@@ -191,6 +194,6 @@ def group_fit(
     return table.where(F.col("n") >= F.col("porte_minimo")).groupBy("porte_minimo").agg(
         F.count(F.lit(1)).alias("n_municipios"),
         (1 - F.try_divide(F.sum((o - p) * (o - p)), F.var_pop(o) * F.count(o))).alias("r2"),
-        F.corr(o, p).alias("correlacao"),
+        pearson(o, p).alias("correlacao"),
         F.avg(p - o).alias("vies_medio"),
     )

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.stats import share, wilson
+from cohortspark.functions.stats import pearson, share, wilson
 from cohortspark.operators import aggregates, metrics, ranks, resample
 from cohortspark.operators.quality import QualityError, _weighted_spearman
 
@@ -110,7 +110,7 @@ def persistence_point(lag: DataFrame, current: DataFrame, key: str, minimums: Se
         "*", F.explode(F.array(*[F.lit(m) for m in minimums])).alias("porte_minimo")).where(
         (F.col("n_lag") >= F.col("porte_minimo")) & (F.col("n_atual") >= F.col("porte_minimo")))
     point = long.groupBy("porte_minimo").agg(
-        F.count(F.lit(1)).alias("n_unidades"), F.corr("taxa_lag", "taxa_atual").alias("corr_pearson"))
+        F.count(F.lit(1)).alias("n_unidades"), pearson("taxa_lag", "taxa_atual").alias("corr_pearson"))
     counted = long.groupBy("porte_minimo", F.col("taxa_lag").alias("_x"), F.col("taxa_atual").alias("_y")).agg(
         F.count(F.lit(1)).alias("n"))
     rank_corr = _weighted_spearman(counted, ["porte_minimo"]).withColumnRenamed("spearman", "corr_spearman")
@@ -120,7 +120,7 @@ def persistence_point(lag: DataFrame, current: DataFrame, key: str, minimums: Se
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every column pair (upper triangle) in one aggregate of p·(p−1)/2 buffers."""
     names = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in enumerate(names)])
+    row = df.agg(*[pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in enumerate(names)])
     return row.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"`{i}`").alias("correlacao"))
         for i, (a, b) in enumerate(names)])).alias("p")).select("p.*")
@@ -162,7 +162,7 @@ def goal_determinism(goals: DataFrame, columns: Sequence[str], base: str = "taxa
     table = long.groupBy("meta").agg(
         F.count_distinct("v").alias("n_valores_distintos"), share(F.col("v").isNull()).alias("pct_nulo"),
         F.avg("v").alias("media"), F.stddev_samp("v").alias("desvio_padrao"), pairs.alias("_pairs"),
-        F.corr("v", "b").alias("_c"))
+        pearson("v", "b").alias("_c"))
     return table.withColumn("corr_com_taxa_base", F.when(
         (F.col("n_valores_distintos") > 1) & (F.col("_pairs") > 2), F.col("_c"))).drop("_pairs", "_c")
 

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.contracts import CONSISTENCY_TOLERANCE_PP, MAX_CRITICAL_NULL_PCT, MAX_ORPHAN_PCT
-from cohortspark.functions.stats import share
+from cohortspark.functions.stats import pearson, share
 from cohortspark.operators import metrics, ranks
+from cohortspark.session import materialize
 
 log = logging.getLogger(__name__)
 DIMENSION_PROBES = {"municipio": ("id_municipio", "nome_municipio"), "uf": ("sigla_uf", "nome_uf")}
@@ -156,7 +157,7 @@ def agreement(observed: DataFrame, published: DataFrame, key: str, a: str, b: st
     pair = observed.select(key, F.col(a).alias("_a")).join(published.select(key, F.col(b).alias("_b")), key)
     pair = pair.where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
     return pair.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("mae"),
-                    F.corr("_a", "_b").alias("correlacao"))
+                    pearson("_a", "_b").alias("correlacao"))
 
 
 def consistency_rate(df: DataFrame, difference: str, tolerance: float = CONSISTENCY_TOLERANCE_PP) -> DataFrame:
@@ -172,10 +173,12 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return _weighted_spearman(counted)
 
 
-def _weighted_spearman(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def _weighted_spearman(counted: DataFrame, by: Sequence[str] = (), scale_of: str | None = None) -> DataFrame:
+    counted = materialize(counted)
+
     def ranks_of(column: str, out: str) -> DataFrame:
         hist = counted.groupBy(*by, column).agg(F.sum("n").alias("n"))
-        c = ranks.cumulate(hist, column, ["n"], by)
+        c = ranks.cumulate(hist, column, ["n"], by, scale_of=scale_of)
         return c.select(*by, column, (F.col("n_before") + (F.col("n") + 1) / 2).alias(out))
 
     joined = ranks._join(counted, ranks_of("_x", "rx"), [*by, "_x"])
@@ -196,7 +199,7 @@ def feature_target_spearman(df: DataFrame, target: str, features: Sequence[str])
     long = df.select(F.col(target).cast("double").alias("_y"), F.explode(pairs).alias("p")).select("_y", "p.*")
     counted = long.where(F.col("_x").isNotNull() & F.col("_y").isNotNull()).groupBy("feature", "_x", "_y").agg(
         F.count(F.lit(1)).alias("n"))
-    return _weighted_spearman(counted, ["feature"]).select("feature", F.abs("spearman").alias("spearman_abs"))
+    return _weighted_spearman(counted, ["feature"], "feature").select("feature", F.abs("spearman").alias("spearman_abs"))
 
 
 def enforce_no_leak(df: DataFrame, target: str, features: Sequence[str], limit: float = 0.95) -> None:
@@ -212,7 +215,7 @@ def deterministic_cut(df: DataFrame, label: str, measure: str, declared: float)
         F.count(F.lit(1)).alias("n"),
         F.max(F.when(F.col(label) == 0, F.col(measure))).alias("maximo_classe_0"),
         F.min(F.when(F.col(label) == 1, F.col(measure))).alias("minimo_classe_1"),
-        F.corr(measure, label).alias("correlacao"))
+        pearson(measure, label).alias("correlacao"))
     return base.select(
         "n", "maximo_classe_0", "minimo_classe_1", F.lit(float(declared)).alias("limiar_declarado"),
         (F.col("maximo_classe_0") >= F.col("minimo_classe_1")).alias("ha_sobreposicao"), "correlacao",

@@ -43,6 +43,30 @@ def add_bucket(df: DataFrame, value: str, edges: Sequence[float], out: str = _B)
     )
 
 
+MAX_EDGE_LEVELS = 500
+
+
+def fit_edges_by(df: DataFrame, value: str, level: str, buckets: int | None = None) -> dict[str, list[float]] | None:
+    """Cut points per level of a short list (feature names); None if the list is not short."""
+    buckets = min(buckets or shuffle_width(df.sparkSession), 256)
+    probs = [i / buckets for i in range(1, buckets)]
+    rows = df.groupBy(F.col(level).cast("string").alias("k")).agg(
+        F.percentile_approx(F.col(value).cast("double"), probs, 4 * buckets).alias("e")).limit(MAX_EDGE_LEVELS + 1).collect()
+    if len(rows) > MAX_EDGE_LEVELS or any(r["k"] is None for r in rows):
+        return None
+    return {r["k"]: sorted({float(e) for e in (r["e"] or []) if math.isfinite(e)}) or [0.0] for r in rows}
+
+
+def add_bucket_by(df: DataFrame, value: str, level: str, edges: Mapping[str, Sequence[float]], out: str = _B) -> DataFrame:
+    """As :func:`add_bucket` with the cut points of the row's own level."""
+    if not edges:
+        return df.withColumn(out, F.lit(0))
+    own = F.create_map(*[c for k, es in edges.items() for c in (F.lit(k), F.array(*[F.lit(e) for e in es]))])[F.col(level).cast("string")]
+    v = F.col(value).cast("double")
+    below = F.size(F.filter(own, lambda e: e < v))
+    return df.withColumn(out, (2 * below + F.when(F.array_contains(own, v), 1).otherwise(0)).cast("int"))
+
+
 def _offsets(totals: DataFrame, measures: Sequence[str], by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Prefix sums over the bucket totals only: as many rows as there are buckets."""
     key = [F.col(c) for c in by] or [F.lit(0)]
@@ -67,16 +91,19 @@ def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def cumulate(
     hist: DataFrame, value: str, measures: Sequence[str], by: Sequence[str] = (),
-    edges: Sequence[float] | None = None,
+    edges: Sequence[float] | None = None, scale_of: str | None = None,
 ) -> DataFrame:
     """Running totals in ascending value order over a histogram with one row per (by, value).
 
-    Adds ``<m>_before`` (strictly lower values) and ``<m>_total`` for every measure.
+    Adds ``<m>_before`` (strictly lower values) and ``<m>_total`` for every measure. ``scale_of`` names
+    a ``by`` column with few levels (features) whose values live on different scales.
     """
+    own_edges = None
     if edges is None:
         hist = materialize(hist)
-        edges = fit_edges(hist, value)
-    rows = add_bucket(hist, value, edges)
+        own_edges = fit_edges_by(hist, value, scale_of) if scale_of else None
+        edges = fit_edges(hist, value) if own_edges is None else None
+    rows = add_bucket(hist, value, edges) if own_edges is None else add_bucket_by(hist, value, scale_of, own_edges)
     totals = rows.groupBy(*by, _B).agg(*[F.sum(m).alias(m) for m in measures])
     joined = _join(rows, _offsets(totals, measures, by, [_B]), [*by, _B])
     local = Window.partitionBy(*by, _B).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -88,7 +115,7 @@ def cumulate(
 
 
 def quantiles(
-    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (),
+    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), scale_of: str | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, for groups of any size.
 
@@ -96,7 +123,7 @@ def quantiles(
     counted, ranked by range buckets, and only the two order statistics per quantile are kept.
     """
     hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = cumulate(hist, value, ["_n"], by)
+    ranked = cumulate(hist, value, ["_n"], by, scale_of=scale_of)
     picks, names = [], []
     for name, p in probs.items():
         position = F.round((F.col("_n_total") - 1) * F.lit(float(p)), 9)
@@ -144,11 +171,11 @@ def row_number(
         rows = rows.withColumn(_SUB, F.when(F.col(_B) % 2 == 0, F.col("_tie_b")).otherwise(0)).drop("_tie", "_tie_b")
     else:
         rows = rows.withColumn(_SUB, F.lit(0))
-    totals = rows.groupBy(*by, _B, _SUB).agg(F.count(F.lit(1)).alias("n"))
-    joined = _join(rows, _offsets(totals, ["n"], by, [_B, _SUB]), [*by, _B, _SUB])
+    totals = rows.groupBy(*by, _B, _SUB).agg(F.count(F.lit(1)).alias("_cnt"))
+    joined = _join(rows, _offsets(totals, ["_cnt"], by, [_B, _SUB]), [*by, _B, _SUB])
     local = Window.partitionBy(*by, _B, _SUB).orderBy(_V, tie)
-    extra = [F.col("_t_n").alias(with_total)] if with_total else []
-    ranked = joined.select(*plain, (F.col("_o_n") + F.row_number().over(local)).alias(out), *extra)
+    extra = [F.col("_t__cnt").alias(with_total)] if with_total else []
+    ranked = joined.select(*plain, (F.col("_o__cnt") + F.row_number().over(local)).alias(out), *extra)
     blank = [F.lit(None).cast("bigint").alias(c) for c in [out] + ([with_total] if with_total else [])]
     return ranked.unionByName(ordered.where(F.col(_V).isNull()).select(*plain, *blank))
 
@@ -164,15 +191,15 @@ def tied_rank(
     rows = add_bucket(known, _V, fit_edges(known, _V))
     spread = F.pmod(F.xxhash64(*plain), F.lit(shuffle_width(df.sparkSession))).cast("int")
     rows = rows.withColumn(_SUB, F.when(F.col(_B) % 2 == 0, spread).otherwise(0))
-    totals = rows.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("n"))
-    offsets = _offsets(totals.withColumn("size", F.col("n")), ["n"], by, [_B])
+    totals = rows.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_cnt"))
+    offsets = _offsets(totals, ["_cnt"], by, [_B])
     joined = _join(_join(rows, totals, [*by, _B]), offsets, [*by, _B])
     local = Window.partitionBy(*by, _B, _SUB).orderBy(_V)
     same = Window.partitionBy(*by, _B, _SUB, _V)
     single = F.col(_B) % 2 == 0
     first = F.when(single, F.lit(1)).otherwise(F.rank().over(local))
-    ties = F.when(single, F.col("n")).otherwise(F.count(F.lit(1)).over(same))
-    rank = F.col("_o_n") + first + ((ties - 1) / 2 if method == "average" else F.lit(0))
+    ties = F.when(single, F.col("_cnt")).otherwise(F.count(F.lit(1)).over(same))
+    rank = F.col("_o__cnt") + first + ((ties - 1) / 2 if method == "average" else F.lit(0))
     rank = rank.cast("double" if method == "average" else "bigint")
     ranked = joined.select(*plain, rank.alias(out))
     blank = ordered.where(F.col(_V).isNull()).select(*plain, F.lit(None).cast(rank_type(method)).alias(out))
@@ -224,10 +251,10 @@ def hash_position(
     bits = max(3, math.ceil(math.log2(shuffle_width(df.sparkSession))))
     rows = df.withColumn("_h", F.xxhash64(F.lit(seed), F.lit(salt), *key))
     rows = rows.withColumn(_B, F.shiftright("_h", 64 - bits).cast("int"))
-    totals = rows.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("n"))
-    joined = _join(rows, _offsets(totals, ["n"], by, [_B]), [*by, _B])
+    totals = rows.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_cnt"))
+    joined = _join(rows, _offsets(totals, ["_cnt"], by, [_B]), [*by, _B])
     local = Window.partitionBy(*by, _B).orderBy("_h", *key)
-    return joined.select(*plain, (F.col("_o_n") + F.row_number().over(local)).alias(out))
+    return joined.select(*plain, (F.col("_o__cnt") + F.row_number().over(local)).alias(out))
 
 
 def running_sum(df: DataFrame, order: str, measure: str, out: str) -> DataFrame:

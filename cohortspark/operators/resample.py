@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.contracts import SEED
-from cohortspark.functions.stats import t_quantile_975, t_two_sided_p
+from cohortspark.functions.stats import pearson, t_quantile_975, t_two_sided_p
 from cohortspark.operators import metrics, ranks
 from cohortspark.session import materialize
 
@@ -60,9 +60,10 @@ def cluster_bootstrap(
     edges = ranks.fit_edges(hist, "score")
     drawn = hist.join(weights, group).groupBy("rep", "score").agg(
         F.sum(F.col("n_pos") * F.col("w")).alias("n_pos"), F.sum(F.col("n_neg") * F.col("w")).alias("n_neg"))
-    replicated = metrics.ranking_from_histogram(drawn, ["rep"], edges).where(F.col("roc_auc").isNotNull())
+    replicated = metrics.ranking_from_histogram(drawn, ["rep"], edges).where(F.col("roc_auc").isNotNull()).select(
+        "rep", *names[:3])
     flat = hist.groupBy("score").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
-    point = metrics.ranking_from_histogram(flat, (), edges)
+    point = metrics.ranking_from_histogram(flat, (), edges).select(*names[:3])
     if additive:
         sums = materialize(df.groupBy(group).agg(
             F.count(F.lit(1)).alias("_n"), *[F.sum(c.cast("double")).alias(a) for a, c in additive.items()]))
@@ -135,7 +136,7 @@ def correlation_bootstrap(
         F.sqrt((n * F.col("sxx") - F.col("sx") ** 2) * (n * F.col("syy") - F.col("sy") ** 2)))
     interval = moments.select(*by, r.alias("r")).groupBy(*by).agg(
         F.percentile("r", F.lit(0.025)).alias("ic_low"), F.percentile("r", F.lit(0.975)).alias("ic_high"))
-    point = placed.groupBy(*by).agg(F.corr("x", "y").alias("corr_pearson"), F.count(F.lit(1)).alias("n_unidades"))
+    point = placed.groupBy(*by).agg(pearson("x", "y").alias("corr_pearson"), F.count(F.lit(1)).alias("n_unidades"))
     if by:
         return point.join(interval, list(by))
     return point.withColumn("i", interval.select(F.struct("ic_low", "ic_high").alias("i")).scalar()).select(
