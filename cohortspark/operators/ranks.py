@@ -122,13 +122,13 @@ def quantiles(
     ``probs`` maps output names to probabilities. A group is never gathered: the distinct values are
     counted, ranked by range buckets, and only the two order statistics per quantile are kept.
     """
-    hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = cumulate(hist, value, ["_n"], by, scale_of=scale_of)
+    hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_rows"))
+    ranked = cumulate(hist, value, ["_rows"], by, scale_of=scale_of)
     picks, names = [], []
     for name, p in probs.items():
-        position = F.round((F.col("_n_total") - 1) * F.lit(float(p)), 9)
+        position = F.round((F.col("_rows_total") - 1) * F.lit(float(p)), 9)
         for side, index in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            inside = (F.col("_n_before") <= index) & (index < F.col("_n_before") + F.col("_n"))
+            inside = (F.col("_rows_before") <= index) & (index < F.col("_rows_before") + F.col("_rows"))
             picks.append(F.max(F.when(inside, F.col(value).cast("double"))).alias(f"_{name}_{side}"))
         picks.append(F.max(position - F.floor(position)).alias(f"_{name}_f"))
         names.append(name)
@@ -167,8 +167,8 @@ def row_number(
     if hot:
         # Values that fill whole ranges: their rows are cut again by the tie-break column.
         tie_edges = fit_edges(known.where(F.col(_V).isin(hot)), _tie_value(known, tie))
-        rows = add_bucket(rows.withColumn("_tie", _tie_value(known, tie)), "_tie", tie_edges, "_tie_b")
-        rows = rows.withColumn(_SUB, F.when(F.col(_B) % 2 == 0, F.col("_tie_b")).otherwise(0)).drop("_tie", "_tie_b")
+        rows = add_bucket(rows.withColumn("_tie_key", _tie_value(known, tie)), "_tie_key", tie_edges, "_tie_bucket")
+        rows = rows.withColumn(_SUB, F.when(F.col(_B) % 2 == 0, F.col("_tie_bucket")).otherwise(0)).drop("_tie_key", "_tie_bucket")
     else:
         rows = rows.withColumn(_SUB, F.lit(0))
     totals = rows.groupBy(*by, _B, _SUB).agg(F.count(F.lit(1)).alias("_cnt"))

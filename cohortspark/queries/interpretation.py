@@ -1 +1,96 @@
-"""Queries."""
+"""Attributions, permutations, coefficients and their triangulation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cohortspark import contracts as C
+from cohortspark.models import candidates as M
+from cohortspark.models import interpret, split
+from cohortspark.queries import bindings as B
+from cohortspark.queries.modelling import SMALL, matrix, small_boosting, small_logistic
+from cohortspark.queries.registry import query
+from cohortspark.session import materialize
+
+FAMILY = {f: name for name, group in C.FEATURE_FAMILIES.items() for f in group}
+BLOCKS = {name: [f for f in group if f in SMALL] for name, group in C.FEATURE_FAMILIES.items() if any(f in SMALL for f in group)}
+
+
+def families(spark):
+    return spark.createDataFrame([(f, FAMILY[f]) for f in SMALL], "feature string, familia string")
+
+
+def attributions(spark, folder):
+    rows = matrix(spark, folder)
+    scorer = small_logistic().fit(rows, C.SEED)
+    return materialize(interpret.linear_attributions(scorer, rows, 2000, keep=["fonte_lag_municipal"]))
+
+
+@query("linear_attribution_importance")
+def linear_attribution_importance(spark, folder):
+    return interpret.importance_by_column(attributions(spark, folder))
+
+
+@query("sampled_attribution_importance")
+def sampled_attribution_importance(spark, folder):
+    """Sampled Shapley values of the boosting model."""
+    rows = matrix(spark, folder)
+    scorer = small_boosting().fit(rows, C.SEED)
+    return interpret.importance_by_column(interpret.sampled_attributions(scorer, rows, SMALL, 40, 4))
+
+
+@query("attribution_by_feature")
+def attribution_by_feature(spark, folder):
+    return interpret.grouped_importance(attributions(spark, folder), None, "feature")
+
+
+@query("attribution_by_family")
+def attribution_by_family(spark, folder):
+    return interpret.grouped_importance(attributions(spark, folder), families(spark), "familia")
+
+
+@query("attribution_slice_change")
+def attribution_slice_change(spark, folder):
+    """The same reading on the whole sample and where the lag came from the own cohort."""
+    sliced = interpret.with_slices(attributions(spark, folder), "fonte_lag_municipal", C.SOURCE_GOLD)
+    return interpret.slice_change(interpret.grouped_importance(sliced, None, "feature", ["recorte"]), C.SOURCE_GOLD)
+
+
+@query("permutation_importance")
+def permutation_importance(spark, folder):
+    rows = matrix(spark, folder)
+    return interpret.permutation_importance(small_logistic().fit(rows, C.SEED), rows, SMALL[:4], 2)
+
+
+@query("block_permutation_ratio")
+def block_permutation_ratio(spark, folder):
+    rows = matrix(spark, folder)
+    scorer = small_logistic().fit(rows, C.SEED)
+    blocks = {n: BLOCKS[n] for n in ("historico_municipal", "territorial")}
+    singles = [f for b in blocks.values() for f in b]
+    return interpret.block_against_singles(
+        interpret.block_permutation(scorer, rows, blocks, 2), interpret.permutation_importance(scorer, rows, singles, 2), families(spark))
+
+
+def coefficients(spark, folder):
+    return interpret.linear_coefficients(materialize(split.folds(matrix(spark, folder), 3)), SMALL, 3)
+
+
+@query("linear_coefficients")
+def linear_coefficients(spark, folder):
+    return coefficients(spark, folder)
+
+
+@query("linear_contribution_by_feature")
+def linear_contribution_by_feature(spark, folder):
+    return interpret.contribution_by_feature(coefficients(spark, folder))
+
+
+@query("reading_triangulation")
+def reading_triangulation(spark, folder):
+    rows = materialize(split.folds(matrix(spark, folder), 2))
+    scorer = small_logistic().fit(rows, C.SEED)
+    shap = interpret.grouped_importance(materialize(interpret.linear_attributions(scorer, rows, 2000)), None, "feature")
+    singles = interpret.permutation_importance(scorer, rows, SMALL[:4], 1)
+    linear = interpret.contribution_by_feature(interpret.linear_coefficients(rows, SMALL[:4], 2))
+    return interpret.triangulate(shap, singles, linear)

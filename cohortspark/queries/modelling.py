@@ -1 +1,203 @@
-"""Queries."""
+"""Grouped splits, candidate models, calibration, search and robustness over the modelling dataset.
+
+The fitted models are small on purpose: the queries show the procedure, the parameters are arguments.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cohortspark import contracts as C
+from cohortspark.functions import cleaning
+from cohortspark.models import calibration, report, robustness, split, tuning
+from cohortspark.models import candidates as M
+from cohortspark.operators import metrics, resample
+from cohortspark.queries import bindings as B
+from cohortspark.queries.registry import query
+from cohortspark.session import materialize
+
+SMALL = ("mun_taxa_alfab_lag1", "mun_taxa_presenca_lag1", "mun_n_alunos_lag1", "uf_taxa_alfab_lag1", "tem_historico_municipio", "rede_grupo", "nome_regiao")
+
+
+_BUILT: dict[tuple[str, str], object] = {}
+
+
+def matrix(spark, folder):
+    """The modelling dataset is a stored product: built once per application and folder, then reread."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _BUILT:
+        _BUILT[key] = materialize(B.dataset(spark, folder))
+    return _BUILT[key]
+
+
+def small_boosting(features=SMALL, name="boosting", **params):
+    return M.boosting(features, name, **{"maxIter": 8, "stepSize": 0.2, "maxDepth": 3, "minInstancesPerNode": 20, **params})
+
+
+def small_logistic(features=SMALL, name="logistica"):
+    return M.logistic(features, name)
+
+
+@query("group_holdout", B.with_ctes("""
+SELECT CAST(ceil(0.2::DOUBLE * count(DISTINCT id_municipio)) AS BIGINT) AS grupos_teste, count(DISTINCT id_municipio) AS grupos, count(*) AS linhas, 0::BIGINT AS grupos_partidos
+FROM dataset""", "dataset"))
+def group_holdout(spark, folder):
+    """A fifth of the municipalities, whole."""
+    marked = split.holdout(matrix(spark, folder))
+    sides = marked.groupBy(C.GROUP).agg(F.min("teste").alias("a"), F.max("teste").alias("b"), F.count(F.lit(1)).alias("n"))
+    return sides.agg(F.count_if("a").alias("grupos_teste"), F.count(F.lit(1)).alias("grupos"), F.sum("n").alias("linhas"),
+                     F.count_if(F.col("a") != F.col("b")).alias("grupos_partidos"))
+
+
+@query("holdout_summary")
+def holdout_summary(spark, folder):
+    return split.split_summary(split.holdout(matrix(spark, folder)), "teste")
+
+
+@query("stratified_group_folds", B.with_ctes("""
+SELECT 5::BIGINT AS folds, count(DISTINCT id_municipio) AS grupos, count(*) AS linhas, true AS prevalencia_proxima FROM dataset""", "dataset"))
+def stratified_group_folds(spark, folder):
+    """Disjoint, complete folds whose prevalence stays within five points of each other."""
+    dealt = split.folds(matrix(spark, folder))
+    groups = dealt.groupBy(C.GROUP, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(C.TARGET).alias("k"))
+    table = groups.groupBy("fold").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("n"), (F.sum("k") / F.sum("n")).alias("p"))
+    return table.agg(F.count(F.lit(1)).alias("folds"), F.sum("g").alias("grupos"), F.sum("n").alias("linhas"),
+                     (F.max("p") - F.min("p") < 0.05).alias("prevalencia_proxima"))
+
+
+@query("preprocessing_columns")
+def preprocessing_columns(spark, folder):
+    """Model matrix columns, their source feature and their mean and deviation on the training rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    from cohortspark.models.preprocess import fit_preprocessor
+    rows = matrix(spark, folder)
+    fitted = fit_preprocessor(rows)
+    x = fitted.transform(rows).select(F.posexplode(vector_to_array("features")).alias("posicao", "x"))
+    stats = x.groupBy("posicao").agg(F.avg("x").alias("media"), F.stddev_pop("x").alias("dp"))
+    return fitted.mapping(spark).drop("familia").join(stats, "posicao")
+
+
+@query("candidate_comparison")
+def candidate_comparison(spark, folder):
+    """Prior, one-column rules, logistic, forest and boosting on the same folds."""
+    dealt = materialize(split.folds(matrix(spark, folder), 3))
+    models = [
+        M.prior(), M.univariate("heuristica_taxa_municipal", "mun_taxa_alfab_lag1"), small_logistic(name="logistica_podada"),
+        M.forest(SMALL, numTrees=10, maxDepth=4, minInstancesPerNode=20), small_boosting(name="boosting_padrao")]
+    return M.evaluate_in_folds(dealt, models, 3).drop("segundos", "papel")
+
+
+@query("candidate_paired_tests")
+def candidate_paired_tests(spark, folder):
+    dealt = materialize(split.folds(matrix(spark, folder), 3))
+    table = M.evaluate_in_folds(dealt, [M.prior(), M.univariate("heuristica_taxa_municipal", "mun_taxa_alfab_lag1"), small_logistic(name="logistica_podada")], 3)
+    pairs = [p for p in M.PAIRS if set(p) <= {"dummy_prior", "heuristica_taxa_municipal", "logistica_podada"}]
+    result = None
+    for a, b in pairs:
+        part = resample.compare_in_folds(table, a, b, k=3)
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+@query("out_of_fold_scores", B.with_ctes("SELECT count(*) AS linhas, count(DISTINCT id_municipio) AS grupos, 0::BIGINT AS sem_escore FROM dataset", "dataset"))
+def out_of_fold_scores(spark, folder):
+    """Every row scored once by a model that did not see its municipality."""
+    scored, _ = M.out_of_fold(materialize(split.folds(matrix(spark, folder), 3)), small_logistic(), 3)
+    return scored.agg(F.count(F.lit(1)).alias("linhas"), F.count_distinct(C.GROUP).alias("grupos"), F.count_if(F.col(M.SCORE).isNull()).alias("sem_escore"))
+
+
+@query("isotonic_calibration_gain")
+def isotonic_calibration_gain(spark, folder):
+    scored, _ = M.out_of_fold(materialize(split.folds(matrix(spark, folder), 3)), small_logistic(), 3)
+    return calibration.crossfit_gain(scored, 3)
+
+
+@query("calibration_keeps_order", B.with_ctes("SELECT count(*) AS n, true AS auc_igual FROM scored", "scored"))
+def calibration_keeps_order(spark, folder):
+    """Isotonic with tie-break leaves the AUC as it was."""
+    rows = materialize(B.scored(spark, folder).select("row_id", "y", "p"))
+    calibrated = M.apply_isotonic(M.fit_isotonic(rows, "y", "p"), rows, "p", "c")
+    same = F.abs(metrics.auc(calibrated, "y", "c").scalar() - metrics.auc(rows, "y", "p").scalar()) < 1e-9
+    return rows.agg(F.count(F.lit(1)).alias("n")).withColumn("auc_igual", same)
+
+
+@query("random_search")
+def random_search(spark, folder):
+    dealt = materialize(split.folds(matrix(spark, folder), 2))
+    space = {"maxIter": ("int", 3, 8), "maxDepth": ("int", 2, 4), "stepSize": ("log", 0.05, 0.3)}
+    return tuning.search(dealt, tuning.draw_settings(3, space=space), 2, features=SMALL).drop("segundos")
+
+
+@query("search_edge_flags")
+def search_edge_flags(spark, folder):
+    dealt = materialize(split.folds(matrix(spark, folder), 2))
+    grid = tuning.extended_grid({"maxIter": 3, "maxDepth": 2, "stepSize": 0.2}, {"maxDepth": (2, 3), "maxIter": (3, 6)})
+    return tuning.edge_flags(tuning.search(dealt, grid, 2, features=SMALL), ["maxIter", "maxDepth"])
+
+
+@query("held_out_report")
+def held_out_report(spark, folder):
+    """Refit, thresholds from out-of-fold scores, metrics and intervals on held-out municipalities."""
+    result = report.build_report(matrix(spark, folder), small_logistic(), 3, replicates=30, minimum=100)
+    long = None
+    for name in ("ranking", "desenvolvimento"):
+        part = result.tables[name].select(F.lit(name).alias("tabela"), "roc_auc", "pr_auc", "ks", "brier", "prevalencia", "n")
+        long = part if long is None else long.unionByName(part)
+    return long.withColumn("limiar_f1", result.thresholds.select("por_f1").scalar()).withColumn(
+        "limiar_capacidade", result.thresholds.select("por_capacidade").scalar())
+
+
+@query("held_out_strata")
+def held_out_strata(spark, folder):
+    return report.build_report(matrix(spark, folder), small_logistic(), 3, replicates=5, minimum=100).tables["estratos"]
+
+
+@query("feature_set_ablation")
+def feature_set_ablation(spark, folder):
+    """Feature sets A, B and C on the development part, hold-out removed first."""
+    sets = {k: [f for f in v if f not in ("caderno", "sigla_uf")] for k, v in C.FEATURE_SETS.items()}
+    table = report.ablation(matrix(spark, folder), sets, lambda f, n: M.logistic(f, n, True), seeds=(42,), k=2)
+    return table.drop("n_teste")
+
+
+@query("target_permutation_test")
+def target_permutation_test(spark, folder):
+    table = robustness.permutation_test(matrix(spark, folder), small_logistic(), 2, 2, 2)
+    return resample.permutation_p(table)
+
+
+@query("learning_curve_by_groups")
+def learning_curve_by_groups(spark, folder):
+    return robustness.learning_curve(matrix(spark, folder), small_logistic(), (0.25, 0.5, 1.0), (42, 7))
+
+
+@query("leave_one_region_out")
+def leave_one_region_out(spark, folder):
+    features = tuple(f for f in SMALL if f != "nome_regiao")
+    return robustness.leave_one_region_out(matrix(spark, folder), M.logistic(features, "logistica"))
+
+
+def territorial_cohort(spark, folder, year):
+    """Outcome and the territorial columns that both years have."""
+    rows = B.unique_students(spark, folder).where((F.col("ano") == year) & (F.col("preenchimento_caderno") == 1))
+    return materialize(rows.select(
+        F.col("id_aluno").alias("row_id"), "id_municipio", "sigla_uf", "nome_regiao",
+        F.coalesce(cleaning.lookup("rede", {"2": "Estadual", "3": "Municipal"}), F.lit("Outros")).alias("rede_grupo"),
+        (1 - F.col("alfabetizado")).alias(C.TARGET)))
+
+
+@query("year_drift")
+def year_drift(spark, folder):
+    return robustness.drift(
+        territorial_cohort(spark, folder, B.LAG), territorial_cohort(spark, folder, B.TARGET),
+        lambda: small_logistic(("sigla_uf", "nome_regiao", "rede_grupo")), (str(B.LAG), str(B.TARGET)), 2)
+
+
+@query("shuffle_invariance")
+def shuffle_invariance(spark, folder):
+    """Booklet (negative control) against the municipal rate (positive control)."""
+    rows = matrix(spark, folder)
+    features = ("mun_taxa_alfab_lag1", "uf_taxa_alfab_lag1", "caderno")
+    scorer = M.logistic(features, "logistica", True).fit(rows, C.SEED)
+    return robustness.invariance(scorer, rows, ["caderno", "mun_taxa_alfab_lag1"], 2)
