@@ -47,12 +47,16 @@ def _quote(text: str) -> str:
 
 def _numeric_stats(df: DataFrame, numeric: Sequence[str]) -> dict[str, dict[str, float]]:
     """Median, and mean and population deviation after imputing it, for all columns together."""
-    cells = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in numeric])
-    long = df.select(F.explode(cells).alias("p")).select("p.*").withColumn("v", F.when(~F.isnan("v"), F.col("v")))
-    medians = {r["f"]: r["m"] for r in ranks.quantiles(long, "v", {"m": 0.5}, ["f"], scale_of="f").collect()}
-    moments = long.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("k"), F.avg("v").alias("a"), F.var_pop("v").alias("s"))
+    def long(columns: Sequence[str]) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in columns])
+        return df.select(F.explode(cells).alias("p")).select("p.*").withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+
+    moments = long(numeric).groupBy("f").agg(
+        F.count(F.lit(1)).alias("n"), F.count("v").alias("k"), F.avg("v").alias("a"), F.var_pop("v").alias("s")).collect()
+    partial = [r["f"] for r in moments if r["k"] < r["n"]]
+    medians = {r["f"]: r["m"] for r in ranks.quantiles(long(partial), "v", {"m": 0.5}, ["f"], scale_of="f").collect()} if partial else {}
     stats = {}
-    for r in moments.collect():
+    for r in moments:
         med = medians.get(r["f"], 0.0)
         known, gone = r["k"] / r["n"], 1 - r["k"] / r["n"]
         a, s = (r["a"], r["s"]) if r["k"] else (0.0, 0.0)

@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 from cohortspark.session import materialize, shuffle_width
 
 _B, _SUB, _V = "_bucket", "_sub", "_value"
+# Tables counted to be at most this long are ranked in one window; longer ones by range buckets.
+SMALL_ROWS = 65_536
 
 
 def fit_edges(df: DataFrame, value: str | Column, buckets: int | None = None) -> list[float]:
@@ -31,6 +33,14 @@ def fit_edges(df: DataFrame, value: str | Column, buckets: int | None = None) ->
     return sorted({float(e) for e in (row["e"] or []) if math.isfinite(e)}) or [0.0]
 
 
+def _measure(df: DataFrame, value: str) -> tuple[int, list[float]]:
+    """Row count and raw quantile cut points (repeats kept) in one aggregate."""
+    buckets = shuffle_width(df.sparkSession)
+    probs = [i / buckets for i in range(1, buckets)]
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col(value).cast("double"), probs, 4 * buckets).alias("e")).first()
+    return row["n"], [float(e) for e in (row["e"] or []) if math.isfinite(e)]
+
+
 def add_bucket(df: DataFrame, value: str, edges: Sequence[float], out: str = _B) -> DataFrame:
     """Order-preserving bucket: even numbers hold exactly one value (an edge), odd ones what lies between."""
     splits = [-float("inf"), *edges, float("inf")]
@@ -101,8 +111,16 @@ def cumulate(
     own_edges = None
     if edges is None:
         hist = materialize(hist)
+        size, cuts = _measure(hist, value)
+        if size <= SMALL_ROWS:
+            key = [F.col(c) for c in by] or [F.lit(0)]
+            before = Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+            whole = Window.partitionBy(*key)
+            return hist.select(
+                "*", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"{m}_before") for m in measures],
+                *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures])
         own_edges = fit_edges_by(hist, value, scale_of) if scale_of else None
-        edges = fit_edges(hist, value) if own_edges is None else None
+        edges = (sorted(set(cuts)) or [0.0]) if own_edges is None else None
     rows = add_bucket(hist, value, edges) if own_edges is None else add_bucket_by(hist, value, scale_of, own_edges)
     totals = rows.groupBy(*by, _B).agg(*[F.sum(m).alias(m) for m in measures])
     joined = _join(rows, _offsets(totals, measures, by, [_B]), [*by, _B])
@@ -158,11 +176,16 @@ def row_number(
         _V, F.when(F.col(_V) == 0, F.lit(0.0)).otherwise(F.col(_V)))
     ordered = materialize(ordered)
     known = ordered.where(F.col(_V).isNotNull())
-    probs_row = known.agg(F.percentile_approx(
-        _V, [i / shuffle_width(df.sparkSession) for i in range(1, shuffle_width(df.sparkSession))],
-        4 * shuffle_width(df.sparkSession)).alias("e")).first()["e"] or []
-    edges = sorted({float(e) for e in probs_row if math.isfinite(e)}) or [0.0]
-    hot = sorted({float(e) for e in probs_row if probs_row.count(e) > 1})
+    size, cuts = _measure(known, _V)
+    blank = [F.lit(None).cast("bigint").alias(c) for c in [out] + ([with_total] if with_total else [])]
+    unknown = ordered.where(F.col(_V).isNull()).select(*plain, *blank)
+    if size <= SMALL_ROWS:
+        key = [F.col(c) for c in by] or [F.lit(0)]
+        count = [F.count(F.lit(1)).over(Window.partitionBy(*key)).alias(with_total)] if with_total else []
+        place = F.row_number().over(Window.partitionBy(*key).orderBy(_V, tie)).cast("bigint")
+        return known.select(*plain, place.alias(out), *count).unionByName(unknown)
+    edges = sorted(set(cuts)) or [0.0]
+    hot = sorted({e for e in cuts if cuts.count(e) > 1})
     rows = add_bucket(known, _V, edges)
     if hot:
         # Values that fill whole ranges: their rows are cut again by the tie-break column.
@@ -176,8 +199,7 @@ def row_number(
     local = Window.partitionBy(*by, _B, _SUB).orderBy(_V, tie)
     extra = [F.col("_t__cnt").alias(with_total)] if with_total else []
     ranked = joined.select(*plain, (F.col("_o__cnt") + F.row_number().over(local)).alias(out), *extra)
-    blank = [F.lit(None).cast("bigint").alias(c) for c in [out] + ([with_total] if with_total else [])]
-    return ranked.unionByName(ordered.where(F.col(_V).isNull()).select(*plain, *blank))
+    return ranked.unionByName(unknown)
 
 
 def tied_rank(
@@ -188,7 +210,14 @@ def tied_rank(
     ordered = df.withColumn(_V, F.col(value).cast("double") * (-1 if descending else 1))
     ordered = materialize(ordered)
     known = ordered.where(F.col(_V).isNotNull())
-    rows = add_bucket(known, _V, fit_edges(known, _V))
+    unknown = ordered.where(F.col(_V).isNull()).select(*plain, F.lit(None).cast(rank_type(method)).alias(out))
+    size, cuts = _measure(known, _V)
+    if size <= SMALL_ROWS:
+        key = [F.col(c) for c in by] or [F.lit(0)]
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*key, _V))
+        place = F.rank().over(Window.partitionBy(*key).orderBy(_V)) + ((ties - 1) / 2 if method == "average" else F.lit(0))
+        return known.select(*plain, place.cast(rank_type(method)).alias(out)).unionByName(unknown)
+    rows = add_bucket(known, _V, sorted(set(cuts)) or [0.0])
     spread = F.pmod(F.xxhash64(*plain), F.lit(shuffle_width(df.sparkSession))).cast("int")
     rows = rows.withColumn(_SUB, F.when(F.col(_B) % 2 == 0, spread).otherwise(0))
     totals = rows.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_cnt"))
@@ -202,8 +231,7 @@ def tied_rank(
     rank = F.col("_o__cnt") + first + ((ties - 1) / 2 if method == "average" else F.lit(0))
     rank = rank.cast("double" if method == "average" else "bigint")
     ranked = joined.select(*plain, rank.alias(out))
-    blank = ordered.where(F.col(_V).isNull()).select(*plain, F.lit(None).cast(rank_type(method)).alias(out))
-    return ranked.unionByName(blank)
+    return ranked.unionByName(unknown)
 
 
 def rank_type(method: str) -> str:

@@ -39,8 +39,8 @@ def school_features(students: DataFrame) -> DataFrame:
         aggregates.distribution_shape(students, "id_escola", "esc"), "id_escola", "left")
 
 
-def municipal_features(students: DataFrame, published: DataFrame, goals: DataFrame, year: int) -> DataFrame:
-    """Own aggregates ∪ published aggregates, coalesced, with the goal and level of the lag year's row."""
+def municipal_rates(students: DataFrame, published: DataFrame, year: int) -> DataFrame:
+    """Own aggregates ∪ published aggregates with the coalesced rate and its provenance."""
     here = aggregates.present()
     base = students.groupBy("id_municipio").agg(
         F.count_if(here).alias("mun_n_alunos_lag1"),
@@ -49,12 +49,18 @@ def municipal_features(students: DataFrame, published: DataFrame, goals: DataFra
         weighted_mean(F.when(here, F.col("alfabetizado")), F.col("peso_aluno")).alias("_gold"),
         F.avg("presenca").alias("mun_taxa_presenca_lag1"), F.count(F.lit(1)).alias("mun_n_matriculados_lag1"),
     ).where(F.col("mun_n_alunos_lag1") > 0)
-    base = base.join(aggregates.distribution_shape(students, "id_municipio", "mun"), "id_municipio", "left")
     base = base.join(aggregates.pivot_published(published, "id_municipio", year), "id_municipio", "full_outer")
+    return coalesce_sources(base, "mun", "_gold")
+
+
+def municipal_features(students: DataFrame, published: DataFrame, goals: DataFrame, year: int) -> DataFrame:
+    """Rates and provenance, the shape of the score distribution, and the goal and level of the lag year's row."""
+    base = municipal_rates(students, published, year)
+    base = base.join(aggregates.distribution_shape(students, "id_municipio", "mun"), "id_municipio", "left")
     own_year = goals.where(F.col("ano") == year).select(
         "id_municipio", F.col(f"meta_alfabetizacao_{year + 1}").alias("mun_meta_2024_lag1"),
         F.col("nivel_alfabetizacao").alias("mun_nivel_alfabetizacao_lag1"))
-    return coalesce_sources(base, "mun", "_gold").join(own_year, "id_municipio", "left")
+    return base.join(own_year, "id_municipio", "left")
 
 
 def state_features(students: DataFrame, published: DataFrame, directory: DataFrame, year: int) -> DataFrame:

@@ -75,8 +75,8 @@ FROM unique_students WHERE ano = {{y}} GROUP BY 1 HAVING count(*) FILTER (WHERE
 POPULATION_FLOATS = ["taxa_alfab_simples", "prof_media_simples", "taxa_alfab_ponderada", "prof_media_ponderada", "soma_pesos", "taxa_presenca"]
 
 
-def population(spark, folder, year):
-    return aggregates.population_table(B.unique_students(spark, folder), B.territory(spark, folder), year)
+def population(spark, folder, year, rows=None):
+    return aggregates.population_table(B.unique_students(spark, folder) if rows is None else rows, B.territory(spark, folder), year)
 
 
 @query("population_table", B.with_ctes(POPULATION.format(y=B.TARGET), "unique_students"), POPULATION_FLOATS)

@@ -13,6 +13,7 @@ from cohortspark.functions.stats import clip
 from cohortspark.operators import quality
 from cohortspark.plans import features
 from cohortspark.queries.registry import sql_round
+from cohortspark.session import materialize
 
 LAG, TARGET = 1999, 2000
 CUT = 35000.0
@@ -39,16 +40,17 @@ def students(spark: SparkSession, folder: str) -> DataFrame:
     here = F.col("l_linestatus") == "F"
     measured = here & ~((F.col("l_tax") > 0.075) & (F.col("l_quantity") <= 5))
     score = F.when(measured, F.floor("l_extendedprice").cast("double") + ((F.col("o_custkey") * 7919) % 101 - 50) * 1000)
-    rows = line.join(orders.select("o_orderkey", "o_custkey"), line.l_orderkey == orders.o_orderkey).select(
+    places = territory(spark, folder).select("id_municipio", "sigla_uf", "nome_regiao", "codigo_uf")
+    # orders meet their territory first, so that the line items are shuffled once only
+    placed = orders.select("o_orderkey", "o_custkey").join(places, F.col("o_custkey") == F.col("id_municipio"))
+    return line.join(placed, line.l_orderkey == placed.o_orderkey).select(
         F.year("l_shipdate").alias("ano"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id_aluno"),
-        F.col("l_suppkey").alias("id_escola"), F.col("o_custkey").alias("id_municipio"),
+        F.col("l_suppkey").alias("id_escola"), "id_municipio",
         F.when(F.col("l_returnflag") == "A", "2").when(F.col("l_returnflag") == "N", "3").otherwise("4").alias("rede"),
         F.lit("2").alias("serie"), F.col("l_linenumber").alias("caderno"), here.cast("int").alias("presenca"),
         measured.cast("int").alias("preenchimento_caderno"),
         F.coalesce((score >= CUT).cast("int"), F.lit(0)).alias("alfabetizado"), score.alias("proficiencia"),
-        F.when(here, F.col("l_quantity")).alias("peso_aluno"))
-    places = territory(spark, folder).select("id_municipio", "sigla_uf", "nome_regiao", "codigo_uf")
-    return rows.join(places, "id_municipio")
+        F.when(here, F.col("l_quantity")).alias("peso_aluno"), "sigla_uf", "nome_regiao", "codigo_uf")
 
 
 PAYLOAD = ("id_escola", "id_municipio", "rede", "serie", "caderno", "presenca", "preenchimento_caderno",
@@ -60,6 +62,12 @@ def unique_students(spark: SparkSession, folder: str) -> DataFrame:
     return quality.deduplicate(students(spark, folder).select("ano", "id_aluno", *PAYLOAD), ["ano", "id_aluno"])
 
 
+def two_years(spark: SparkSession, folder: str) -> DataFrame:
+    """Unique students of the lag and the target year, evaluated once for the several uses of one query."""
+    rows = students(spark, folder).where(F.col("ano").isin(LAG, TARGET)).select("ano", "id_aluno", *PAYLOAD)
+    return materialize(quality.deduplicate(rows, ["ano", "id_aluno"]))
+
+
 def _order_units(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
     orders = table(spark, folder, "orders").select(
         F.year("o_orderdate").alias("ano"), F.col("o_custkey").alias("id_municipio"), F.floor("o_totalprice").cast("double").alias("v"),
@@ -116,15 +124,15 @@ def goals_country(spark: SparkSession, folder: str) -> DataFrame:
 
 def dataset(spark: SparkSession, folder: str) -> DataFrame:
     """Modelling dataset of the target year; ``row_id`` is the student."""
-    rows = unique_students(spark, folder).drop("codigo_uf").withColumn("row_id", F.col("id_aluno"))
+    rows = two_years(spark, folder).drop("codigo_uf").withColumn("row_id", F.col("id_aluno"))
     return features.modelling_dataset(
         rows, published_municipal(spark, folder), published_state(spark, folder), goals_municipal(spark, folder),
         territory(spark, folder), TARGET)
 
 
-def scored(spark: SparkSession, folder: str) -> DataFrame:
+def scored(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
     """Measured students of the target year with a lag-only score: the smoothed risk of their municipality."""
-    rows = unique_students(spark, folder).where(F.col("ano").isin(LAG, TARGET) & (F.col("preenchimento_caderno") == 1))
+    rows = (two_years(spark, folder) if rows is None else rows).where(F.col("preenchimento_caderno") == 1)
     lag = rows.where(F.col("ano") == LAG).groupBy("id_municipio").agg(
         F.count(F.lit(1)).alias("n_lag"), F.sum(1 - F.col("alfabetizado")).alias("k_lag"))
     now = rows.where(F.col("ano") == TARGET).join(lag, "id_municipio", "left")

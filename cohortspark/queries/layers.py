@@ -269,19 +269,32 @@ def lag_provenance_shares(spark, folder):
     return features.history_share(B.dataset(spark, folder))
 
 
+def lag_students(spark, folder):
+    return B.two_years(spark, folder).where(F.col("ano") == B.LAG)
+
+
 def store(spark, folder):
     return features.feature_store(
-        B.unique_students(spark, folder), B.published_municipal(spark, folder), B.published_state(spark, folder),
+        B.two_years(spark, folder), B.published_municipal(spark, folder), B.published_state(spark, folder),
         B.goals_municipal(spark, folder), B.territory(spark, folder), B.LAG)
 
 
+STORE = {
+    "escola": lambda spark, folder: features.school_features(lag_students(spark, folder)),
+    "municipio": lambda spark, folder: features.municipal_features(
+        lag_students(spark, folder), B.published_municipal(spark, folder), B.goals_municipal(spark, folder), B.LAG),
+    "uf": lambda spark, folder: features.state_features(
+        lag_students(spark, folder), B.published_state(spark, folder), B.territory(spark, folder), B.LAG),
+}
+
+
 for _name, _key in (("escola", "id_escola"), ("municipio", "id_municipio"), ("uf", "sigla_uf")):
     _prefix = {"escola": "esc", "municipio": "mun", "uf": "uf"}[_name]
 
     @query(f"feature_store_{_name}", B.with_ctes(f"SELECT * FROM store_{_name}", f"store_{_name}"),
            [c for c in DATASET_FLOATS if c.startswith(_prefix) and not c.endswith(("_suav", "_vs_uf"))])
     def _feature_table(spark, folder, name=_name):
-        return store(spark, folder)[name]
+        return STORE[name](spark, folder)
 
 
 @query("published_pivot_by_network", B.with_ctes("""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortspark import contracts as C
 from cohortspark.operators import metrics
-from cohortspark.plans import clusters, goals, ranking
+from cohortspark.plans import clusters, features, goals, ranking
 from cohortspark.queries import bindings as B
 from cohortspark.queries.aggregates import POPULATION, population
 from cohortspark.queries.modelling import matrix
@@ -50,14 +50,14 @@ def scored_units(spark, folder):
     return materialize(metrics.aggregate_scores(B.scored(spark, folder), "y", "p", "id_municipio", "peso_aluno"))
 
 
-def lag_rate(spark, folder):
-    from cohortspark.queries.layers import store
-    return store(spark, folder)["municipio"].select("id_municipio", "mun_taxa_alfab_lag1")
+def context_of(spark, folder, rows):
+    lag = features.municipal_rates(rows.where(F.col("ano") == B.LAG), B.published_municipal(spark, folder), B.LAG)
+    return ranking.territory_context(B.territory(spark, folder), population(spark, folder, B.TARGET, rows), lag)
 
 
 def full_ranking(spark, folder):
-    context = ranking.territory_context(B.territory(spark, folder), population(spark, folder, B.TARGET), lag_rate(spark, folder))
-    return ranking.build_ranking(B.scored(spark, folder), context, "y", "p", NOT_EVALUATED)[0]
+    rows = B.two_years(spark, folder)
+    return ranking.build_ranking(B.scored(spark, folder, rows), context_of(spark, folder, rows), "y", "p", NOT_EVALUATED)[0]
 
 
 @query("shrinkage_parameters", B.with_ctes("""
@@ -80,7 +80,7 @@ SELECT id_municipio, nome_municipio, p.sigla_uf, p.nome_regiao, taxa_presenca AS
 FROM pop AS p JOIN (SELECT id_municipio, nome_municipio FROM territory) AS t USING (id_municipio) LEFT JOIN (SELECT id_municipio, mun_taxa_alfab_lag1 FROM store_municipio) AS m USING (id_municipio)""",
     "unique_students", "store_municipio", extra={"pop": RANK_CTES["pop"]}), ["taxa_presenca_2024", "taxa_alfabetizacao_2024", "mun_taxa_alfab_lag1"])
 def territory_context(spark, folder):
-    return ranking.territory_context(B.territory(spark, folder), population(spark, folder, B.TARGET), lag_rate(spark, folder))
+    return context_of(spark, folder, B.two_years(spark, folder))
 
 
 @query("risk_ranking", B.with_ctes(f"SELECT {COLS} FROM ranking", "scored", "store_municipio", extra=RANK_CTES_ALL), RANK_FLOATS)
@@ -125,7 +125,8 @@ def presence_risk_curve(spark, folder):
 def cluster_base(spark, folder):
     goals_lag = B.goals_municipal(spark, folder).where(F.col("ano") == B.LAG)
     levels = B.published_municipal(spark, folder).where((F.col("ano") == B.TARGET) & (F.col("rede") == C.PUBLIC_CODE))
-    return clusters.clustering_base(population(spark, folder, B.TARGET), population(spark, folder, B.LAG), goals_lag, levels, matrix(spark, folder))
+    rows = B.two_years(spark, folder)
+    return clusters.clustering_base(population(spark, folder, B.TARGET, rows), population(spark, folder, B.LAG, rows), goals_lag, levels, matrix(spark, folder))
 
 
 CLUSTER_SQL = f"""
@@ -161,7 +162,8 @@ def cluster_region_shares(spark, folder):
 
 # --- goals -----------------------------------------------------------------------------------------
 def goal_base(spark, folder):
-    return goals.goals_base(B.goals_municipal(spark, folder), population(spark, folder, B.TARGET), population(spark, folder, B.LAG), B.TARGET, B.GOAL_YEARS[-1])
+    rows = B.two_years(spark, folder)
+    return goals.goals_base(B.goals_municipal(spark, folder), population(spark, folder, B.TARGET, rows), population(spark, folder, B.LAG, rows), B.TARGET, B.GOAL_YEARS[-1])
 
 
 GOAL_SQL = f"""
