@@ -52,7 +52,7 @@ def linear_attributions(scorer: M.LinearOrTreeScorer, df: DataFrame, n: int = 50
     names = F.array(*[F.lit(c.name) for c in columns])
     sources = F.array(*[F.lit(c.feature) for c in columns])
     i = F.col("i")
-    return x.join(means, "i").select(
+    return x.join(F.broadcast(means), "i").select(  # means: one row per model column
         "row_id", *keep, names[i].alias("coluna"), sources[i].alias("feature"), (coef[i] * (F.col("x") - F.col("m"))).alias("valor"))
 
 
@@ -97,7 +97,7 @@ def grouped_importance(attributions: DataFrame, mapping: DataFrame | None, key:
 
     ``mapping`` (feature → ``key``) is small metadata; None when ``key`` is already in the attributions.
     """
-    rows = attributions if mapping is None else attributions.join(mapping, "feature")
+    rows = attributions if mapping is None else attributions.join(F.broadcast(mapping), "feature")
     inside = rows.groupBy(*by, key, "row_id").agg(
         F.sum("valor").alias("s"), F.sum(F.abs("valor")).alias("a"), F.count(F.lit(1)).alias("c"), F.count_distinct("feature").alias("f"))
     table = inside.groupBy(*by, key).agg(
@@ -135,7 +135,7 @@ def block_permutation(scorer: M.Scorer, df: DataFrame, blocks: Mapping[str, Sequ
 
 def block_against_singles(blocks: DataFrame, singles: DataFrame, families: DataFrame) -> DataFrame:
     """Drop of a family shuffled together against the sum of its single drops."""
-    sums = singles.join(families, "feature").groupBy(F.col("familia").alias("bloco")).agg(F.sum("queda_media").alias("soma_das_colunas_isoladas"))
+    sums = singles.join(F.broadcast(families), "feature").groupBy(F.col("familia").alias("bloco")).agg(F.sum("queda_media").alias("soma_das_colunas_isoladas"))
     return blocks.join(sums, "bloco").select(
         "bloco", "soma_das_colunas_isoladas", F.col("queda_media").alias("familia_embaralhada_junta"),
         F.try_divide(F.col("queda_media"), F.col("soma_das_colunas_isoladas")).alias("razao"))

@@ -89,14 +89,17 @@ def _offsets(totals: DataFrame, measures: Sequence[str], by: Sequence[str], orde
     )
 
 
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Null-safe equi-join that keeps the left copies of the keys (groups may be NULL)."""
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], bounded: bool = False) -> DataFrame:
+    """Equi-join that keeps the left copies of the keys; group keys match null-safe, internal ones are never NULL.
+
+    ``bounded`` says that the right side has one row per range bucket, a few thousand at most, and is sent to all tasks.
+    """
     right = right.select(*[F.col(c).alias(f"_j_{c}" if c in keys else c) for c in right.columns])
     condition = None
     for k in keys:
-        same = left[k].eqNullSafe(right[f"_j_{k}"])
+        same = left[k] == right[f"_j_{k}"] if k.startswith("_") else left[k].eqNullSafe(right[f"_j_{k}"])
         condition = same if condition is None else condition & same
-    return left.join(right, condition).drop(*[f"_j_{k}" for k in keys])
+    return left.join(F.broadcast(right) if bounded else right, condition).drop(*[f"_j_{k}" for k in keys])
 
 
 def cumulate(
@@ -123,7 +126,7 @@ def cumulate(
         edges = (sorted(set(cuts)) or [0.0]) if own_edges is None else None
     rows = add_bucket(hist, value, edges) if own_edges is None else add_bucket_by(hist, value, scale_of, own_edges)
     totals = rows.groupBy(*by, _B).agg(*[F.sum(m).alias(m) for m in measures])
-    joined = _join(rows, _offsets(totals, measures, by, [_B]), [*by, _B])
+    joined = _join(rows, _offsets(totals, measures, by, [_B]), [*by, _B], not by)
     local = Window.partitionBy(*by, _B).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return joined.select(
         *hist.columns,
@@ -222,7 +225,7 @@ def tied_rank(
     rows = rows.withColumn(_SUB, F.when(F.col(_B) % 2 == 0, spread).otherwise(0))
     totals = rows.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = _offsets(totals, ["_cnt"], by, [_B])
-    joined = _join(_join(rows, totals, [*by, _B]), offsets, [*by, _B])
+    joined = _join(_join(rows, totals, [*by, _B], not by), offsets, [*by, _B], not by)
     local = Window.partitionBy(*by, _B, _SUB).orderBy(_V)
     same = Window.partitionBy(*by, _B, _SUB, _V)
     single = F.col(_B) % 2 == 0
@@ -280,7 +283,7 @@ def hash_position(
     rows = df.withColumn("_h", F.xxhash64(F.lit(seed), F.lit(salt), *key))
     rows = rows.withColumn(_B, F.shiftright("_h", 64 - bits).cast("int"))
     totals = rows.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_cnt"))
-    joined = _join(rows, _offsets(totals, ["_cnt"], by, [_B]), [*by, _B])
+    joined = _join(rows, _offsets(totals, ["_cnt"], by, [_B]), [*by, _B], not by)
     local = Window.partitionBy(*by, _B).orderBy("_h", *key)
     return joined.select(*plain, (F.col("_o__cnt") + F.row_number().over(local)).alias(out))
 

@@ -110,7 +110,7 @@ def correlation_bootstrap(
 ) -> DataFrame:
     """Pearson correlation over units with a percentile interval, from weighted moments.
 
-    Units are resampled within each ``by`` group. Values are centred first to keep the moments stable.
+    Units are resampled within each ``by`` group (few levels, such as size thresholds). Values are centred first to keep the moments stable.
     """
     known = units.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *by, key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
@@ -121,7 +121,7 @@ def correlation_bootstrap(
     placed = materialize(ranks.hash_position(known, [key], seed, "_idx", by))
     sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     draws = (
-        placed.join(sizes, list(by)) if by else placed.withColumn("_n", sizes.select("_n").scalar())
+        placed.join(F.broadcast(sizes), list(by)) if by else placed.withColumn("_n", sizes.select("_n").scalar())
     ).select(*by, "_n", "_idx", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     weights = draws.select(
         *by, "rep", (F.pmod(F.xxhash64(F.lit(seed), "rep", "_idx"), F.col("_n")) + 1).alias("_idx")

@@ -86,7 +86,7 @@ def cluster_territories(base: DataFrame, grid: Sequence[int] = K_GRID, restarts:
     means = labelled.groupBy("prediction").agg(F.avg("taxa_alfabetizacao_2024").alias("t"))
     order = means.withColumn("cluster", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("t").desc(), "prediction")) - 1)
     label = F.coalesce(*[F.when(F.col("cluster") == i, n) for i, n in names.items()], F.concat(F.lit("perfil "), F.col("cluster").cast("string")))
-    rows = labelled.join(order.select("prediction", "cluster"), "prediction").withColumn("cluster_nome", label)
+    rows = labelled.join(F.broadcast(order.select("prediction", "cluster")), "prediction").withColumn("cluster_nome", label)
     rows = materialize(rows.select("id_municipio", "sigla_uf", "nome_regiao", "cluster", "cluster_nome", "n_avaliados", *FEATURES))
     keys = ["cluster", "cluster_nome"]
     profile = rows.groupBy(*keys).agg(

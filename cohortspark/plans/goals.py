@@ -51,7 +51,7 @@ def moments(train: DataFrame, rate: str, size: str, outcome: str) -> DataFrame:
     noise = F.col("prior") * (1 - F.col("prior"))
     tau2 = F.greatest(F.col("_ff") - F.col("prior") ** 2 - noise * F.col("_inv"), F.lit(1e-12))
     shaped = first.select(FOLD, "prior", (noise / tau2).alias("k"))
-    with_fit = train.join(shaped, FOLD)
+    with_fit = train.join(F.broadcast(shaped), FOLD)  # one row per fold
     drift = with_fit.groupBy(FOLD).agg((F.sum(n * (F.col(outcome) - smoothed(rate, size))) / F.sum(n)).alias("deriva"))
     return shaped.join(drift, FOLD)
 
@@ -78,7 +78,7 @@ def fit_dispersion(residuals: DataFrame, grid: int = 15, zooms: int = 9) -> Data
                   for f in folds for i in range(grid) for j in range(grid)]
         candidates = spark.createDataFrame(points, f"{FOLD} int, la double, lc double")
         var = F.exp(2 * F.col("la")) / F.col("n") + F.exp(2 * F.col("lc"))
-        cost = table.join(candidates, FOLD).groupBy(FOLD, "la", "lc").agg(
+        cost = table.join(F.broadcast(candidates), FOLD).groupBy(FOLD, "la", "lc").agg(
             F.sum(0.5 * (F.col("m") * F.log(var) + F.col("q") / var)).alias("cost"))
         for r in cost.groupBy(FOLD).agg(F.min(F.struct("cost", "la", "lc")).alias("b")).collect():
             b = r["b"]
@@ -94,14 +94,14 @@ def fit_projector(train: DataFrame, rate: str, size: str, outcome: str) -> DataF
     check_domain(train, [rate, outcome], [size])
     train = materialize(train)
     fit = materialize(moments(train, rate, size, outcome))
-    residual = train.join(fit, FOLD).select(
+    residual = train.join(F.broadcast(fit), FOLD).select(
         FOLD, F.col(size).cast("double").alias("n"), (F.col(outcome) - smoothed(rate, size) - F.col("deriva")).alias("r"))
     return materialize(fit.join(fit_dispersion(residual), FOLD))
 
 
 def predict(df: DataFrame, fit: DataFrame, rate: str, size: str, goal: str) -> DataFrame:
     """Median, 95 % interval and probability of staying below the goal; mass sits at 0 and at 100."""
-    rows = df.join(fit, FOLD)
+    rows = df.join(F.broadcast(fit), FOLD)  # one parameter row per fold
     centre = smoothed(rate, size) + F.col("deriva")
     deviation = F.sqrt(F.col("a") ** 2 / F.col(size) + F.col("c") ** 2)
     below = F.when(F.col(goal) <= 0, 0.0).when(F.col(goal) > 100, 1.0).otherwise(normal_cdf((F.col(goal) - centre) / deviation))
@@ -124,7 +124,7 @@ def evaluate_transition(base: DataFrame, k: int = 5, seed: int = SEED) -> DataFr
     train = dealt.withColumnRenamed(FOLD, "_own").select("*", F.explode(others).alias(FOLD)).drop("_own")
     fit = fit_projector(train, "taxa_2023", "n_alunos_2023", "taxa_2024")
     prevalence = train.groupBy(FOLD).agg(share(F.col("taxa_2024") < F.col("meta_2024")).alias("baseline_prevalencia"))
-    scored = predict(dealt, fit, "taxa_2023", "n_alunos_2023", "meta_2024").join(prevalence, FOLD)
+    scored = predict(dealt, fit, "taxa_2023", "n_alunos_2023", "meta_2024").join(F.broadcast(prevalence), FOLD)
     return scored.withColumns({
         "ficou_abaixo": (F.col("taxa_2024") < F.col("meta_2024")).cast("int"),
         "coberto": F.col("taxa_2024").between(F.col("inferior"), F.col("superior")),
@@ -145,7 +145,7 @@ def summarize_evaluation(oof: DataFrame, replicates: int = 1000, seed: int = SEE
 
 
 def volatility_by_size(base: DataFrame, fit: DataFrame) -> DataFrame:
-    rows = base.dropna(subset=["taxa_2023", "taxa_2024", "n_alunos_2023"]).withColumn(FOLD, F.lit(0)).join(fit, FOLD)
+    rows = base.dropna(subset=["taxa_2023", "taxa_2024", "n_alunos_2023"]).withColumn(FOLD, F.lit(0)).join(F.broadcast(fit), FOLD)
     rows = rows.withColumn("residuo", F.col("taxa_2024") - smoothed("taxa_2023", "n_alunos_2023") - F.col("deriva"))
     labels = [f"({int(a)}, {'inf' if math.isinf(b) else int(b)}]" for a, b in zip(SIZE_EDGES[:-1], SIZE_EDGES[1:])]
     rows = materialize(rows.withColumn("faixa", ranks.cut(F.col("n_alunos_2023"), SIZE_EDGES, labels)))
@@ -166,7 +166,7 @@ def probability_deciles(oof: DataFrame) -> DataFrame:
 def publishable(base: DataFrame, fit: DataFrame) -> DataFrame:
     """Scenario of the next goal for every territory that has one."""
     rows = base.dropna(subset=["taxa_2024", "meta_2025", "n_alunos_avaliados"]).withColumn(FOLD, F.lit(0))
-    p = predict(rows, fit, "taxa_2024", "n_alunos_avaliados", "meta_2025").join(fit.select(FOLD, "a", "c"), FOLD)
+    p = predict(rows, fit, "taxa_2024", "n_alunos_avaliados", "meta_2025").join(F.broadcast(fit.select(FOLD, "a", "c")), FOLD)
     p = p.withColumnsRenamed({
         "taxa_suavizada": "taxa_2024_suavizada", "projecao": "projecao_2025", "dp_latente": "dp_latente_pp", "inferior": "intervalo_2025_inferior",
         "superior": "intervalo_2025_superior", "p_abaixo": "p_abaixo_da_meta_2025"})
