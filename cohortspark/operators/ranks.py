@@ -191,8 +191,10 @@ def row_number(
     hot = sorted({e for e in cuts if cuts.count(e) > 1})
     rows = add_bucket(known, _V, edges)
     if hot:
-        # Values that fill whole ranges: their rows are cut again by the tie-break column.
-        tie_edges = fit_edges(known.where(F.col(_V).isin(hot)), _tie_value(known, tie))
+        # Values that fill whole ranges: their rows are cut again by the tie-break column, the finer the
+        # fewer such values there are, so that the number of pieces stays a small multiple of the width.
+        pieces = max(8, 2 * shuffle_width(df.sparkSession) // len(hot))
+        tie_edges = fit_edges(known.where(F.col(_V).isin(hot)), _tie_value(known, tie), pieces)
         rows = add_bucket(rows.withColumn("_tie_key", _tie_value(known, tie)), "_tie_key", tie_edges, "_tie_bucket")
         rows = rows.withColumn(_SUB, F.when(F.col(_B) % 2 == 0, F.col("_tie_bucket")).otherwise(0)).drop("_tie_key", "_tie_bucket")
     else:
