@@ -14,9 +14,11 @@ from pyspark.sql.window import Window
 
 from cohortspark.contracts import PROFICIENCY_LEVELS, SEED
 from cohortspark.operators import aggregates, ranks
+from cohortspark.operators.quality import QualityError
 from cohortspark.session import materialize
 
 K_GRID = tuple(range(3, 9))
+MAX_REGIONS = 500
 FEATURES = (
     "taxa_alfabetizacao_2023", "taxa_alfabetizacao_2024", "media_portugues_2024", "taxa_presenca_2024", "log_porte", "share_rede_estadual",
 ) + PROFICIENCY_LEVELS
@@ -96,7 +98,9 @@ def cluster_territories(base: DataFrame, grid: Sequence[int] = K_GRID, restarts:
         F.avg("share_rede_estadual").alias("share_rede_estadual"))
     median = ranks.quantiles(rows, "n_avaliados", {"porte_mediano": 0.5}, ["cluster"])
     profile = profile.join(median, "cluster").join(aggregates.level_bands(rows, PROFICIENCY_LEVELS, ["cluster"]), "cluster")
-    regions = [r[0] for r in rows.select("nome_regiao").distinct().orderBy("nome_regiao").limit(100).collect()]
+    regions = [r[0] for r in rows.select("nome_regiao").distinct().orderBy("nome_regiao").limit(MAX_REGIONS + 1).collect()]
+    if len(regions) > MAX_REGIONS:
+        raise QualityError(f"more than {MAX_REGIONS} regions, the composition cannot be a column each")
     edges = ranks.quantile_edges(rows, "taxa_presenca_2024", 10)
     lowest = rows.where(F.col("taxa_presenca_2024") <= edges[1]) if len(edges) > 1 else rows
     return Clusters(rows, selection, profile, aggregates.crosstab_row_shares(rows, "cluster_nome", "nome_regiao", regions),
