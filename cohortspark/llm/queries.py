@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import licences, secret_scan
+from cohortspark.llm import decontam, licences, mixing, secret_scan, simhash
 from cohortspark.llm.common import table
 
 
@@ -13,9 +13,21 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(findings, "doc_id")
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.digest(decontam.phrase_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).drop("source", "copies")
+
+
 def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op9_license_scan)}
-ORACLE: dict[str, str] = {}
+def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.printed(simhash.groups(table(spark, folder, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_decontamination, op6_source_mixing, op9_license_scan, op10_simhash_groups)}
+ORACLE: dict[str, str] = {"op4_decontamination": decontam.ORACLE_SQL, "op6_source_mixing": mixing.ORACLE_SQL}
