@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import decontam, licences, mixing, secret_scan, simhash
+from cohortspark.llm import decontam, licences, mixing, secret_scan, simhash, toxicity
 from cohortspark.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, folder, "labels")))
+
+
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     findings, _ = secret_scan.scan(table(spark, folder, "documents"), "doc_id", "text")
     return secret_scan.digest(findings, "doc_id")
@@ -29,5 +34,5 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.printed(simhash.groups(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_decontamination, op6_source_mixing, op9_license_scan, op10_simhash_groups)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_secret_scan, op4_decontamination, op6_source_mixing, op9_license_scan, op10_simhash_groups)}
 ORACLE: dict[str, str] = {"op4_decontamination": decontam.ORACLE_SQL, "op6_source_mixing": mixing.ORACLE_SQL}
