@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import decontam, licences, mixing, secret_scan, simhash, toxicity
+from cohortspark.llm import decontam, licences, mixing, packing, secret_scan, simhash, toxicity
 from cohortspark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.digest(decontam.phrase_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op5_token_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).drop("source", "copies")
 
@@ -34,5 +38,5 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.printed(simhash.groups(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_secret_scan, op4_decontamination, op6_source_mixing, op9_license_scan, op10_simhash_groups)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_secret_scan, op4_decontamination, op5_token_packing, op6_source_mixing, op9_license_scan, op10_simhash_groups)}
 ORACLE: dict[str, str] = {"op4_decontamination": decontam.ORACLE_SQL, "op6_source_mixing": mixing.ORACLE_SQL}
