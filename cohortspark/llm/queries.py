@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortspark.llm import decontam, licences, mixing, packing, secret_scan, simhash, toxicity
+from cohortspark.llm import decontam, licences, mixing, packing, secret_scan, simhash, topk, toxicity
 from cohortspark.llm.common import table
 
 
@@ -13,6 +14,10 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(documents, toxicity.fit(documents, table(spark, folder, "labels")))
 
 
+def op2_cover_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     findings, _ = secret_scan.scan(table(spark, folder, "documents"), "doc_id", "text")
     return secret_scan.digest(findings, "doc_id")
@@ -38,5 +43,5 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.printed(simhash.groups(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_secret_scan, op4_decontamination, op5_token_packing, op6_source_mixing, op9_license_scan, op10_simhash_groups)}
-ORACLE: dict[str, str] = {"op4_decontamination": decontam.ORACLE_SQL, "op6_source_mixing": mixing.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_cover_tree_search, op3_secret_scan, op4_decontamination, op5_token_packing, op6_source_mixing, op9_license_scan, op10_simhash_groups)}
+ORACLE: dict[str, str] = {"op2_cover_tree_search": topk.ORACLE_SQL, "op4_decontamination": decontam.ORACLE_SQL, "op6_source_mixing": mixing.ORACLE_SQL}
