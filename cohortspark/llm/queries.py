@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import decontam, licences, lm, mixing, packing, secret_scan, simhash, topk, toxicity
+from cohortspark.llm import decontam, licences, lm, mixing, packing, secret_scan, simhash, substring, topk, toxicity
 from cohortspark.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).drop("source", "copies")
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.deduplicate(table(spark, folder, "documents"))
+
+
 def op8_pitman_yor_scores(spark: SparkSession, folder: str) -> DataFrame:
     return lm.scored(table(spark, folder, "documents"))
 
@@ -47,5 +51,5 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.printed(simhash.groups(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_cover_tree_search, op3_secret_scan, op4_decontamination, op5_token_packing, op6_source_mixing, op8_pitman_yor_scores, op9_license_scan, op10_simhash_groups)}
-ORACLE: dict[str, str] = {"op2_cover_tree_search": topk.ORACLE_SQL, "op4_decontamination": decontam.ORACLE_SQL, "op6_source_mixing": mixing.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_cover_tree_search, op3_secret_scan, op4_decontamination, op5_token_packing, op6_source_mixing, op7_substring_dedup, op8_pitman_yor_scores, op9_license_scan, op10_simhash_groups)}
+ORACLE: dict[str, str] = {"op2_cover_tree_search": topk.ORACLE_SQL, "op4_decontamination": decontam.ORACLE_SQL, "op6_source_mixing": mixing.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL}
