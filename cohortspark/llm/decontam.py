@@ -85,26 +85,40 @@ def _verified(words: Column, candidate: Column, length: int) -> Column:
     return F.flatten(F.transform(found, lambda j: F.sequence(first + j, first + j + width - 1)))
 
 
-def phrase_matches(
-    documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
-    item_id: str = "item_id", item_text: str = "text", length: int = LENGTH,
-) -> DataFrame:
-    """One row per document: doc_id, n_words, positions in a window (sorted), item_ids with such windows (sorted)."""
+def _judged(documents: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, length: int, carry: list[str]) -> DataFrame:
+    """(kept, a struct of the carried columns; words, hits)."""
     items = stage(_items(benchmark, item_id, item_text))
     found = candidates(documents, doc_id, text, items, length).join(items, "item")
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "start", "item_words")).alias("found"))
     found = found.withColumnRenamed("doc_id", "found_id")
-    whole = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    judged = whole.join(found, whole["doc_id"].eqNullSafe(F.col("found_id")), "left").select("doc_id", plain_words(F.col("text")).alias("words"), "found")
+    whole = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("kept"))
+    # As a generator's output the words are computed once per row; as a projection a later filter would repeat them per position.
+    judged = whole.join(found, whole["doc_id"].eqNullSafe(F.col("found_id")), "left").select("kept", F.explode(F.array(plain_words(F.col("text")))).alias("words"), "found")
     judged = judged.withColumn("hits", F.transform("found", lambda c: F.struct(c["item_id"].alias("item_id"), _verified(F.col("words"), c, length).alias("at"))))
-    hits = F.filter("hits", lambda h: F.size(h["at"]) > 0)
+    return judged.select("kept", "words", F.filter("hits", lambda h: F.size(h["at"]) > 0).alias("hits"))
+
+
+def phrase_matches(
+    documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
+    item_id: str = "item_id", item_text: str = "text", length: int = LENGTH,
+) -> DataFrame:
+    """One row per document: doc_id, n_words, positions in a window (sorted), item_ids with such windows (sorted)."""
     none = lambda kind: F.array().cast(kind)
-    return judged.withColumn("hits", hits).select(
-        "doc_id", F.size("words").cast("long").alias("n_words"),
+    return _judged(documents, benchmark, doc_id, text, item_id, item_text, length, [doc_id]).select(
+        F.col(f"kept.`{doc_id}`").alias("doc_id"), F.size("words").cast("long").alias("n_words"),
         F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["at"])))), none("array<int>")).alias("positions"),
         F.coalesce(F.array_compact(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))), none("array<string>")).alias("item_ids"))
 
 
+def uncontaminated(
+    documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
+    item_id: str = "item_id", item_text: str = "text", length: int = LENGTH,
+) -> DataFrame:
+    """The rows of ``documents``, all columns, in which no window of an item occurs."""
+    judged = _judged(documents, benchmark, doc_id, text, item_id, item_text, length, documents.columns)
+    return judged.where(F.coalesce(F.size("hits"), F.lit(0)) < 1).select("kept.*")
+
+
 def proximity_matches(
     documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
     item_id: str = "item_id", item_text: str = "text", length: int = LENGTH, slop: int = 5,

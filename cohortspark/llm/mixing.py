@@ -55,10 +55,11 @@ def offset(seed: int):
 
 def mix(
     documents: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text",
-    weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0,
+    weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    sized = stage(documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(blank_words(F.col(text))).cast("long").alias("size")))
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, and the columns in ``carry``."""
+    sized = stage(documents.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(blank_words(F.col(text))).cast("long").alias("size"), *carry))
     digits = max(2, math.ceil(math.log(max(sized.count(), 1) / PIECE_ROWS, 16)))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     sized = sized.withColumn("key", key).withColumn("piece", F.substring("key", 1, digits))
@@ -78,7 +79,17 @@ def mix(
     rank = F.col("start") + F.col("place")
     crossed = F.floor(rank * rate + F.col("offset")) - F.floor((rank - 1) * rate + F.col("offset"))
     copies = F.least(crossed, F.ceil(rate)).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry)
+
+
+def emitted(documents: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **recipe) -> DataFrame:
+    """The rows of ``documents``, all columns, each as often as it is drawn. ``documents`` must be a stored table: a row is
+    known by its place in it."""
+    columns = documents.columns
+    numbered = documents.withColumn("mixing_row", F.monotonically_increasing_id())
+    drawn = mix(numbered, doc_id, source, text, carry=("mixing_row",), **recipe).where("copies > 0").select("mixing_row", F.col("copies").alias("mixing_copies"))
+    repeated = numbered.join(drawn, "mixing_row").withColumn("mixing_copy", F.explode(F.sequence(F.lit(1), F.col("mixing_copies"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in columns])
 
 
 ORACLE_SQL = r"""

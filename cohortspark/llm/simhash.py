@@ -47,9 +47,9 @@ def shingle_hashes(text: bytes, size: int) -> list[int]:
     return [digest(b" ".join(s), SEED) for s in shingles]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """Majority of each bit as a signed 64-bit number."""
-    if not hashes:
+    if not len(hashes):
         return 0
     bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8)).reshape(-1, 64)
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).view(">i8")[0])
@@ -66,14 +66,19 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     return rows.mapInArrow(run, "doc_id long, fingerprint long")
 
 
-def pivots(count: int = PIVOTS) -> np.ndarray:
-    """Reference fingerprints: any will do, so they follow from the seed."""
-    return np.array([xxhash.xxh64_intdigest(f"pivot {i}", SEED) for i in range(count)], dtype=np.uint64)
+def pivots(width: int = 1, count: int = PIVOTS) -> np.ndarray:
+    """Reference fingerprints of ``width`` words: any will do, so they follow from the seed."""
+    return np.array([[xxhash.xxh64_intdigest(f"pivot {i} {k}", SEED) for k in range(width)] for i in range(count)], dtype=np.uint64)
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
 def near_pairs(prints: np.ndarray, bits: int, references: np.ndarray, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) of fingerprints within ``bits``, by the pivot table; about ``step`` pairs are held at a time."""
-    table = np.bitwise_count(prints[:, None] ^ references[None, :]).astype(np.int16)
+    """Index pairs (i, j) of fingerprints (rows of 64-bit words) within ``bits``, by the pivot table; about ``step`` pairs are
+    held at a time."""
+    table = np.stack([hamming(prints, r) for r in references], axis=1)
     order = np.argsort(table[:, 0], kind="stable")
     first = table[order, 0]
     after = np.searchsorted(first, first + bits, side="right") - np.arange(len(order)) - 1
@@ -88,13 +93,13 @@ def near_pairs(prints: np.ndarray, bits: int, references: np.ndarray, step: int
         for p in range(1, table.shape[1]):
             near = np.abs(table[i, p] - table[j, p]) <= bits
             i, j = i[near], j[near]
-        near = np.bitwise_count(prints[i] ^ prints[j]) <= bits
+        near = hamming(prints[i], prints[j]) <= bits
         yield i[near], j[near]
         low = high
 
 
 def forest(prints: np.ndarray, bits: int, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each linked fingerprint with the first one of its component inside the bucket."""
+    """Places of the linked fingerprints, and of the first one of their component inside the bucket."""
     pairs = list(near_pairs(prints, bits, references))
     i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
     label = np.arange(len(prints))
@@ -108,20 +113,20 @@ def forest(prints: np.ndarray, bits: int, references: np.ndarray) -> tuple[np.nd
             break
         label = new
     linked = np.flatnonzero(label != np.arange(len(label)))
-    return prints[linked], prints[label[linked]]
+    return linked, label[linked]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Fingerprints of one bucket after another, of rows sorted by bucket; a bucket may span batches."""
+def _runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[np.ndarray]:
+    """Fingerprints of one bucket after another, of rows sorted by their first ``by`` columns; a bucket may span batches."""
     rest: list[np.ndarray] = []
     last = None
     for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)])
-        prints = batch.column(4).to_numpy().view(np.uint64)
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(by)])
+        prints = np.stack([batch.column(c).to_numpy() for c in range(by, batch.num_columns)], axis=1).view(np.uint64)
         cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         for part, at in zip(np.split(prints, cuts), [0, *cuts]):
-            if not len(part):
-                continue
             key = tuple(keys[:, at])
             if key != last and rest:
                 yield np.concatenate(rest)
@@ -173,10 +178,10 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         references = pivots()
-        for bucket in _runs(batches):
+        for bucket in _runs(batches, 4):
             a, b = forest(bucket, bits, references)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[x, 0].view(np.int64)) for x in (a, b)], names=["a", "b"])
 
     by = ["table", "key", "part", "value"]
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
@@ -192,6 +197,100 @@ def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     return known.join(named.select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+# Near copies of a stated similarity, for which 64 bits are too few.
+WIDTH = 8
+SAMPLES, SAMPLE = 8, 3
+WIDE_PIVOTS = 8
+WIDE_BUCKET = 2_048
+
+
+def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """Another independent-looking hash of each hash."""
+    x = hashes + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(``WIDTH`` words of majority bits over the set of shingles, ``SAMPLES`` keys of its ``SAMPLE`` smallest under as many orders)."""
+    if not hashes:
+        return np.zeros(WIDTH, np.uint64), np.zeros(SAMPLES, np.uint64)
+    distinct = np.unique(np.array(hashes, dtype=np.uint64))
+    words = [np.array([fingerprint(_mixed(distinct, k + 1))], dtype=np.int64).view(np.uint64)[0] for k in range(WIDTH)]
+    keys = []
+    for s in range(SAMPLES):
+        order = _mixed(distinct, 1_000 + s)
+        least = np.sort(np.partition(order, SAMPLE - 1)[:SAMPLE] if len(order) > SAMPLE else order)
+        keys.append(_mixed(least, 2_000 + s).sum(dtype=np.uint64))
+    return np.array(words, dtype=np.uint64), np.array(keys, dtype=np.uint64)
+
+
+def bits_of(similarity: float, width: int = WIDTH) -> int:
+    """Bits in which fingerprints of ``width`` words differ at that Jaccard similarity of equally large sets, plus one standard
+    error, so that pairs at the similarity itself are mostly found."""
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(64 * width * angle + np.sqrt(64 * width * angle * (1 - angle)))
+
+
+def near_copies(documents: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row, class_row): each row with the row that stands for its group, the one of the smallest doc_id.
+
+    Two texts are linked if their ``WIDTH`` * 64-bit fingerprints differ in at most ``bits_of(similarity)`` bits, that is, if their
+    estimated similarity is high enough (standard error 0.02). Links are looked for among texts that share one of
+    ``SAMPLES`` keys, each made of ``SAMPLE`` shingles; texts of similarity 0.8 share none in 0.3 % of cases. Inside a bucket the
+    pivot table goes before the distances. A bucket of more than ``WIDE_BUCKET`` is dealt by pairs of keys."""
+    bits = bits_of(similarity)
+    words, keys = [f"w{k}" for k in range(WIDTH)], [f"k{s}" for s in range(SAMPLES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column(2)]
+            if found:
+                both = np.stack([np.concatenate(f) for f in found]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, both.T.copy())], names=["row", "doc_id", *words, *keys])
+
+    rows = documents.select(F.col(row).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    known = stage(rows.mapInArrow(run, "row long, doc_id long, " + ", ".join(f"{c} long" for c in words + keys)))
+    known = known.withColumn("node", F.xxhash64(*words))
+    distinct = known.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), *[F.any_value(c).alias(c) for c in words + keys])
+    sampled = lambda skip: F.array(*[F.struct(F.lit(s).alias("s"), F.col(k).alias("k")) for s, k in enumerate(keys) if s != skip])
+
+    def met(at: DataFrame, *by: str) -> DataFrame:
+        return at.join(at.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), list(by))
+
+    first = stage(met(distinct.select(F.explode(sampled(None)).alias("x"), *words, *keys).select("x.s", "x.k", *words, *keys), "s", "k"))
+    by = ["s", "k", "s2", "k2"]
+    small = first.where(F.col("n") <= WIDE_BUCKET).select("s", "k", F.lit(-1).alias("s2"), F.lit(0).cast("long").alias("k2"), *words)
+    large = first.where(F.col("n") > WIDE_BUCKET).select("s", "k", F.explode(sampled(None)).alias("x"), *words).select(
+        "s", "k", F.col("x.s").alias("s2"), F.col("x.k").alias("k2"), *words).where("s <> s2")
+    dealt = small.unionByName(met(large, *by).select(small.columns))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        references = pivots(WIDTH, WIDE_PIVOTS)
+        kinds = [f"{side}{w}" for side in "ab" for w in words]
+        for bucket in _runs(batches, 4):
+            a, b = forest(bucket, bits, references)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[x, k].view(np.int64)) for x in (a, b) for k in range(WIDTH)], names=kinds)
+
+    pairs = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(linked, ", ".join(f"{side}{w} long" for side in "ab" for w in words))
+    roots = components(pairs.select(*[F.xxhash64(*[f"{side}{w}" for w in words]).alias(side) for side in "ab"]))
+    named = distinct.select("node", "first").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    named = named.select("node", "first", F.coalesce("root", "node").alias("root"))
+    stands = named.groupBy("root").agg(F.min("first")["row"].alias("class_row"))
+    return known.select("row", "node").join(named.join(stands, "root").select("node", "class_row"), "node").select("row", "class_row")
+
+
+def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``documents`` without all but one row of each group of near copies. ``documents`` must be a stored table: a
+    row is known by its place in it."""
+    columns = documents.columns
+    numbered = documents.withColumn("near_copy_row", F.monotonically_increasing_id())
+    dropped = near_copies(numbered, "near_copy_row", doc_id, text, shingle, similarity).where("row <> class_row").select(F.col("row").alias("near_copy_row"))
+    return numbered.join(dropped, "near_copy_row", "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+
+
 def printed(groups: DataFrame) -> DataFrame:
     """The fingerprint as 16 lower-case hexadecimal digits."""
     return groups.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))

@@ -158,3 +158,14 @@ def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str
         F.col(doc_id).cast("long").alias("doc_id"), (crc_fold(F.col(doc_id), folds) == 0).alias("held_out"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``documents``, all columns, whose score is below one half."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances = Distances(model.toxic, model.ordinary)
+        for batch in batches:
+            kept = [model.score(features((t.as_py() or "").encode(), distances)) < 0.5 for t in batch.column(text)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
