@@ -52,6 +52,9 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def pieces(spark: SparkSession, rows: int, per_piece: int) -> int:
-    """Number of hash pieces so that each holds about ``per_piece`` rows, at least one per shuffle partition."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_piece))
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first of its longer forms that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

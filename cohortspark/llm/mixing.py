@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import blank_words, stage
+from cohortspark.llm.common import blank_words, stage, unused
 
 #: Rows that one piece of a hot size should hold; fixes how many md5 digits cut it.
 PIECE_ROWS = 20_000
@@ -85,11 +85,12 @@ def mix(
 def emitted(documents: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **recipe) -> DataFrame:
     """The rows of ``documents``, all columns, each as often as it is drawn. ``documents`` must be a stored table: a row is
     known by its place in it."""
-    columns = documents.columns
-    numbered = documents.withColumn("mixing_row", F.monotonically_increasing_id())
-    drawn = mix(numbered, doc_id, source, text, carry=("mixing_row",), **recipe).where("copies > 0").select("mixing_row", F.col("copies").alias("mixing_copies"))
-    repeated = numbered.join(drawn, "mixing_row").withColumn("mixing_copy", F.explode(F.sequence(F.lit(1), F.col("mixing_copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in columns])
+    row, copies = unused(documents, "mixing_row"), unused(documents, "mixing_copies")
+    numbered = documents.withColumn(row, F.monotonically_increasing_id())
+    drawn = mix(numbered, doc_id, source, text, carry=(row,), **recipe).where("copies > 0").select(row, F.col("copies").alias(copies))
+    each = F.explode(F.sequence(F.lit(1), F.col(copies)))
+    return numbered.join(drawn, row).select(*[F.col(f"`{c}`") for c in documents.columns], each.alias(unused(documents, "mixing_copy"))).select(
+        *[F.col(f"`{c}`") for c in documents.columns])
 
 
 ORACLE_SQL = r"""

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import LOWER, stage
+from cohortspark.llm.common import LOWER, stage, unused
 from cohortspark.llm.graph import components
 
 SEED = 42
@@ -285,10 +285,10 @@ def near_copies(documents: DataFrame, row: str, doc_id: str = "doc_id", text: st
 def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``documents`` without all but one row of each group of near copies. ``documents`` must be a stored table: a
     row is known by its place in it."""
-    columns = documents.columns
-    numbered = documents.withColumn("near_copy_row", F.monotonically_increasing_id())
-    dropped = near_copies(numbered, "near_copy_row", doc_id, text, shingle, similarity).where("row <> class_row").select(F.col("row").alias("near_copy_row"))
-    return numbered.join(dropped, "near_copy_row", "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    row = unused(documents, "near_copy_row")
+    numbered = documents.withColumn(row, F.monotonically_increasing_id())
+    dropped = near_copies(numbered, row, doc_id, text, shingle, similarity).where("row <> class_row").select(F.col("row").alias(row))
+    return numbered.join(dropped, row, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def printed(groups: DataFrame) -> DataFrame:
