@@ -19,9 +19,7 @@ from pyspark.sql.window import Window
 
 from cohortspark.session import materialize, shuffle_width
 
-_B, _SUB, _V = "_bucket", "_sub", "_value"
-# Tables counted to be at most this long are ranked in one window; longer ones by range buckets.
-SMALL_ROWS = 65_536
+_B, _SUB, _V, _REST = "_bucket", "_sub", "_value", "_rest"
 
 
 def fit_edges(df: DataFrame, value: str | Column, buckets: int | None = None) -> list[float]:
@@ -33,12 +31,12 @@ def fit_edges(df: DataFrame, value: str | Column, buckets: int | None = None) ->
     return sorted({float(e) for e in (row["e"] or []) if math.isfinite(e)}) or [0.0]
 
 
-def _measure(df: DataFrame, value: str) -> tuple[int, list[float]]:
-    """Row count and raw quantile cut points (repeats kept) in one aggregate."""
+def _measure(df: DataFrame, value: str) -> list[float]:
+    """Raw quantile cut points (repeats kept) in one aggregate."""
     buckets = shuffle_width(df.sparkSession)
     probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col(value).cast("double"), probs, 4 * buckets).alias("e")).first()
-    return row["n"], [float(e) for e in (row["e"] or []) if math.isfinite(e)]
+    row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 4 * buckets).alias("e")).first()
+    return [float(e) for e in (row["e"] or []) if math.isfinite(e)]
 
 
 def add_bucket(df: DataFrame, value: str, edges: Sequence[float], out: str = _B) -> DataFrame:
@@ -114,14 +112,7 @@ def cumulate(
     own_edges = None
     if edges is None:
         hist = materialize(hist)
-        size, cuts = _measure(hist, value)
-        if size <= SMALL_ROWS:
-            key = [F.col(c) for c in by] or [F.lit(0)]
-            before = Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-            whole = Window.partitionBy(*key)
-            return hist.select(
-                "*", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"{m}_before") for m in measures],
-                *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures])
+        cuts = _measure(hist, value)
         own_edges = fit_edges_by(hist, value, scale_of) if scale_of else None
         edges = (sorted(set(cuts)) or [0.0]) if own_edges is None else None
     rows = add_bucket(hist, value, edges) if own_edges is None else add_bucket_by(hist, value, scale_of, own_edges)
@@ -166,6 +157,14 @@ def _tie_value(df: DataFrame, tie: str) -> Column:
     return F.col(tie).cast("double")
 
 
+def _rest(df: DataFrame, value: str, descending: bool) -> Column:
+    """What a whole number differs from its double by, in rank order: with the double it identifies the number."""
+    if not isinstance(df.schema[value].dataType, T.LongType):
+        return F.lit(0)
+    whole = F.col(value).cast("decimal(38,0)")
+    return ((whole - F.col(value).cast("double").cast("decimal(38,0)")) * (-1 if descending else 1)).cast("int")
+
+
 def row_number(
     df: DataFrame, value: str, tie: str, out: str, descending: bool = False, by: Sequence[str] = (),
     with_total: str | None = None,
@@ -179,14 +178,11 @@ def row_number(
         _V, F.when(F.col(_V) == 0, F.lit(0.0)).otherwise(F.col(_V)))
     ordered = materialize(ordered)
     known = ordered.where(F.col(_V).isNotNull())
-    size, cuts = _measure(known, _V)
+    cuts = _measure(known, _V)
+    # The double only picks the bucket; whole numbers beyond 2**53 are told apart by themselves.
+    exact = F.col(value).desc() if descending else F.col(value).asc()
     blank = [F.lit(None).cast("bigint").alias(c) for c in [out] + ([with_total] if with_total else [])]
     unknown = ordered.where(F.col(_V).isNull()).select(*plain, *blank)
-    if size <= SMALL_ROWS:
-        key = [F.col(c) for c in by] or [F.lit(0)]
-        count = [F.count(F.lit(1)).over(Window.partitionBy(*key)).alias(with_total)] if with_total else []
-        place = F.row_number().over(Window.partitionBy(*key).orderBy(_V, tie)).cast("bigint")
-        return known.select(*plain, place.alias(out), *count).unionByName(unknown)
     edges = sorted(set(cuts)) or [0.0]
     hot = sorted({e for e in cuts if cuts.count(e) > 1})
     rows = add_bucket(known, _V, edges)
@@ -199,9 +195,11 @@ def row_number(
         rows = rows.withColumn(_SUB, F.when(F.col(_B) % 2 == 0, F.col("_tie_bucket")).otherwise(0)).drop("_tie_key", "_tie_bucket")
     else:
         rows = rows.withColumn(_SUB, F.lit(0))
-    totals = rows.groupBy(*by, _B, _SUB).agg(F.count(F.lit(1)).alias("_cnt"))
-    joined = _join(rows, _offsets(totals, ["_cnt"], by, [_B, _SUB]), [*by, _B, _SUB])
-    local = Window.partitionBy(*by, _B, _SUB).orderBy(_V, tie)
+    rows = rows.withColumn(_REST, F.when(F.col(_B) % 2 == 0, _rest(df, value, descending)).otherwise(0))
+    place = [_B, _REST, _SUB]
+    totals = rows.groupBy(*by, *place).agg(F.count(F.lit(1)).alias("_cnt"))
+    joined = _join(rows, _offsets(totals, ["_cnt"], by, place), [*by, *place])
+    local = Window.partitionBy(*by, *place).orderBy(_V, exact, tie)
     extra = [F.col("_t__cnt").alias(with_total)] if with_total else []
     ranked = joined.select(*plain, (F.col("_o__cnt") + F.row_number().over(local)).alias(out), *extra)
     return ranked.unionByName(unknown)
@@ -216,20 +214,17 @@ def tied_rank(
     ordered = materialize(ordered)
     known = ordered.where(F.col(_V).isNotNull())
     unknown = ordered.where(F.col(_V).isNull()).select(*plain, F.lit(None).cast(rank_type(method)).alias(out))
-    size, cuts = _measure(known, _V)
-    if size <= SMALL_ROWS:
-        key = [F.col(c) for c in by] or [F.lit(0)]
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*key, _V))
-        place = F.rank().over(Window.partitionBy(*key).orderBy(_V)) + ((ties - 1) / 2 if method == "average" else F.lit(0))
-        return known.select(*plain, place.cast(rank_type(method)).alias(out)).unionByName(unknown)
+    cuts = _measure(known, _V)
     rows = add_bucket(known, _V, sorted(set(cuts)) or [0.0])
     spread = F.pmod(F.xxhash64(*plain), F.lit(shuffle_width(df.sparkSession))).cast("int")
     rows = rows.withColumn(_SUB, F.when(F.col(_B) % 2 == 0, spread).otherwise(0))
-    totals = rows.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = _offsets(totals, ["_cnt"], by, [_B])
-    joined = _join(_join(rows, totals, [*by, _B], not by), offsets, [*by, _B], not by)
-    local = Window.partitionBy(*by, _B, _SUB).orderBy(_V)
-    same = Window.partitionBy(*by, _B, _SUB, _V)
+    rows = rows.withColumn(_REST, F.when(F.col(_B) % 2 == 0, _rest(df, value, descending)).otherwise(0))
+    place = [_B, _REST]
+    totals = rows.groupBy(*by, *place).agg(F.count(F.lit(1)).alias("_cnt"))
+    offsets = _offsets(totals, ["_cnt"], by, place)
+    joined = _join(_join(rows, totals, [*by, *place]), offsets, [*by, *place])
+    local = Window.partitionBy(*by, *place, _SUB).orderBy(_V, F.col(value).desc() if descending else F.col(value).asc())
+    same = Window.partitionBy(*by, *place, _SUB, _V, F.col(value))
     single = F.col(_B) % 2 == 0
     first = F.when(single, F.lit(1)).otherwise(F.rank().over(local))
     ties = F.when(single, F.col("_cnt")).otherwise(F.count(F.lit(1)).over(same))

@@ -21,13 +21,6 @@ def spark():
     session.stop()
 
 
-@pytest.fixture()
-def ranged(monkeypatch):
-    """Force the range-bucket path that large tables take."""
-    from cohortspark.operators import ranks
-    monkeypatch.setattr(ranks, "SMALL_ROWS", 0)
-
-
 @pytest.fixture(scope="session")
 def folder():
     if not os.path.isdir(DATA):

@@ -21,10 +21,17 @@ def table(spark, frame):
     return spark.createDataFrame(frame).withColumn("v", F.when(~F.isnan("v"), F.col("v"))).cache()
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_ranks_match_pandas(table, frame, monkeypatch, small):
-    if not small:
-        monkeypatch.setattr(ranks, "SMALL_ROWS", 0)
+def test_large_integers_keep_their_order(spark):
+    """Neighbours that are one double are told apart."""
+    top = 2 ** 53
+    df = spark.createDataFrame([(i, top + 7 - i) for i in range(7)], "id long, v long")
+    got = {r["v"]: r["r"] for r in ranks.row_number(df, "v", "id", "r").collect()}
+    assert [got[v] for v in sorted(got)] == list(range(1, 8))
+    got = {r["v"]: r["r"] for r in ranks.row_number(df, "v", "id", "r", descending=True).collect()}
+    assert [got[v] for v in sorted(got)] == list(range(7, 0, -1))
+
+
+def test_ranks_match_pandas(table, frame):
     got = ranks.tied_rank(table, "v", "r").toPandas().sort_values("id")
     assert np.allclose(got.r, frame.v.rank(), equal_nan=True)
     got = ranks.tied_rank(table, "v", "r", ["g"], "min", True).toPandas().sort_values("id")
@@ -37,7 +44,7 @@ def test_ranks_match_pandas(table, frame, monkeypatch, small):
     assert np.allclose(binned.b.astype(float), pd.qcut(frame.v.rank(method="first"), 10, labels=False) + 1, equal_nan=True)
 
 
-def test_text_tie_break_and_scales(spark, ranged):
+def test_text_tie_break_and_scales(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"k": [f"u{i:05d}" for i in rng.permutation(2000)], "v": 1.0})
     got = ranks.row_number(spark.createDataFrame(pdf), "v", "k", "r").toPandas().sort_values("k")
@@ -47,7 +54,7 @@ def test_text_tie_break_and_scales(spark, ranged):
     assert np.allclose(q, wide.groupby("f").v.median())
 
 
-def test_no_base_window_without_partition(table, ranged):
+def test_no_base_window_without_partition(table):
     plan = ranks.row_number(table, "v", "id", "r")._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "row_number()" in line and "Window" in line]
     assert windows and all("_bucket" in line for line in windows)

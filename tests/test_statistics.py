@@ -54,11 +54,7 @@ def brute(y, p):
     return auc, ap, ks
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_ranking_metrics(spark, scores, monkeypatch, small):
-    if not small:
-        from cohortspark.operators import ranks
-        monkeypatch.setattr(ranks, "SMALL_ROWS", 0)
+def test_ranking_metrics(spark, scores):
     df = spark.createDataFrame(scores)
     r = metrics.ranking_metrics(df, "y", "p").first()
     auc, ap, ks = brute(scores.y.to_numpy(), scores.p.to_numpy())
