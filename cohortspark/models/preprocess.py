@@ -97,7 +97,7 @@ def fit_preprocessor(
     for c in numeric if indicators else ():
         s = stats[c]
         if s["gone"]:
-            expressions.append((f"(if(`{c}` is null, 1D, 0D) - {s['gone']!r}D) / {s['gone_sd']!r}D", OutputColumn(f"{c}=NULL", c, "missing")))
+            expressions.append((f"(if(nanvl(cast(`{c}` as double), null) is null, 1D, 0D) - {s['gone']!r}D) / {s['gone_sd']!r}D", OutputColumn(f"{c}=NULL", c, "missing")))
     levels = _levels(df, [*categorical, *rare], max_levels) if categorical or rare else {}
     for c in categorical:
         named: dict[str, int] = {}

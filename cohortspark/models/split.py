@@ -17,8 +17,15 @@ def assert_disjoint(df: DataFrame, side: str, group: str = GROUP) -> None:
         raise QualityError(f"groups on both sides of {side}: {[r[group] for r in bad]}")
 
 
+def assert_grouped(df: DataFrame, group: str) -> None:
+    """Splits by group are undefined for rows without one, and must not lose them."""
+    if df.where(F.col(group).isNull()).limit(1).count():
+        raise QualityError(f"rows without {group}")
+
+
 def holdout(df: DataFrame, fraction: float = 0.20, seed: int = SEED, group: str = GROUP, out: str = "teste") -> DataFrame:
     """Marks a fraction of the *groups* (rounded up) as held out, in a seeded hash order."""
+    assert_grouped(df, group)
     groups = ranks.hash_position(df.select(group).distinct(), [group], seed, "_pos")
     total = df.agg(F.count_distinct(group).alias("n")).scalar()
     sides = groups.select(group, (F.col("_pos") <= F.ceil(F.lit(fraction) * total)).alias(out))
@@ -27,6 +34,7 @@ def holdout(df: DataFrame, fraction: float = 0.20, seed: int = SEED, group: str
 
 def folds(df: DataFrame, k: int = 5, seed: int = SEED, label: str = TARGET, group: str = GROUP, out: str = "fold") -> DataFrame:
     """Adds a fold per group: groups ordered by size tier and prevalence are dealt out in a serpentine."""
+    assert_grouped(df, group)
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.avg(label).alias("_p"))
     edges = ranks.quantile_edges(sizes, "_n", 5)
     tier = sum((F.when(F.col("_n") > e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))

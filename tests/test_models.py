@@ -147,3 +147,17 @@ def test_settings_and_edges(spark):
     table = spark.createDataFrame([(0, 0.6, 10.0, 5.0), (1, 0.7, 20.0, 6.0), (2, 0.65, 15.0, 7.0)], "iteracao int, roc_auc double, p double, q double")
     flags = {r.parametro: r.na_borda for r in tuning.edge_flags(table, ["p", "q"]).collect()}
     assert flags == {"p": True, "q": False}
+
+
+def test_rows_without_group_are_refused(spark):
+    df = spark.createDataFrame([(1, 1), (None, 0), (2, 1)], "g int, y int")
+    for make in (lambda: split.holdout(df, group="g"), lambda: split.folds(df, 2, label="y", group="g")):
+        with pytest.raises(quality.QualityError):
+            make()
+
+
+def test_nan_is_flagged_like_null(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
+    fitted = preprocess.fit_preprocessor(df, ["x"])
+    flags = [r["features"][1] for r in fitted.transform(df).collect()]
+    assert flags[1] == flags[3] > 0 > flags[0] == flags[2]
