@@ -126,19 +126,18 @@ def capacity_curve(df: DataFrame, label: str, score: str, key: str, fractions: S
     The cut size is the half-even rounded share of the rows, one at least.
     """
     placed = ranks.row_number(df.select(label, score, key), score, key, "_pos", descending=True, with_total="_n")
-    chosen = placed.select(
-        label, "_pos", "_n",
-        F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fracao_atendida"))
-    cut = F.greatest(F.bround(F.round(F.col("fracao_atendida") * F.col("_n"), 9)), F.lit(1))
-    inside = F.col("_pos") <= cut
-    hits = F.sum(F.when(inside, F.col(label)).otherwise(0))
-    served, total = F.max(cut), F.sum(label)
-    return chosen.groupBy("fracao_atendida").agg(
-        served.cast("bigint").alias("n_atendidos"),
-        F.try_divide(hits, total).alias("recall"),
-        (hits / served).alias("precisao"),
-        F.try_divide(hits / served, F.avg(label)).alias("lift"),
-    )
+    cuts = {f: F.greatest(F.bround(F.round(F.lit(float(f)) * F.col("_n"), 9)), F.lit(1)) for f in fractions}
+    hits = [F.sum(F.when(F.col("_pos") <= cut, F.col(label)).otherwise(0)).alias(f"h{i}") for i, cut in enumerate(cuts.values())]
+    served = [F.max(cut).alias(f"s{i}") for i, cut in enumerate(cuts.values())]
+    sums = placed.agg(F.sum(label).alias("total"), F.avg(label).alias("mean"), F.count(F.lit(1)).alias("rows"), *hits, *served)
+    each = F.explode(F.array(*[
+        F.struct(F.lit(float(f)).alias("fracao_atendida"), F.col(f"h{i}").alias("hits"), F.col(f"s{i}").alias("served")) for i, f in enumerate(cuts)]))
+    return sums.where("rows > 0").select("total", "mean", each.alias("c")).select(
+        "c.fracao_atendida",
+        F.col("c.served").cast("bigint").alias("n_atendidos"),
+        F.try_divide("c.hits", "total").alias("recall"),
+        (F.col("c.hits") / F.col("c.served")).alias("precisao"),
+        F.try_divide(F.col("c.hits") / F.col("c.served"), F.col("mean")).alias("lift"))
 
 
 def lift_by_decile(df: DataFrame, label: str, score: str, key: str, bins: int = 10) -> DataFrame:

@@ -214,14 +214,14 @@ def variance_between(df: DataFrame, unit: str, parent: str, label: str = "alfabe
         F.lit(minimum).alias("porte_minimo"), "*", (1 - F.col("variancia_entre")).alias("variancia_dentro"))
 
 
-SIZE_BANDS = ((0, 20), (20, 50), (50, 80), (80, 10**9))
+SIZE_BANDS = ((0, 20), (20, 50), (50, 80), (80, None))
 
 
 def auc_by_size_band(df: DataFrame, feature: str, size: str, label: str, unit: str, bands=SIZE_BANDS, least: int = 1000) -> DataFrame:
     band = None
     for low, high in bands:
-        name = f"{low}–{high}" if high < 10**9 else f"≥ {low}"
-        inside = (F.col(size) >= low) & (F.col(size) < high)
+        name = f"≥ {low}" if high is None else f"{low}–{high}"
+        inside = F.col(size) >= low if high is None else (F.col(size) >= low) & (F.col(size) < high)
         band = F.when(inside, name) if band is None else band.when(inside, name)
     rows = df.withColumn("faixa_porte", band).where(F.col("faixa_porte").isNotNull() & F.col(feature).isNotNull())
     sizes = rows.groupBy("faixa_porte").agg(F.count(F.lit(1)).alias("n_alunos"), F.count_distinct(unit).alias("n_escolas"))
@@ -308,7 +308,7 @@ def yearly_change(lag: DataFrame, current: DataFrame, key: str) -> DataFrame:
     pairs = two_periods(lag, current, key).withColumn("delta_pp", (F.col("taxa_atual") - F.col("taxa_lag")) * 100)
     both = lambda low, high: F.col("n_lag").between(low, high) & F.col("n_atual").between(low, high)
     bands = F.array_compact(F.array(
-        F.lit("todos"), F.when(both(0, 49), "< 50"), F.when(both(50, 199), "50–200"), F.when(both(200, 2**31 - 1), ">= 200")))
+        F.lit("todos"), F.when(both(0, 49), "< 50"), F.when(both(50, 199), "50–200"), F.when((F.col("n_lag") >= 200) & (F.col("n_atual") >= 200), ">= 200")))
     long = pairs.select("delta_pp", F.explode(bands).alias("faixa"))
     return aggregates.measure_summary(long, "delta_pp", ["faixa"]).join(
         long.groupBy("faixa").agg(share(F.col("delta_pp") < 0).alias("share_que_piorou")), "faixa")

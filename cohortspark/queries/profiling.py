@@ -200,14 +200,14 @@ def feature_auc_ranking(spark, folder):
     return metrics.auc_by_feature(B.dataset(spark, folder), C.TARGET, FEATURE_AUC)
 
 
-BANDS = ((0, 30), (30, 50), (50, 10**9))
+BANDS = ((0, 30), (30, 50), (50, None))
 
 
 @query("auc_by_school_size", B.with_ctes(" UNION ALL ".join(
     f"SELECT '{n}' AS faixa_porte, (SELECT count(*) FROM {t}) AS n_alunos, (SELECT count(DISTINCT mun_prof_p50_lag1) FROM {t}) AS n_escolas, "
     f"({AUC_OF.format(y='risco_nao_alfabetizacao', s='esc_taxa_alfab_lag1', t=t)}) AS auc WHERE (SELECT count(*) FROM {t}) >= 100"
     for n, t in (("0–30", "b0"), ("30–50", "b1"), ("≥ 50", "b2"))), "dataset",
-    extra={f"b{i}": f"SELECT * FROM dataset WHERE esc_n_alunos_lag1 >= {a} AND esc_n_alunos_lag1 < {b} AND esc_taxa_alfab_lag1 IS NOT NULL" for i, (a, b) in enumerate(BANDS)}), ["auc"])
+    extra={f"b{i}": f"SELECT * FROM dataset WHERE esc_n_alunos_lag1 >= {a} AND {f"esc_n_alunos_lag1 < {b} AND" if b else ""} esc_taxa_alfab_lag1 IS NOT NULL" for i, (a, b) in enumerate(BANDS)}), ["auc"])
 def auc_by_school_size(spark, folder):
     return profile.auc_by_size_band(B.dataset(spark, folder), "esc_taxa_alfab_lag1", "esc_n_alunos_lag1", C.TARGET, "mun_prof_p50_lag1", BANDS, least=100)
 
