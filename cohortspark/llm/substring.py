@@ -5,8 +5,9 @@ starts in a document with a smaller id; windows are judged on the input.
 
 1. Routing. The words of every window have a smallest hash among their ``GRAM``-word shingles, the window's key. Equal windows
    have equal keys, and neighbouring windows mostly share theirs, so a document falls into segments of one key each.
-   A key that only one row has cannot hold a repeated window; each task first settles the keys that it sees twice
-   itself and announces the others once, so a key with a third of all rows is a few announcements.
+   A key that only one text has cannot hold a repeated window; each task first settles the keys that it sees twice
+   itself and announces the others once, so a key with a third of all rows is a few announcements. Equal texts, known by their
+   XXH64 value, count as one row; all but the one of the smallest id lose every word that a window covers.
 2. Segments of repeated keys go to the shard of their key, once per task and text: in a task, all but the smallest
    document of equal segments are covered at once. Keys with over ``HOT`` segments are dealt by window instead.
 3. A shard writes its distinct segments one after another, sorts their suffixes by the first 16 words, and keeps the
@@ -40,7 +41,7 @@ from cohortspark.llm.common import stage
 WINDOW = 13
 GRAM = 5
 SHARD_WORDS = 400_000
-HOT = 500
+HOT = 5_000
 CACHE = 200_000
 DEPTH_ROUNDS = 4  # suffixes are sorted by their first 2**4 words, which must not be fewer than a window
 
@@ -144,29 +145,45 @@ DONE, SEGMENT, COVERED, PENDING = range(4)
 
 
 def _combine(found: dict[tuple[int, bytes], list[tuple[int, int, int, int]]]) -> Iterator[dict]:
-    """Of equal texts, segments of the smallest document; the places of all others are covered."""
+    """Of equal texts, segments of the smallest document; the places of all others are covered, touching ones as one."""
+    covered: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for (key, text), places in found.items():
         least = min(p[0] for p in places)
         for doc, row, start, count in dict.fromkeys(places):
-            part = {"doc_id": doc, "row": row, "start": start, "count": count}
-            yield part | ({"kind": SEGMENT, "key": key, "text": text} if doc == least else {"kind": COVERED})
+            if doc == least:
+                yield {"kind": SEGMENT, "doc_id": doc, "row": row, "start": start, "count": count, "key": key, "text": text}
+            else:
+                covered.setdefault((doc, row), []).append((start, start + count))
+    for (doc, row), spans in covered.items():
+        first = last = None
+        for start, end in sorted(spans):
+            if first is not None and start <= last:
+                last = max(last, end)
+                continue
+            if first is not None:
+                yield {"kind": COVERED, "doc_id": doc, "row": row, "start": first, "count": last - first}
+            first, last = start, end
+        yield {"kind": COVERED, "doc_id": doc, "row": row, "start": first, "count": last - first}
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows without repeated keys are done; the others give segments, covered places, and wait with their text."""
+    """Copies of a smaller document and rows without repeated keys are done; the others give segments, covered places, and
+    wait with their text."""
     hashes, zip_, unzip = Hashes(), zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
     for batch in batches:
         parts: list[dict] = []
         found: dict[tuple[int, bytes], list] = {}
-        for doc, row, packed, keys in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "row", "packed", "keys")]):
+        for doc, row, packed, least, keys in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "row", "packed", "least", "keys")]):
             text = unzip.decompress(packed)
             words = text.split()
-            if keys is None:
-                parts.append({"kind": DONE, "doc_id": doc, "row": row, "n_words": len(words), "digest": kept_digest(words, np.zeros(len(words)))})
+            copy = doc is not None and doc > least and len(words) >= WINDOW
+            if copy or keys is None or doc is None or doc > least:
+                parts.append({"kind": DONE, "doc_id": doc, "count": len(words) * copy, "n_words": len(words), "digest": kept_digest(words, np.full(len(words), copy))})
                 continue
             parts.append({"kind": PENDING, "doc_id": doc, "row": row, "text": zip_.compress(text)})
             wanted = set(keys)
-            for key, start, count in zip(*[x.tolist() for x in (lambda k, s, c: (k.view(np.int64), s, c))(*segments(words, hashes))]):
+            ids, starts, counts = segments(words, hashes)
+            for key, start, count in zip(ids.view(np.int64).tolist(), starts.tolist(), counts.tolist()):
                 if key in wanted:
                     found.setdefault((key, b" ".join(words[start:start + count + WINDOW - 1])), []).append((doc, row, start, count))
         parts += _combine(found)
@@ -334,15 +351,17 @@ def covered_places(parts: DataFrame) -> DataFrame:
 def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("row"), "text")
     packed = rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(_packed, "doc_id long, row long, packed binary")
-    joined = packed.join(repeated_keys(rows), "row", "left").select("doc_id", "row", "packed", "keys")
+    owners = rows.where("doc_id is not null").groupBy("row").agg(F.min("doc_id").alias("least"))
+    told = owners.join(repeated_keys(rows), "row", "left")
+    joined = packed.join(told, "row", "left").select("doc_id", "row", "packed", "least", "keys")
     parts = stage(joined.mapInArrow(_cut, PARTS))
     covered = covered_places(parts).groupBy("row", "doc_id").agg(F.collect_list(F.struct("low", "high")).alias("covered"))
     waiting = parts.where(F.col("kind") == PENDING).select("row", "doc_id", "text")
     finished = waiting.join(covered, ["row", "doc_id"], "left").select("doc_id", "text", "covered").mapInArrow(
         _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    done = parts.where(F.col("kind") == DONE).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"))
+    done = parts.where(F.col("kind") == DONE).select("doc_id", "n_words", F.col("count").cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"))
     return done.unionByName(finished)
 
 
