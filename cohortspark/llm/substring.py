@@ -126,12 +126,47 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "keys"])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, keys): of rows sorted by row, all keys of each in one list; a row may span batches."""
+    last, held = None, []
+
+    def told(rows: np.ndarray, bounds: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(keys))
+        return pa.RecordBatch.from_arrays([pa.array(rows), lists], names=["row", "keys"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows, lists = batch.column(0).to_numpy(), batch.column(1)
+        keys, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        bounds = np.concatenate([[0], ends])[np.append(starts, len(rows))]
+        if last is not None and rows[0] != last:
+            whole = np.concatenate(held)
+            yield told(np.array([last]), np.array([0, len(whole)]), whole)
+            held = []
+        head = held if last == rows[0] else []
+        first = np.concatenate([*head, keys[:bounds[1]]])
+        last = rows[-1]
+        if len(starts) == 1:
+            held = [first]
+            continue
+        keys = np.concatenate([first, keys[bounds[1]:]])
+        bounds = bounds + (len(first) - bounds[1])
+        bounds[0] = 0
+        held = [keys[bounds[-2]:]]
+        yield told(rows[starts[:-1]], bounds[:-1], keys[:bounds[-2]])
+    if last is not None:
+        whole = np.concatenate(held)
+        yield told(np.array([last]), np.array([0, len(whole)]), whole)
+
+
 def repeated_keys(rows: DataFrame) -> DataFrame:
     """(row, keys): the keys of each row that another row has too."""
     told = rows.where("doc_id is not null").select("row", F.col("text").cast("binary").alias("text")).mapInArrow(
         _announce, "route long, key long, row long, known array<long>")
     found = told.repartition("route").sortWithinPartitions("key").mapInArrow(_repeated, "row long, keys array<long>")
-    return found.groupBy("row").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    return found.repartition("row").sortWithinPartitions("row").mapInArrow(_gathered, "row long, keys array<long>")
 
 
 def kept_digest(words: list[bytes], removed: np.ndarray) -> str:

@@ -421,3 +421,18 @@ def test_seats_keep_count():
         assert seats.sizes.sum() == 46 and (np.add.reduceat(seats.sizes, np.cumsum(seats.tables) - seats.tables) == seats.customers).all()
         assert (seats.tables >= 1).all() and (seats.sizes >= 1).all()
 
+
+def test_gathered_keys_span_batches():
+    import pyarrow as pa
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        rows = np.sort(rng.integers(0, 6, rng.integers(1, 30)))
+        lists = [rng.integers(0, 99, rng.integers(1, 4)).tolist() for _ in rows]
+        cuts = sorted(rng.integers(0, len(rows) + 1, 3).tolist())
+        batches = [pa.RecordBatch.from_arrays([pa.array(rows[a:b]), pa.array(lists[a:b], pa.list_(pa.int64()))], names=["row", "keys"])
+                   for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        got = [(r, k) for b in substring._gathered(iter(batches)) for r, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        want = collections.defaultdict(list)
+        for r, k in zip(rows.tolist(), lists):
+            want[r] += k
+        assert got == sorted(want.items())
