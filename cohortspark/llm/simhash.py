@@ -12,7 +12,7 @@ the survivors' Hamming distance is computed. No pair within ``bits`` is lost.
 
 Equal texts share a fingerprint and count once. A bucket of more than ``BUCKET`` fingerprints is cut exactly: the bits
 outside its two blocks form ``bits`` + 1 parts, of which linked fingerprints agree in one, so it is dealt by part
-instead. A bucket gives a spanning forest, not its pairs.
+instead, and one that stays above ``WIDE_BUCKET`` by pairs of blocks. A bucket gives a spanning forest, not its pairs.
 
 Defined cases: a NULL text has no words; texts without words share fingerprint zero, linked like any other; fewer words
 than a shingle make one shingle; repeated rows and ids are grouped like copies; a NULL id never becomes a component's
@@ -98,20 +98,24 @@ def near_pairs(prints: np.ndarray, bits: int, references: np.ndarray, step: int
         low = high
 
 
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Component labels after linking the places ``i`` and ``j``: each label is the first place of its component."""
+    i, j = label[i], label[j]
+    while (apart := i != j).any():
+        i, j = i[apart], j[apart]
+        np.minimum.at(label, np.maximum(i, j), np.minimum(i, j))
+        while (label[label] != label).any():
+            label = label[label]
+        i, j = label[i], label[j]
+    return label
+
+
 def forest(prints: np.ndarray, bits: int, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the linked fingerprints, and of the first one of their component inside the bucket."""
-    pairs = list(near_pairs(prints, bits, references))
-    i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    """Places of the linked fingerprints, and of the first one of their component inside the bucket. The pairs of a step are
+    united as they come and not kept."""
     label = np.arange(len(prints))
-    while True:
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
+    for i, j in near_pairs(prints, bits, references):
+        label = merged(label, i, j)
     linked = np.flatnonzero(label != np.arange(len(label)))
     return linked, label[linked]
 
@@ -146,6 +150,15 @@ def _cuts(width: int, parts: int) -> list[int]:
     return [width * k // parts for k in range(parts + 1)]
 
 
+def _blocks(rows: DataFrame, node: str, blocks, *by: str) -> DataFrame:
+    """``rows`` with the columns x, y: a group of ``blocks`` blocks is dealt by pairs of blocks, so that any two of its rows
+    meet and no task holds more than two blocks."""
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(node, F.lit(7)), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    return rows.drop("blocks", "own", "other").repartition(*by, "x", "y").sortWithinPartitions(*by, "x", "y")
+
+
 def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     """(a, b): a spanning forest of each bucket over the distinct fingerprints of ``prints``."""
     edges = _cuts(64, bits + 2)
@@ -169,7 +182,7 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
         return found
 
     whole = stage(met(keyed, "table", "key"))
-    small = whole.where(F.col("n") <= BUCKET).select("table", "key", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("value"), "fingerprint")
+    small = whole.where(F.col("n") <= BUCKET).select("table", "key", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("value"), "n", "fingerprint")
     parts = F.lit(None)
     for n in range(len(tables)):
         parts = F.when(F.col("table") == n, F.array(*part_keys(n))).otherwise(parts) if n else F.when(F.col("table") == n, F.array(*part_keys(n)))
@@ -178,13 +191,14 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         references = pivots()
-        for bucket in _runs(batches, 4):
+        for bucket in _runs(batches, 6):
             a, b = forest(bucket, bits, references)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[x, 0].view(np.int64)) for x in (a, b)], names=["a", "b"])
 
     by = ["table", "key", "part", "value"]
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
+    dealt = _blocks(dealt, "fingerprint", F.ceil(F.col("n") / WIDE_BUCKET).cast("long"), *by).select(*by, "x", "y", "fingerprint")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:

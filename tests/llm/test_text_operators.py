@@ -169,6 +169,39 @@ def test_near_copies(spark, tmp_path):
     assert kept.columns == frame(spark, []).columns and simhash.one_of_each(stored(spark, [], tmp_path)).count() == 0
 
 
+def test_hot_bucket_is_dealt_in_blocks(spark, monkeypatch):
+    """No group of a bucket that parts do not split has more than two blocks, and no link is lost."""
+    prints = [(a << 40) | (1 << b) for a in range(3) for b in range(24)]
+    df = spark.createDataFrame([(p,) for p in prints], "fingerprint long")
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    monkeypatch.setattr(simhash, "WIDE_BUCKET", 6)
+    dealt = simhash._blocks(df.withColumn("k", F.lit(1)), "fingerprint", F.lit(12).cast("long"), "k")
+    sizes = [r["count"] for r in dealt.groupBy("k", "x", "y").count().collect()]
+    assert len(sizes) > 60 and max(sizes) < len(prints) / 2
+    tops = plain_components(prints, 2)
+    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
+    assert [found.get(p, p) for p in prints] == [min(q for q, t in zip(prints, tops) if t == k) for k in tops]
+
+
+def test_forest_keeps_no_pairs(monkeypatch):
+    """Pairs of each step are united before the next step is made."""
+    live = []
+
+    class Pairs(np.ndarray):
+        def __del__(self):
+            live.remove(1)
+
+    def steps(*_):
+        for k in range(50):
+            live.append(1)
+            yield np.array([k]).view(Pairs), np.array([k + 1])
+            assert len(live) < 4
+
+    monkeypatch.setattr(simhash, "near_pairs", steps)
+    places, tops = simhash.forest(np.zeros((51, 1), dtype=np.uint64), 2, None)
+    assert places.tolist() == list(range(1, 51)) and not tops.any()
+
+
 # -- decontamination
 
 
