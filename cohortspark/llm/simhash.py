@@ -21,8 +21,10 @@ name unless the component has no other; an empty table gives an empty result; ot
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -211,11 +213,19 @@ def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     return known.join(named.select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-# Near copies of a stated similarity, for which 64 bits are too few.
+# Near copies of a stated Jaccard similarity of their sets of shingles.
 WIDTH = 8
-SAMPLES, SAMPLE = 8, 3
-WIDE_PIVOTS = 8
-WIDE_BUCKET = 2_048
+#: From this many shingles on, majority bits may discard a pair; below, only what is proved does.
+LARGE = 500
+STAR = 160
+ERRORS = 6
+#: Fingerprints in a block of a bucket, and shingles in a block of a group to verify.
+WIDE_BUCKET = 4_096
+VERIFIED = 1 << 20
+#: One text in ``SAMPLED`` is read to find the commonest shingles, at most ``COMMON`` of them.
+SAMPLED, COMMON = 64, 1 << 16
+#: Bits of the map by which texts that are in no group stay where they are; a clash only moves one more text.
+MARKS = 1 << 26
 
 
 def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
@@ -226,71 +236,200 @@ def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(``WIDTH`` words of majority bits over the set of shingles, ``SAMPLES`` keys of its ``SAMPLE`` smallest under as many orders)."""
-    if not hashes:
-        return np.zeros(WIDTH, np.uint64), np.zeros(SAMPLES, np.uint64)
-    distinct = np.unique(np.array(hashes, dtype=np.uint64))
-    words = [np.array([fingerprint(_mixed(distinct, k + 1))], dtype=np.int64).view(np.uint64)[0] for k in range(WIDTH)]
-    keys = []
-    for s in range(SAMPLES):
-        order = _mixed(distinct, 1_000 + s)
-        least = np.sort(np.partition(order, SAMPLE - 1)[:SAMPLE] if len(order) > SAMPLE else order)
-        keys.append(_mixed(least, 2_000 + s).sum(dtype=np.uint64))
-    return np.array(words, dtype=np.uint64), np.array(keys, dtype=np.uint64)
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, size), dtype=np.uint64))
+
+
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """``WIDTH`` words in which a bit is set if an odd number of shingles falls on it. Two sketches differ in at most as many bits
+    as there are shingles in one set only."""
+    counts = np.bincount((_mixed(shingles, 3_000) >> np.uint64(64 - 9)).astype(np.int64), minlength=64 * WIDTH)
+    return np.packbits((counts & 1).astype(np.uint8)).view(">u8").astype(np.uint64)
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """``WIDTH`` words of majority bits; zero for a set below ``LARGE``, where nothing asks for them."""
+    if len(shingles) < LARGE:
+        return np.zeros(WIDTH, np.uint64)
+    return np.array([fingerprint(_mixed(shingles, k + 1)) for k in range(WIDTH)], dtype=np.int64).view(np.uint64)
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 shingles in an order that all texts share, ``common`` ones last. Two sets of that
+    similarity or more have a shingle of their prefixes in common."""
+    if not len(shingles):
+        return shingles
+    order = np.lexsort((_mixed(shingles, 1_000), np.isin(shingles, common)))
+    return shingles[order[:len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]]
 
 
 def bits_of(similarity: float, width: int = WIDTH) -> int:
-    """Bits in which fingerprints of ``width`` words differ at that Jaccard similarity of equally large sets, plus one standard
-    error, so that pairs at the similarity itself are mostly found."""
+    """Most bits in which fingerprints of ``width`` words differ at that Jaccard similarity or more: what is expected of equally
+    large sets, and ``ERRORS`` standard errors."""
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(64 * width * angle + np.sqrt(64 * width * angle * (1 - angle)))
+    return int(64 * width * angle + ERRORS * np.sqrt(64 * width * angle * (1 - angle)))
+
+
+def _apart(total, similarity: float):
+    """Most shingles in one set only, of two sets of that similarity with ``total`` shingles together."""
+    return total * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def possible(sizes: np.ndarray, sketches: np.ndarray, similarity: float) -> np.ndarray:
+    """Component labels of one bucket, coarser than or equal to those by similarity. Sketches are the odd bits, then the majority
+    bits. Only pairs of sizes that allow the similarity and of different components are looked at."""
+    order = np.argsort(sizes, kind="stable")
+    n, x = sizes[order], sketches[order]
+    label, bits = np.arange(len(n)), bits_of(similarity)
+    ends = np.searchsorted(n, n / similarity + 1e-6, side="right")
+    for i in range(len(n)):
+        j = np.arange(i + 1, ends[i])
+        j = j[label[j] != label[i]]
+        j = j[hamming(x[j, :WIDTH], x[i, :WIDTH]) <= _apart(n[j] + n[i], similarity)]
+        j = j[(n[i] < LARGE) | (hamming(x[j, WIDTH:], x[i, WIDTH:]) <= bits)]
+        if len(j):
+            label = merged(label, np.full(len(j), i), j)
+    found = np.empty_like(label)
+    found[order] = order[label]
+    return found
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Component labels by the Jaccard similarity of ``sets``, which is counted. Pairs of one component are not compared again."""
+    sizes = np.array([len(s) for s in sets])
+    label = np.arange(len(sets))
+    if not sizes.all():
+        empty = np.flatnonzero(sizes == 0)
+        label[empty] = empty[0]
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    held = np.zeros(len(ids) + 1, dtype=np.int64)
+    for i in np.flatnonzero(sizes):
+        j = np.flatnonzero((label != label[i]) & (sizes >= similarity * sizes[i] - 1e-6) & (similarity * sizes <= sizes[i] + 1e-6) & (sizes > 0))
+        j = j[j > i]
+        if not len(j):
+            continue
+        mine = ids[starts[i]:starts[i] + sizes[i]]
+        held[mine] = 1
+        at = np.repeat(starts[j] - (np.cumsum(sizes[j]) - sizes[j]), sizes[j]) + np.arange(sizes[j].sum())
+        both = np.add.reduceat(held[ids[at]], np.cumsum(sizes[j]) - sizes[j])
+        held[mine] = 0
+        j = j[both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9]
+        if len(j):
+            label = merged(label, np.full(len(j), i), j)
+    return label
 
 
-def near_copies(documents: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(row, class_row): each row with the row that stands for its group, the one of the smallest doc_id.
+def _common(texts: DataFrame, shingle: int) -> np.ndarray:
+    """The commonest shingles of a sample, sorted: they only decide in which order shingles are looked up."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), shingle) for t in batch.column(0)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["gram"])
+
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "gram long")
+    counted = sample.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "gram").limit(COMMON)
+    return np.sort(np.array([r["gram"] for r in counted.collect()], dtype=np.int64).view(np.uint64))
 
-    Two texts are linked if their ``WIDTH`` * 64-bit fingerprints differ in at most ``bits_of(similarity)`` bits, that is, if their
-    estimated similarity is high enough (standard error 0.02). Links are looked for among texts that share one of
-    ``SAMPLES`` keys, each made of ``SAMPLE`` shingles; texts of similarity 0.8 share none in 0.3 % of cases. Inside a bucket the
-    pivot table goes before the distances. A bucket of more than ``WIDE_BUCKET`` is dealt by pairs of keys."""
-    bits = bits_of(similarity)
-    words, keys = [f"w{k}" for k in range(WIDTH)], [f"k{s}" for s in range(SAMPLES)]
+
+def _marked(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, packed text) of at least the ``rows``, without a shuffle."""
+    mark = F.pmod(F.xxhash64("row"), F.lit(MARKS))
+    # Spark counts the bits of a map from one.
+    found = rows.select((mark + 1).alias("mark")).groupBy(F.bitmap_bucket_number("mark").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mark")).alias("bits")).collect()
+    width = 1 << 15
+    bits = np.zeros((MARKS // width, width // 8), dtype=np.uint8)
+    for r in found:
+        bits[r["bucket"] - 1] = np.frombuffer(r["bits"], dtype=np.uint8)
+    sent = texts.sparkSession.sparkContext.broadcast(bits.reshape(-1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column(2)]
-            if found:
-                both = np.stack([np.concatenate(f) for f in found]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, both.T.copy())], names=["row", "doc_id", *words, *keys])
+            at = batch.column(1).to_numpy()
+            kept = np.flatnonzero(sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            packed = [zlib.compress(batch.column(2)[int(k)].as_py(), 1) for k in kept]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), pa.array(packed, pa.binary())], names=["row", "text"])
 
-    rows = documents.select(F.col(row).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    known = stage(rows.mapInArrow(run, "row long, doc_id long, " + ", ".join(f"{c} long" for c in words + keys)))
-    known = known.withColumn("node", F.xxhash64(*words))
-    distinct = known.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), *[F.any_value(c).alias(c) for c in words + keys])
-    sampled = lambda skip: F.array(*[F.struct(F.lit(s).alias("s"), F.col(k).alias("k")) for s, k in enumerate(keys) if s != skip])
+    return texts.select("row", mark.alias("mark"), "text").mapInArrow(run, "row long, text binary")
 
-    def met(at: DataFrame, *by: str) -> DataFrame:
-        return at.join(at.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), list(by))
 
-    first = stage(met(distinct.select(F.explode(sampled(None)).alias("x"), *words, *keys).select("x.s", "x.k", *words, *keys), "s", "k"))
-    by = ["s", "k", "s2", "k2"]
-    small = first.where(F.col("n") <= WIDE_BUCKET).select("s", "k", F.lit(-1).alias("s2"), F.lit(0).cast("long").alias("k2"), *words)
-    large = first.where(F.col("n") > WIDE_BUCKET).select("s", "k", F.explode(sampled(None)).alias("x"), *words).select(
-        "s", "k", F.col("x.s").alias("s2"), F.col("x.k").alias("k2"), *words).where("s <> s2")
-    dealt = small.unionByName(met(large, *by).select(small.columns))
+def near_copies(documents: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row, class_row): each row with the row that stands for its group, the one of the smallest doc_id.
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        references = pivots(WIDTH, WIDE_PIVOTS)
-        kinds = [f"{side}{w}" for side in "ab" for w in words]
-        for bucket in _runs(batches, 4):
-            a, b = forest(bucket, bits, references)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[x, k].view(np.int64)) for x in (a, b) for k in range(WIDTH)], names=kinds)
+    Two texts are linked if the Jaccard similarity of their sets of shingles is ``similarity`` or more. Equal sets count once.
+    Sets of that similarity share a shingle of their prefixes. All sets with one prefix shingle are compared with the
+    least of them; only if some are far from it, with each other. What is compared there are sketches, and they only
+    discard: odd sketches by a proved bound, majority bits of large sets with ``ERRORS`` standard errors to spare.
+    What is left falls into groups that no link leaves, and inside these the shingles themselves are counted.
+    Groups and buckets of any size are dealt by pairs of blocks."""
+    words = [f"w{k}" for k in range(2 * WIDTH)]
+    rows = documents.select(F.col(row).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    common = _common(rows, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
+            if sets:
+                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+                sketches = np.stack([np.concatenate([odd_sketch(s), wide_fingerprint(s)]) for s in sets]).view(np.int64)
+                firsts = [prefix(s, similarity, common) for s in sets]
+                offsets = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sketches.T.copy()),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts).view(np.int64)))],
+                    names=["row", "doc_id", "node", "n", *words, "firsts"])
+
+    known = stage(rows.mapInArrow(run, "row long, doc_id long, node long, n long, " + ", ".join(f"{c} long" for c in words) + ", firsts array<long>"))
+    sketches = known.groupBy("node").agg(F.any_value("n").alias("n"), *[F.any_value(c).alias(c) for c in words])
+    first = known.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+
+    firsts = known.select(F.explode("firsts").alias("gram"), "node")
+    shared = firsts.groupBy("gram").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("gram", "leader")
+    met = stage(firsts.join(shared, "gram").where("node <> leader").select("gram", "node", "leader").distinct())
+    touched = met.select("node").unionByName(met.select(F.col("leader").alias("node"))).distinct()
+    sketches = stage(sketches.join(touched, "node", "left_semi"))
+
+    # A bucket whose sets are all near its least one is one possible group. Twice the bound only makes groups larger; sketches of
+    # large sets that have nothing in common differ in about half their bits, so ``STAR`` keeps those apart.
+    led = sketches.select(F.col("node").alias("leader"), F.col("n").alias("leader_n"), *[F.col(w).alias(f"l{w}") for w in words[:WIDTH]])
+    star = met.select("node", "leader").distinct().join(sketches, "node").join(led, "leader")
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"l{w}"))) for w in words[:WIDTH]), F.lit(0))
+    star = stage(star.where(differ <= F.least(2 * _apart(F.col("n") + F.col("leader_n"), similarity), F.lit(float(STAR)))).select("node", "leader"))
+    open_grams = met.join(star, ["node", "leader"], "left_anti").select("gram").distinct()
+    opened = met.join(open_grams, "gram", "left_semi")
+    opened = stage(opened.select("gram", "node").unionByName(opened.select("gram", F.col("leader").alias("node"))).distinct())
+    bucket = opened.join(opened.groupBy("gram").agg(F.count(F.lit(1)).alias("size")), "gram")
+    blocks = F.ceil(F.col("size") / WIDE_BUCKET).cast("long")
+    bucket = _blocks(bucket.join(sketches, "node"), "node", blocks, "gram").select("gram", "x", "y", "node", "n", *words)
 
-    pairs = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(linked, ", ".join(f"{side}{w} long" for side in "ab" for w in words))
-    roots = components(pairs.select(*[F.xxhash64(*[f"{side}{w}" for w in words]).alias(side) for side in "ab"]))
-    named = distinct.select("node", "first").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 3):
+            node = rows[:, 0].view(np.int64)
+            label = possible(rows[:, 1].view(np.int64), rows[:, 2:], similarity)
+            far = np.flatnonzero(label != np.arange(len(label)))
+            if len(far):
+                yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]])], names=["a", "b"])
+
+    edges = bucket.mapInArrow(linked, "a long, b long").unionByName(star.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    maybe = components(edges).withColumnRenamed("root", "maybe")
+
+    members = stage(maybe.join(first, "node").join(sketches.select("node", "n"), "node").select("maybe", "node", "n", F.col("first.row").alias("row")))
+    sizes = members.groupBy("maybe").agg(F.sum("n").alias("total"))
+    members = members.join(sizes, "maybe").join(_marked(rows, members.select("row")), "row")
+    members = _blocks(members, "node", F.ceil(F.greatest(F.col("total"), F.lit(1)) / VERIFIED).cast("long"), "maybe").select("maybe", "x", "y", "node", "text")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*[batch.column(c).to_pylist() for c in range(5)]))
+        for _, held in groupby(rows, key=lambda r: r[:3]):
+            nodes, sets = zip(*[(r[3], shingle_set(zlib.decompress(r[4]), shingle)) for r in held])
+            node, label = np.array(nodes, dtype=np.int64), alike(list(sets), similarity)
+            far = np.flatnonzero(label != np.arange(len(label)))
+            if len(far):
+                yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]])], names=["a", "b"])
+
+    roots = components(members.mapInArrow(verified, "a long, b long"))
+    named = first.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
     named = named.select("node", "first", F.coalesce("root", "node").alias("root"))
     stands = named.groupBy("root").agg(F.min("first")["row"].alias("class_row"))
     return known.select("row", "node").join(named.join(stands, "root").select("node", "class_row"), "node").select("row", "class_row")

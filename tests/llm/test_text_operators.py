@@ -2,6 +2,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -169,6 +170,54 @@ def test_near_copies(spark, tmp_path):
     assert kept.columns == frame(spark, []).columns and simhash.one_of_each(stored(spark, [], tmp_path)).count() == 0
 
 
+def plain_jaccard(a, b, n=5):
+    a, b = ({tuple(w[k:k + n]) for k in range(max(1, len(w) - n + 1))} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def classes_of(spark, texts, folder):
+    rows = [(i, " ".join(w), "s") for i, w in enumerate(texts)]
+    numbered = stored(spark, rows, folder).withColumn("at", F.col("doc_id") * 1)
+    found = {r["row"]: r["class_row"] for r in simhash.near_copies(numbered, "at").collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+def plain_classes(texts, similarity=0.8):
+    top = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if top[i] != top[j] and plain_jaccard(texts[i], texts[j]) >= similarity - 1e-12:
+                low, high = sorted((top[i], top[j]))
+                top = [low if t == high else t for t in top]
+    return top
+
+
+def test_near_copies_against_jaccard(spark, tmp_path, monkeypatch):
+    """Pairs of similarity 0.7 to 0.95, texts of 5 to 20 words less a word, and a family around one text."""
+    draw = random.Random(11)
+    new = lambda n: [f"w{draw.getrandbits(40)}" for _ in range(n)]
+    texts = []
+    for n in range(5, 21):
+        for _ in range(4):
+            texts += [w := new(n), w[:-1], w[1:] + new(1)]
+    for n in (60, 200, 700):
+        for edits in range(0, n // 30 + 2):
+            for _ in range(4):
+                w = new(n)
+                copy = list(w)
+                for at in draw.sample(range(n), edits):
+                    copy[at] = new(1)[0]
+                texts += [w, copy]
+    stem = new(100)
+    for k in range(60):  # boilerplate that all share, and ends of their own
+        texts.append(stem[:draw.randint(20, 100)] + new(draw.randint(0, 30)))
+    want = plain_classes(texts)
+    assert classes_of(spark, texts, tmp_path) == want
+    monkeypatch.setattr(simhash, "WIDE_BUCKET", 8)  # hot buckets and groups are cut into blocks
+    monkeypatch.setattr(simhash, "VERIFIED", 1_000)
+    assert classes_of(spark, texts, tmp_path) == want
+
+
 def test_hot_bucket_is_dealt_in_blocks(spark, monkeypatch):
     """No group of a bucket that parts do not split has more than two blocks, and no link is lost."""
     prints = [(a << 40) | (1 << b) for a in range(3) for b in range(24)]
