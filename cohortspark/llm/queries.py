@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import alignment, decontam, licences, lm, mixing, packing, secret_scan, simhash, substring, topk, toxicity, url_rules
+from cohortspark.llm import alignment, collocations, decontam, licences, lm, mixing, packing, secret_scan, simhash, substring, topk, toxicity, url_rules
 from cohortspark.llm.common import table
 
 
@@ -55,9 +55,13 @@ def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.aligned(table(spark, folder, "documents"))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
 def op13_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_cover_tree_search, op3_secret_scan, op4_decontamination, op5_token_packing, op6_source_mixing, op7_substring_dedup, op8_pitman_yor_scores, op9_license_scan, op10_simhash_groups, op11_tokenizer_alignment, op13_url_filter)}
-ORACLE: dict[str, str] = {"op2_cover_tree_search": topk.ORACLE_SQL, "op4_decontamination": decontam.ORACLE_SQL, "op6_source_mixing": mixing.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op13_url_filter": url_rules.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_cover_tree_search, op3_secret_scan, op4_decontamination, op5_token_packing, op6_source_mixing, op7_substring_dedup, op8_pitman_yor_scores, op9_license_scan, op10_simhash_groups, op11_tokenizer_alignment, op12_collocations, op13_url_filter)}
+ORACLE: dict[str, str] = {"op2_cover_tree_search": topk.ORACLE_SQL, "op4_decontamination": decontam.ORACLE_SQL, "op6_source_mixing": mixing.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL, "op13_url_filter": url_rules.ORACLE_SQL}
