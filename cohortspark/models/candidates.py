@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.contracts import GROUP, MODEL_FEATURES, PRUNED_FEATURES, SEED, TARGET, WEIGHT
+from cohortspark.models import batched
 from cohortspark.models.preprocess import Preprocessor, fit_preprocessor
 from cohortspark.operators import metrics, ranks
 from cohortspark.session import materialize
@@ -98,6 +99,8 @@ class Candidate:
     fit: Fit
     features: tuple[str, ...] = MODEL_FEATURES
     extra: dict[str, Any] = field(default_factory=dict)
+    #: Fits many training sets and labels in shared scans: the arguments of :func:`batched.fit` without the features.
+    batch: Callable[..., batched.Batch] | None = None
 
 
 def prior() -> Candidate:
@@ -129,7 +132,10 @@ def logistic(features: Sequence[str] = PRUNED_FEATURES, name: str = "logistica_p
         model = LogisticRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-7)
         return LinearOrTreeScorer(preprocessor, model.fit(vectors))
 
-    return Candidate(name, "linear interpretável", fit, tuple(features))
+    def batch(df: DataFrame, sets: Sequence[Column], label: str | Column = TARGET, **more: Any) -> batched.Batch:
+        return batched.fit(df, sets, label, features, indicators, **more)
+
+    return Candidate(name, "linear interpretável", fit, tuple(features), batch=batch)
 
 
 def forest(features: Sequence[str] = MODEL_FEATURES, name: str = "random_forest", **params: Any) -> Candidate:
@@ -169,8 +175,15 @@ PAIRS = (
 
 
 def out_of_fold(df: DataFrame, candidate: Candidate, k: int, seed: int = SEED, fold: str = "fold", keep: Sequence[str] = ()) -> tuple[DataFrame, dict[int, float]]:
-    """Every row scored by a model that never saw its group; fit seconds per fold beside."""
+    """Every row scored by a model that never saw its group; fit seconds per fold beside.
+
+    A candidate with a batch form is fitted to all folds in the same scans, and its scores are a projection of ``df``."""
     kept = [c for c in dict.fromkeys(["row_id", GROUP, TARGET, WEIGHT, fold, *keep]) if c in df.columns]
+    if candidate.batch:
+        start = time.time()
+        made = candidate.batch(df, batched.fold_sets(k, fold))
+        each = (time.time() - start) / k
+        return df.select(*kept, batched.probability(made.base, made.fitted.gamma(), F.col(fold)).alias(SCORE)), dict.fromkeys(range(k), each)
     parts, seconds = None, {}
     for i in range(k):
         start = time.time()

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from cohortspark.contracts import GROUP, SEED, TARGET
 from cohortspark.models import candidates as M
-from cohortspark.models import split
-from cohortspark.operators import metrics, resample, sampling
-from cohortspark.session import materialize
+from cohortspark.models import batched, split
+from cohortspark.operators import metrics, ranks, resample, sampling
+from cohortspark.operators.quality import QualityError
+from cohortspark.session import materialize, shuffle_width
 
 
 def _mean_fold_auc(df: DataFrame, candidate: M.Candidate, k: int, seed: int) -> DataFrame:
@@ -19,56 +20,128 @@ def _mean_fold_auc(df: DataFrame, candidate: M.Candidate, k: int, seed: int) ->
     return metrics.auc(scored, TARGET, M.SCORE, ["fold"]).agg(F.avg("auc").alias("roc_auc"), F.stddev_samp("auc").alias("dp"))
 
 
+def permuted_labels(df: DataFrame, n_global: int, n_within: int, seed: int = SEED, key: str = "row_id", group: str = GROUP, label: str = TARGET, out: str = "_labels") -> DataFrame:
+    """Adds an array: the 0/1 label itself, ``n_global`` permutations of it and ``n_within`` permutations inside each group.
+
+    A permutation of a 0/1 column only chooses which rows hold its ones: those of the smallest hashes of (key, draw), as many
+    as there are ones. So a draw is one cut value (per group), and rows get all their labels by comparing hashes. All cuts come
+    from one ranking of the hashes, whose even ranges are known beforehand.
+    """
+    hashed = lambda i: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(i), key), 11)
+    width = shuffle_width(df.sparkSession)
+    edges = [float((1 << 53) // width * i) for i in range(1, width)]
+
+    def cuts(draws: Sequence[int], by: Sequence[str]) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(i).alias("draw"), hashed(i).alias("h")) for i in draws])
+        long = df.select(*by, F.col(label).cast("bigint").alias("pos"), F.explode(cells).alias("c")).select(*by, "pos", "c.*")
+        hist = long.groupBy(*by, "draw", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"))
+        ranked = ranks.cumulate(hist, "h", ["n", "pos"], [*by, "draw"], edges)
+        return ranked.groupBy(*by, "draw").agg(F.max(F.when(F.col("n_before") < F.col("pos_total"), F.col("h"))).alias("cut"))
+
+    inside = range(n_global, n_global + n_within)
+    whole = {r["draw"]: r["cut"] for r in cuts(range(n_global), []).collect()} if n_global else {}
+    labels = [F.col(label) == 1, *[hashed(i) <= F.lit(whole.get(i)).cast("bigint") for i in range(n_global)]]
+    rows = df
+    if n_within:
+        held = cuts(inside, [group]).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("draw", "cut"))).alias("_cuts"))
+        rows = df.join(held, group)
+        labels += [hashed(i) <= F.col("_cuts")[i - n_global]["cut"] for i in inside]
+    return rows.withColumn(out, F.array(*[F.coalesce(c, F.lit(False)).cast("tinyint") for c in labels])).drop("_cuts")
+
+
+def _auc_of_checks(made: batched.Batch, checks: Sequence[tuple[int, int, bool]]) -> dict[int, float]:
+    """AUC per check: a row per model to the driver."""
+    table = metrics.ranking_from_histogram(batched.score_histograms(made.packed, made.fitted, checks), ["check"])
+    return {r["check"]: r["roc_auc"] for r in table.select("check", "roc_auc").collect()}
+
+
 def permutation_test(df: DataFrame, candidate: M.Candidate, n_global: int = 50, n_within: int = 20, k: int = 3, seed: int = SEED) -> DataFrame:
-    """Real AUC beside two null distributions: outcome shuffled among all rows, or inside each group."""
+    """Real AUC beside two null distributions: outcome shuffled among all rows, or inside each group.
+
+    With a batch form all folds of all permutations are fitted in the same scans; a permutation is one more label of a row."""
     dealt = materialize(split.folds(df, k, seed))
-    runs = [("real", -1, dealt)]
-    for i in range(n_global):
-        runs.append(("nulo_global", i, resample.permute(dealt, [TARGET], ["row_id"], seed + i)))
-    for i in range(n_within):
-        runs.append(("nulo_dentro_do_municipio", i, resample.permute(dealt, [TARGET], ["row_id"], seed + i, [GROUP])))
+    names = [("real", -1), *[("nulo_global", i) for i in range(n_global)], *[("nulo_dentro_do_municipio", i) for i in range(n_within)]]
+    if candidate.batch:
+        rows = permuted_labels(dealt, n_global, n_within, seed)
+        made = candidate.batch(rows, batched.fold_sets(k), F.col("_labels"), n_labels=len(names))
+        auc = _auc_of_checks(made, [(m, t, False) for m, (t, _) in enumerate(made.fitted.pairs)])
+        means = [[auc[m] for m, (_, label) in enumerate(made.fitted.pairs) if label == l and auc.get(m) is not None] for l in range(len(names))]
+        table = [(kind, i, sum(v) / len(v) if v else None) for (kind, i), v in zip(names, means)]
+        return df.sparkSession.createDataFrame(table, "tipo string, permutacao int, roc_auc double")
     table = None
-    for kind, i, rows in runs:
-        rows = rows if i < 0 else materialize(rows)
-        part = _mean_fold_auc(rows, candidate, k, seed).select(F.lit(kind).alias("tipo"), F.lit(i).alias("permutacao"), "roc_auc")
-        part = materialize(part)
+    for kind, i in names:
+        rows = dealt if i < 0 else materialize(resample.permute(dealt, [TARGET], ["row_id"], seed + i, [] if kind == "nulo_global" else [GROUP]))
+        part = materialize(_mean_fold_auc(rows, candidate, k, seed).select(F.lit(kind).alias("tipo"), F.lit(i).alias("permutacao"), "roc_auc"))
         table = part if table is None else table.unionByName(part)
     return table
 
 
+def group_samples(df: DataFrame, wanted: Sequence[tuple[float, int]], group: str = GROUP) -> DataFrame:
+    """Adds ``_in_<i>`` for each (fraction of the rows, seed): whole groups in the seed's order until the budget is reached. One
+    ranking per seed, whatever the number of fractions."""
+    sizes = materialize(df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")))
+    total = sizes.agg(F.sum("_size")).first()[0] or 0
+    marks = sizes.select(group)
+    for seed in dict.fromkeys(s for _, s in wanted):
+        filled = ranks.cumulate(ranks.hash_position(sizes, [group], seed, "_pos"), "_pos", ["_size"])
+        own = [(F.col("_size_before") < (total if f >= 1 else int(round(f * total)))).alias(f"_in_{i}") for i, (f, s) in enumerate(wanted) if s == seed]
+        marks = marks.join(filled.select(group, *own), group)
+    return df.join(marks, group)
+
+
 def learning_curve(df: DataFrame, candidate: M.Candidate, fractions: Sequence[float] = (0.02, 0.05, 0.10, 0.25, 0.50, 0.75, 1.0),
                    seeds: Sequence[int] = (42, 7, 2024), seed: int = SEED) -> DataFrame:
     """Train and validation AUC against the number of training *groups*."""
     marked = materialize(split.holdout(df, 0.25, seed))
     train, check = marked.where(~F.col("teste")).drop("teste"), marked.where(F.col("teste")).drop("teste")
+    wanted = [(f, s) for f in fractions for s in (seeds if f < 1 else seeds[:1])]
+    if candidate.batch:
+        rows = materialize(group_samples(train, wanted).withColumn("_check", F.lit(False)).unionByName(check.withColumn("_check", F.lit(True)), allowMissingColumns=True))
+        sets = [F.col(f"_in_{i}") for i in range(len(wanted))]
+        made = candidate.batch(rows, sets, more_sets=[F.col("_check")])
+        auc = _auc_of_checks(made, [c for i in range(len(wanted)) for c in ((i, i, True), (i, len(wanted), True))])
+        sizes = rows.agg(*[F.count_distinct(F.when(s, F.col(GROUP))).alias(f"g{i}") for i, s in enumerate(sets)], *[F.count_if(s).alias(f"n{i}") for i, s in enumerate(sets)]).first()
+        table = [(f, s, sizes[f"g{i}"], sizes[f"n{i}"], auc.get(2 * i), auc.get(2 * i + 1)) for i, (f, s) in enumerate(wanted)]
+        return df.sparkSession.createDataFrame(
+            table, "fracao double, seed_amostra int, n_municipios_treino long, n_alunos_treino long, roc_auc_treino double, roc_auc_validacao double")
     size = train.count()
     table = None
-    for fraction in fractions:
-        for s in seeds if fraction < 1 else seeds[:1]:
-            rows = train if fraction >= 1 else materialize(sampling.sample_groups(train, GROUP, int(round(fraction * size)), s))
-            scorer = candidate.fit(rows, seed)
-            both = scorer.score(rows.withColumn("_side", F.lit("t")).unionByName(check.withColumn("_side", F.lit("v"))))
-            aucs = metrics.auc(both, TARGET, M.SCORE, ["_side"])
-            sizes = rows.agg(F.count_distinct(GROUP).alias("n_municipios_treino"), F.count(F.lit(1)).alias("n_alunos_treino"))
-            part = sizes.select(
-                F.lit(fraction).alias("fracao"), F.lit(s).alias("seed_amostra"), "*",
-                aucs.where("_side = 't'").select("auc").scalar().alias("roc_auc_treino"),
-                aucs.where("_side = 'v'").select("auc").scalar().alias("roc_auc_validacao"))
-            part = materialize(part)
-            table = part if table is None else table.unionByName(part)
+    for fraction, s in wanted:
+        rows = train if fraction >= 1 else materialize(sampling.sample_groups(train, GROUP, int(round(fraction * size)), s))
+        scorer = candidate.fit(rows, seed)
+        both = scorer.score(rows.withColumn("_side", F.lit("t")).unionByName(check.withColumn("_side", F.lit("v"))))
+        aucs = metrics.auc(both, TARGET, M.SCORE, ["_side"])
+        sizes = rows.agg(F.count_distinct(GROUP).alias("n_municipios_treino"), F.count(F.lit(1)).alias("n_alunos_treino"))
+        part = sizes.select(
+            F.lit(fraction).alias("fracao"), F.lit(s).alias("seed_amostra"), "*",
+            aucs.where("_side = 't'").select("auc").scalar().alias("roc_auc_treino"),
+            aucs.where("_side = 'v'").select("auc").scalar().alias("roc_auc_validacao"))
+        part = materialize(part)
+        table = part if table is None else table.unionByName(part)
     return table
 
 
 def leave_one_region_out(df: DataFrame, candidate: M.Candidate, regions: Sequence[str] | None = None, region: str = "nome_regiao", seed: int = SEED) -> DataFrame:
-    """Train on all regions but one, test on that one, once per region."""
-    regions = regions or [r[0] for r in df.select(region).where(F.col(region).isNotNull()).distinct().orderBy(region).collect()]
-    parts = None
-    for name in regions:
-        scorer = candidate.fit(df.where(F.col(region) != name), seed)
-        part = scorer.score(df.where(F.col(region) == name)).select(F.col(region).alias("regiao_de_teste"), TARGET, M.SCORE)
-        parts = part if parts is None else parts.unionByName(part)
-    table = metrics.ranking_metrics(materialize(parts), TARGET, M.SCORE, ["regiao_de_teste"])
-    total = df.agg(F.count(region).alias("n")).scalar()
+    """Train on all regions but one, test on that one, once per region. Rows without a region always train and are never tested."""
+    if regions is None:
+        found = df.select(region).where(F.col(region).isNotNull()).distinct().limit(batched.MAX_SETS + 1).collect()
+        if len(found) > batched.MAX_SETS:
+            raise QualityError(f"more than {batched.MAX_SETS} values of {region}")
+        regions = sorted(r[0] for r in found)
+    outside = [~F.col(region).eqNullSafe(F.lit(name)) for name in regions]
+    if candidate.batch:
+        made = candidate.batch(df, outside)
+        which = F.array_position(F.array(*[F.lit(n) for n in regions]), F.col(region)).cast("int") - 1
+        parts = df.where(F.col(region).isin(*regions)).select(
+            F.col(region).alias("regiao_de_teste"), TARGET, batched.probability(made.base, made.fitted.gamma(), which).alias(M.SCORE))
+    else:
+        parts = None
+        for name, rest in zip(regions, outside):
+            part = candidate.fit(df.where(rest), seed).score(df.where(~rest)).select(F.col(region).alias("regiao_de_teste"), TARGET, M.SCORE)
+            parts = part if parts is None else parts.unionByName(part)
+        parts = materialize(parts)
+    table = metrics.ranking_metrics(parts, TARGET, M.SCORE, ["regiao_de_teste"])
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     return table.select("regiao_de_teste", (total - F.col("n")).alias("n_treino"), F.col("n").alias("n_teste"),
                         F.col("prevalencia").alias("prevalencia_teste"), "roc_auc")
 

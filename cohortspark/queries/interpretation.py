@@ -8,7 +8,7 @@ from cohortspark import contracts as C
 from cohortspark.models import candidates as M
 from cohortspark.models import interpret, split
 from cohortspark.queries import bindings as B
-from cohortspark.queries.modelling import SMALL, matrix, small_boosting, small_logistic
+from cohortspark.queries.modelling import SMALL, matrix, small_boosting
 from cohortspark.queries.registry import query
 from cohortspark.session import materialize
 
@@ -17,12 +17,12 @@ BLOCKS = {name: [f for f in group if f in SMALL] for name, group in C.FEATURE_FA
 
 
 def families(spark):
-    return spark.createDataFrame([(f, FAMILY[f]) for f in SMALL], "feature string, familia string")
+    return spark.createDataFrame([(f, FAMILY[f]) for f in C.MODEL_FEATURES if f in FAMILY], "feature string, familia string")
 
 
 def attributions(spark, folder):
     rows = matrix(spark, folder)
-    scorer = small_logistic().fit(rows, C.SEED)
+    scorer = M.logistic().fit(rows, C.SEED)
     return materialize(interpret.linear_attributions(scorer, rows, 2000, keep=["fonte_lag_municipal"]))
 
 
@@ -59,13 +59,13 @@ def attribution_slice_change(spark, folder):
 @query("permutation_importance")
 def permutation_importance(spark, folder):
     rows = matrix(spark, folder)
-    return interpret.permutation_importance(small_logistic().fit(rows, C.SEED), rows, SMALL[:4], 2)
+    return interpret.permutation_importance(M.logistic().fit(rows, C.SEED), rows, SMALL[:4], 2)
 
 
 @query("block_permutation_ratio")
 def block_permutation_ratio(spark, folder):
     rows = matrix(spark, folder)
-    scorer = small_logistic().fit(rows, C.SEED)
+    scorer = M.logistic().fit(rows, C.SEED)
     blocks = {n: BLOCKS[n] for n in ("historico_municipal", "territorial")}
     singles = [f for b in blocks.values() for f in b]
     return interpret.block_against_singles(
@@ -89,7 +89,7 @@ def linear_contribution_by_feature(spark, folder):
 @query("reading_triangulation")
 def reading_triangulation(spark, folder):
     rows = materialize(split.folds(matrix(spark, folder), 2))
-    scorer = small_logistic().fit(rows, C.SEED)
+    scorer = M.logistic().fit(rows, C.SEED)
     shap = interpret.grouped_importance(materialize(interpret.linear_attributions(scorer, rows, 2000)), None, "feature")
     singles = interpret.permutation_importance(scorer, rows, SMALL[:4], 1)
     linear = interpret.contribution_by_feature(interpret.linear_coefficients(rows, SMALL[:4], 2))

@@ -1,6 +1,7 @@
 """Grouped splits, candidate models, calibration, search and robustness over the modelling dataset.
 
-The fitted models are small on purpose: the queries show the procedure, the parameters are arguments.
+Linear models run with production parameters: all folds, permutations and samples share their scans. Forests and boosting are
+small here, since MLlib fits them one by one; their parameters are arguments.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortspark import contracts as C
 from cohortspark.functions import cleaning
-from cohortspark.models import calibration, report, robustness, split, tuning
+from cohortspark.models import batched, calibration, report, robustness, split, tuning
 from cohortspark.models import candidates as M
 from cohortspark.operators import metrics, resample
 from cohortspark.queries import bindings as B
@@ -34,8 +35,62 @@ def small_boosting(features=SMALL, name="boosting", **params):
     return M.boosting(features, name, **{"maxIter": 8, "stepSize": 0.2, "maxDepth": 3, "minInstancesPerNode": 20, **params})
 
 
-def small_logistic(features=SMALL, name="logistica"):
-    return M.logistic(features, name)
+FOLDS = 5
+
+
+def in_fixed_folds(spark, folder):
+    """Folds that need no random order: by the number of the municipality."""
+    return matrix(spark, folder).withColumn("fold", F.pmod(F.col(C.GROUP), F.lit(FOLDS)).cast("int"))
+
+
+PRUNED_NUMBERS = tuple(c for c in C.PRUNED_FEATURES if c not in C.CATEGORICAL_FEATURES)
+PRUNED_LEVELS = tuple(c for c in C.PRUNED_FEATURES if c in C.CATEGORICAL_FEATURES)
+
+
+@query("fold_preprocessing", B.with_ctes(" UNION ALL ".join(f"""
+SELECT fold, '{c}' AS feature, n_treino, mediana, avg(coalesce(x, mediana)) AS media, stddev_pop(coalesce(x, mediana)) AS desvio FROM (
+  SELECT k.fold, CAST({c} AS DOUBLE) AS x, count(*) OVER w AS n_treino,
+         CASE WHEN count(*) OVER w > count({c}) OVER w THEN median(CAST({c} AS DOUBLE)) OVER w END AS mediana
+  FROM dataset JOIN (VALUES (0), (1), (2), (3), (4)) AS k(fold) ON id_municipio % 5 <> k.fold WINDOW w AS (PARTITION BY k.fold)) AS t GROUP BY ALL"""
+    for c in PRUNED_NUMBERS), "dataset"), ["mediana", "media", "desvio"])
+def fold_preprocessing(spark, folder):
+    """What each of five training sets learns about its numbers, from one scan."""
+    rows = in_fixed_folds(spark, folder)
+    sets = batched.fold_sets(FOLDS)
+    base = batched.base_of(rows, C.PRUNED_FEATURES)
+    made = batched.designs(rows, batched.blocks(rows, base, sets, [F.col(C.TARGET)]), base, sets)
+    table = []
+    for fold, design in enumerate(made):
+        for line, column in zip(design.matrix.T[1:], design.columns):
+            if column.kind == "value":
+                at, miss, centre = base.numeric[column.feature]
+                fill = float(line[1 + miss] / line[1 + at] + centre)
+                table.append((fold, column.feature, design.rows, fill if design.missing[column.feature] else None, float(centre - line[0] / line[1 + at]), float(1 / line[1 + at])))
+    return spark.createDataFrame(table, "fold int, feature string, n_treino long, mediana double, media double, desvio double")
+
+
+@query("fold_slopes", B.with_ctes("""
+SELECT k.fold, coluna, 0.0::DOUBLE AS inclinacao
+FROM dataset JOIN (VALUES (0), (1), (2), (3), (4)) AS k(fold) ON id_municipio % 5 <> k.fold,
+LATERAL (SELECT unnest(['intercepto', """ + ", ".join([f"'{c}'" for c in PRUNED_NUMBERS] + [f"'{c}=' || coalesce(CAST({c} AS VARCHAR), 'AUSENTE')" for c in PRUNED_LEVELS]) + """]) AS coluna) AS l
+GROUP BY ALL""", "dataset"), ["inclinacao"])
+def fold_slopes(spark, folder):
+    """The slope of the penalised loss of every fold's model along each of its columns, summed by Spark from the scores: zero at
+    the solution. Columns are those the training set knows."""
+    rows = in_fixed_folds(spark, folder)
+    made = M.logistic().batch(rows, batched.fold_sets(FOLDS))
+    gamma = made.fitted.gamma()
+    fold = F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))
+    seen = rows.withColumn("modelo", fold).where(F.col("modelo") != F.col("fold"))
+    miss = batched.probability(made.base, gamma, F.col("modelo")) - F.col(C.TARGET)
+    sums = seen.groupBy("modelo").agg(*[F.sum(e * miss).alias(f"s{i}") for i, e in enumerate((F.lit(1.0), *made.base.entries))])
+    table = []
+    for r in sums.collect():
+        design, beta = made.fitted.designs[r["modelo"]], made.fitted.beta[r["modelo"]]
+        slope = design.matrix.T @ [r[f"s{i}"] for i in range(len(made.base.entries) + 1)]
+        slope[1:] += beta[1:]
+        table += [(r["modelo"], name, float(v)) for name, v in zip(("intercepto", *(c.name for c in design.columns)), slope)]
+    return spark.createDataFrame(table, "fold int, coluna string, inclinacao double")
 
 
 @query("group_holdout", B.with_ctes("""
@@ -83,7 +138,7 @@ def candidate_comparison(spark, folder):
     """Prior, one-column rules, logistic, forest and boosting on the same folds."""
     dealt = materialize(split.folds(matrix(spark, folder), 3))
     models = [
-        M.prior(), M.univariate("heuristica_taxa_municipal", "mun_taxa_alfab_lag1"), small_logistic(name="logistica_podada"),
+        M.prior(), M.univariate("heuristica_taxa_municipal", "mun_taxa_alfab_lag1"), M.logistic(),
         M.forest(SMALL, numTrees=10, maxDepth=4, minInstancesPerNode=20), small_boosting(name="boosting_padrao")]
     return M.evaluate_in_folds(dealt, models, 3).drop("segundos", "papel")
 
@@ -91,7 +146,7 @@ def candidate_comparison(spark, folder):
 @query("candidate_paired_tests")
 def candidate_paired_tests(spark, folder):
     dealt = materialize(split.folds(matrix(spark, folder), 3))
-    table = M.evaluate_in_folds(dealt, [M.prior(), M.univariate("heuristica_taxa_municipal", "mun_taxa_alfab_lag1"), small_logistic(name="logistica_podada")], 3)
+    table = M.evaluate_in_folds(dealt, [M.prior(), M.univariate("heuristica_taxa_municipal", "mun_taxa_alfab_lag1"), M.logistic()], 3)
     pairs = [p for p in M.PAIRS if set(p) <= {"dummy_prior", "heuristica_taxa_municipal", "logistica_podada"}]
     result = None
     for a, b in pairs:
@@ -103,14 +158,14 @@ def candidate_paired_tests(spark, folder):
 @query("out_of_fold_scores", B.with_ctes("SELECT count(*) AS linhas, count(DISTINCT id_municipio) AS grupos, 0::BIGINT AS sem_escore FROM dataset", "dataset"))
 def out_of_fold_scores(spark, folder):
     """Every row scored once by a model that did not see its municipality."""
-    scored, _ = M.out_of_fold(materialize(split.folds(matrix(spark, folder), 3)), small_logistic(), 3)
+    scored, _ = M.out_of_fold(materialize(split.folds(matrix(spark, folder))), M.logistic(), FOLDS)
     return scored.agg(F.count(F.lit(1)).alias("linhas"), F.count_distinct(C.GROUP).alias("grupos"), F.count_if(F.col(M.SCORE).isNull()).alias("sem_escore"))
 
 
 @query("isotonic_calibration_gain")
 def isotonic_calibration_gain(spark, folder):
-    scored, _ = M.out_of_fold(materialize(split.folds(matrix(spark, folder), 3)), small_logistic(), 3)
-    return calibration.crossfit_gain(scored, 3)
+    scored, _ = M.out_of_fold(materialize(split.folds(matrix(spark, folder))), M.logistic(), FOLDS)
+    return calibration.crossfit_gain(scored, FOLDS)
 
 
 @query("calibration_keeps_order", B.with_ctes("SELECT count(*) AS n, true AS auc_igual FROM scored", "scored"))
@@ -139,7 +194,7 @@ def search_edge_flags(spark, folder):
 @query("held_out_report")
 def held_out_report(spark, folder):
     """Refit, thresholds from out-of-fold scores, metrics and intervals on held-out municipalities."""
-    result = report.build_report(matrix(spark, folder), small_logistic(), 3, replicates=30, minimum=100)
+    result = report.build_report(matrix(spark, folder), M.logistic(), FOLDS, replicates=30, minimum=100)
     long = None
     for name in ("ranking", "desenvolvimento"):
         part = result.tables[name].select(F.lit(name).alias("tabela"), "roc_auc", "pr_auc", "ks", "brier", "prevalencia", "n")
@@ -150,7 +205,7 @@ def held_out_report(spark, folder):
 
 @query("held_out_strata")
 def held_out_strata(spark, folder):
-    return report.build_report(matrix(spark, folder), small_logistic(), 3, replicates=5, minimum=100).tables["estratos"]
+    return report.build_report(matrix(spark, folder), M.logistic(), FOLDS, replicates=5, minimum=100).tables["estratos"]
 
 
 @query("feature_set_ablation")
@@ -163,18 +218,19 @@ def feature_set_ablation(spark, folder):
 
 @query("target_permutation_test")
 def target_permutation_test(spark, folder):
-    table = robustness.permutation_test(matrix(spark, folder), small_logistic(), 2, 2, 2)
-    return resample.permutation_p(table)
+    """50 permutations of the outcome among all rows and 20 inside the municipalities, three folds each: 213 models."""
+    return resample.permutation_p(robustness.permutation_test(matrix(spark, folder), M.logistic()))
 
 
 @query("learning_curve_by_groups")
 def learning_curve_by_groups(spark, folder):
-    return robustness.learning_curve(matrix(spark, folder), small_logistic(), (0.25, 0.5, 1.0), (42, 7))
+    """Seven fractions of the groups, three seeds."""
+    return robustness.learning_curve(matrix(spark, folder), M.logistic())
 
 
 @query("leave_one_region_out")
 def leave_one_region_out(spark, folder):
-    features = tuple(f for f in SMALL if f != "nome_regiao")
+    features = tuple(f for f in C.PRUNED_FEATURES if f != "nome_regiao")
     return robustness.leave_one_region_out(matrix(spark, folder), M.logistic(features, "logistica"))
 
 
@@ -191,7 +247,7 @@ def territorial_cohort(spark, folder, year):
 def year_drift(spark, folder):
     return robustness.drift(
         territorial_cohort(spark, folder, B.LAG), territorial_cohort(spark, folder, B.TARGET),
-        lambda: small_logistic(("sigla_uf", "nome_regiao", "rede_grupo")), (str(B.LAG), str(B.TARGET)), 2)
+        lambda: M.logistic(("sigla_uf", "nome_regiao", "rede_grupo"), "logistica"), (str(B.LAG), str(B.TARGET)))
 
 
 @query("shuffle_invariance")
