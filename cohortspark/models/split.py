@@ -38,7 +38,7 @@ def folds(df: DataFrame, k: int = 5, seed: int = SEED, label: str = TARGET, grou
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.avg(label).alias("_p"))
     edges = ranks.quantile_edges(sizes, "_n", 5)
     tier = sum((F.when(F.col("_n") > e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
-    keyed = sizes.select(group, (2 * tier + F.coalesce("_p", F.lit(0.0))).alias("_order"), F.xxhash64(F.lit(seed), group).alias("_tie"))
+    keyed = sizes.select(group, (2 * tier + F.coalesce("_p", F.lit(0.0))).alias("_order"), ranks.md5_number(F.lit(seed), F.col(group)).alias("_tie"))
     placed = ranks.row_number(keyed, "_order", "_tie", "_pos")
     turn = F.pmod(F.col("_pos") - 1, F.lit(2 * k))
     dealt = placed.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias(out))

@@ -268,6 +268,12 @@ def cut(column: Column, edges: Sequence[float], labels: Sequence, include_lowest
     return result if result is not None else F.lit(None)
 
 
+def md5_number(*parts: Column) -> Column:
+    """60 bits of the MD5 of the printed parts, joined by colons: any engine with MD5 draws the same."""
+    text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def hash_position(
     df: DataFrame, key: Sequence[str], seed: int, out: str, by: Sequence[str] = (), salt: int = 0,
 ) -> DataFrame:
@@ -277,8 +283,8 @@ def hash_position(
     """
     plain = df.columns
     bits = max(3, math.ceil(math.log2(shuffle_width(df.sparkSession))))
-    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), F.lit(salt), *key))
-    rows = rows.withColumn(_B, F.shiftright("_h", 64 - bits).cast("int"))
+    rows = df.withColumn("_h", md5_number(F.lit(seed), F.lit(salt), *[F.col(c) for c in key]))
+    rows = rows.withColumn(_B, F.shiftright("_h", 60 - bits).cast("int"))
     totals = rows.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_cnt"))
     joined = _join(rows, _offsets(totals, ["_cnt"], by, [_B]), [*by, _B], not by)
     local = Window.partitionBy(*by, _B).orderBy("_h", *key)

@@ -6,30 +6,194 @@ are a function of (seed, replicate, draw number), so the intervals do not depend
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import functools
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.contracts import SEED
 from cohortspark.functions.stats import pearson, t_quantile_975, t_two_sided_p
 from cohortspark.operators import metrics, ranks
-from cohortspark.session import materialize
+from cohortspark.session import materialize, shuffle_width
+
+
+#: Bytes of drawn counts that are sent to every executor at once; more replicates or groups take more rounds of scans.
+COUNTS_BYTES = 64 << 20
+#: Score ranges whose totals per replicate the driver adds up.
+MAX_RANGES = 256
+MAX_LEVELS = 256
+#: Rows that meet all replicates at once.
+SLICE = 2_048
+
+
+def drawn(seed: int, rep: Column, draw: Column, size: Column) -> Column:
+    """Which of ``size`` units (from one) a draw hits."""
+    return ranks.md5_number(F.lit(seed), rep, draw) % size + 1
 
 
 def replicate_weights(groups: DataFrame, key: Sequence[str], replicates: int, seed: int = SEED) -> DataFrame:
-    """(rep, key, w): how often each group is drawn in each replicate; groups never drawn are absent."""
+    """(rep, key, w): how often each group is drawn in each replicate; groups never drawn are absent. One row per pair: for
+    counts that are to be joined; :func:`drawn_counts` holds the same draws as numbers."""
     numbered = materialize(ranks.hash_position(groups.select(*key).distinct(), key, seed, "_idx"))
     size = numbered.count()
     draws = (
         groups.sparkSession.range(size)
         .select("id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-        .select("rep", (F.pmod(F.xxhash64(F.lit(seed), "rep", "id"), F.lit(max(size, 1))) + 1).alias("_idx"))
+        .select("rep", drawn(seed, F.col("rep"), F.col("id"), F.lit(max(size, 1))).alias("_idx"))
         .groupBy("rep", "_idx").agg(F.count(F.lit(1)).alias("w"))
     )
     return draws.join(numbered, "_idx").select("rep", *key, "w")
 
 
+def drawn_counts(spark: SparkSession, sizes: Sequence[int], low: int, high: int, seed: int) -> Broadcast:
+    """For each universe of ``sizes`` units an array (units, replicates): how often each is drawn in replicates low..high. A task
+    draws whole replicates."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep in batch.column(0).to_pylist():
+                most = max(sizes, default=0)
+                numbers = np.array([int(hashlib.md5(f"{seed}:{rep}:{i}".encode()).hexdigest()[:15], 16) for i in range(most)], dtype=np.int64)
+                counts = [np.bincount(numbers[:n] % n, minlength=n).astype("<u4") if n else np.zeros(0, "<u4") for n in sizes]
+                yield pa.RecordBatch.from_arrays([pa.array([rep]), pa.array([np.concatenate(counts).tobytes()], pa.binary())], names=["rep", "counts"])
+
+    reps = spark.range(low, high, 1, min(high - low, spark.sparkContext.defaultParallelism)).mapInArrow(run, "rep long, counts binary")
+    rows = np.stack([np.frombuffer(r["counts"], "<u4") for r in sorted(reps.collect(), key=lambda r: r["rep"])], axis=1)
+    return spark.sparkContext.broadcast(np.split(rows, np.cumsum(sizes)[:-1]))
+
+
+def rounds(sizes: Sequence[int], replicates: int) -> Iterator[tuple[int, int]]:
+    """Ranges of replicates whose counts stay within the bound."""
+    width = COUNTS_BYTES // (4 * max(sum(sizes), 1))
+    if not width:
+        raise ValueError(f"{sum(sizes)} units: the counts of one replicate exceed {COUNTS_BYTES} bytes")
+    for low in range(0, replicates, width):
+        yield low, min(low + width, replicates)
+
+
+def numbered_groups(df: DataFrame, group: str, seed: int) -> tuple[DataFrame, int]:
+    """(group, _idx): groups in the seeded order, and their number."""
+    numbered = materialize(ranks.hash_position(df.select(group).distinct(), [group], seed, "_idx"))
+    return numbered, numbered.count()
+
+
+def _added(rows: DataFrame) -> dict[int, np.ndarray]:
+    """{key: vector}: the vectors of equal keys added up by Spark, position by position."""
+    cells = rows.select("key", F.posexplode("v").alias("at", "v")).groupBy("key", "at").agg(F.sum("v").alias("v"))
+    out: dict[int, dict[int, float]] = {}
+    for key, at, v in cells.collect():
+        out.setdefault(key, {})[at] = v
+    return {k: np.array([cell[i] for i in range(len(cell))]) for k, cell in out.items()}
+
+
+def weighted_sums(rows: DataFrame, counts: Broadcast, key: str, universe: str | None, index: str, values: Sequence[str]) -> dict[int, np.ndarray]:
+    """Per key the sums of ``values`` under every replicate's counts, as an array (values, replicates). Rows meet the counts in
+    the task that reads them; only vectors leave it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys, which, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            x = np.stack([batch.column(3 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(values))])
+            for k, u in set(zip(keys.tolist(), which.tolist())):
+                mine = np.flatnonzero((keys == k) & (which == u))
+                for cut in range(0, len(mine), SLICE):
+                    part = mine[cut:cut + SLICE]
+                    total = (x[:, part] @ counts.value[u][at[part] - 1].astype(float)).ravel()
+                    made[k] = made[k] + total if k in made else total
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([v.tolist() for v in made.values()], pa.list_(pa.float64()))], names=["key", "v"])
+
+    which = F.col(universe) if universe else F.lit(0)
+    narrow = rows.select(F.col(key).cast("int").alias("key"), which.cast("int").alias("universe"), F.col(index).cast("long").alias("idx"), *values)
+    return {k: v.reshape(len(values), -1) for k, v in _added(narrow.mapInArrow(run, "key int, v array<double>")).items()}
+
+
+def replicated_ranking(hist: DataFrame, counts: Broadcast, cells: int) -> dict[int, dict[str, np.ndarray]]:
+    """Per side roc_auc, pr_auc and brier of every replicate, as vectors; NaN where a replicate has one class only.
+
+    ``hist`` has ``_cell`` (side and score range, stored), ``_idx``, ``score``, ``n_pos`` and ``n_neg``. The first scan adds up the
+    ranges' positives and negatives per replicate. The second reads each range in score order, starts from what the ranges
+    below hold, and adds up the parts of the metrics. A range is read in slices, so its size does not matter."""
+    totals = weighted_sums(hist, counts, "_cell", None, "_idx", ["n_pos", "n_neg"])
+    width = next(iter(totals.values())).shape[1] if totals else 0
+    sides = sorted({c // cells for c in totals})
+    before: dict[int, np.ndarray] = {}
+    whole: dict[int, np.ndarray] = {}
+    for s in sides:
+        run_sum = np.zeros((2, width))
+        for cell in sorted(c for c in totals if c // cells == s):
+            before[cell] = run_sum
+            run_sum = run_sum + totals[cell]
+        whole[s] = run_sum
+    start = hist.sparkSession.sparkContext.broadcast((before, whole))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        state: dict[int, np.ndarray] = {}
+
+        for cell, score, at, n in _whole_runs(batches):
+            s = cell // cells
+            lower = state.setdefault(cell, start.value[0][cell])
+            pos_all, neg_all = start.value[1][s]
+            first = np.flatnonzero(np.diff(score, prepend=np.nan))
+            run_of = np.repeat(np.arange(len(first)), np.diff(first, append=len(score)))
+            here = np.zeros((2, len(first), width))
+            for low in range(0, len(score), SLICE):
+                part = slice(low, low + SLICE)
+                edges = np.flatnonzero(np.diff(run_of[part], prepend=-1))
+                w = counts.value[0][at[part] - 1].astype(float)
+                for i in range(2):
+                    here[i, run_of[part][edges]] += np.add.reduceat(w * n[i, part][:, None], edges)
+            pos, neg = here
+            pos_before, neg_before = lower[0] + np.cumsum(pos, axis=0) - pos, lower[1] + np.cumsum(neg, axis=0) - neg
+            true, alarms = pos_all - pos_before, pos_all - pos_before + neg_all - neg_before
+            value = score[first][:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                parts = np.stack([(pos * (neg_before + neg / 2)).sum(axis=0), np.where(pos > 0, pos * true / alarms, 0.0).sum(axis=0), (pos * (value - 1) ** 2 + neg * value ** 2).sum(axis=0)])
+            state[cell] = lower + here.sum(axis=1)
+            made[s] = made[s] + parts if s in made else parts
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([v.ravel().tolist() for v in made.values()], pa.list_(pa.float64()))], names=["key", "v"])
+
+    rows = hist.select(F.col("_cell").cast("int").alias("cell"), "score", F.col("_idx").cast("long").alias("idx"), "n_pos", "n_neg")
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "score")
+    out = {}
+    for s, v in _added(rows.mapInArrow(run, "key int, v array<double>")).items():
+        concordant, precision, squares = v.reshape(3, width)
+        pos, neg = whole[s]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            both = (pos > 0) & (neg > 0)
+            out[s] = {"roc_auc": np.where(both, concordant / (pos * neg), np.nan), "pr_auc": np.where(both, precision / pos, np.nan), "brier": squares / (pos + neg)}
+    return out
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(cell, score, idx, counts) of rows sorted by (cell, score): some ``SLICE`` rows of one cell at a time, cut where the score
+    changes."""
+    held: list[np.ndarray] | None = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            fresh = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            held = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh)]
+        if held is None or not len(held[0]):
+            continue
+        cell, score = held[:2]
+        ends = np.flatnonzero((np.diff(cell) != 0) | (np.diff(score) != 0)) + 1
+        if batch is None:
+            ends = np.append(ends, len(cell))
+        low = 0
+        for i, end in enumerate(ends.tolist()):
+            if i + 1 == len(ends) or cell[end] != cell[low] or ends[i + 1] - low > SLICE:
+                yield int(cell[low]), score[low:end], held[2][low:end], np.stack([held[3][low:end], held[4][low:end]]).astype(float)
+                low = end
+        held = [c[low:] for c in held]
+
+
 def _interval(replicated: DataFrame, names: Sequence[str]) -> DataFrame:
     """Percentile interval and spread over replicates: a table with one row per replicate."""
     stats = [F.struct(
@@ -50,26 +214,34 @@ def cluster_bootstrap(
 ) -> DataFrame:
     """Percentile intervals of AUC, AP, Brier and further row means, resampling whole groups.
 
-    Rows are first reduced to the (group, score) histogram and to per-group sums; only those meet the
-    replicate weights. ``additive`` names row-level Columns whose mean is wanted.
+    Rows are first reduced to the (group, score) histogram and to per-group sums. How often each group is drawn
+    is sent to the tasks as numbers, so nothing is shuffled per replicate. ``additive`` names row-level Columns whose mean is wanted.
     """
     additive = dict(additive or {})
+    spark = df.sparkSession
     hist = materialize(metrics.score_histogram(df, label, score, [group]))
-    weights = materialize(replicate_weights(hist, [group], replicates, seed))
+    numbered, size = numbered_groups(hist, group, seed)
     names = ["roc_auc", "pr_auc", "brier", *additive]
-    edges = ranks.fit_edges(hist, "score")
-    drawn = hist.join(weights, group).groupBy("rep", "score").agg(
-        F.sum(F.col("n_pos") * F.col("w")).alias("n_pos"), F.sum(F.col("n_neg") * F.col("w")).alias("n_neg"))
-    replicated = metrics.ranking_from_histogram(drawn, ["rep"], edges).where(F.col("roc_auc").isNotNull()).select(
-        "rep", *names[:3])
+    edges = ranks.fit_edges(hist, "score", min(MAX_RANGES, shuffle_width(spark)))
+    cells = 2 * len(edges) + 4
+    placed = materialize(ranks.add_bucket(ranks._join(hist, numbered, [group]), "score", edges, "_cell"))
+    sums = None
+    if additive:
+        grouped = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c.cast("double")).alias(a) for a, c in additive.items()])
+        sums = materialize(ranks._join(grouped, numbered, [group]).na.fill(0.0, list(additive)))
+    table = []
+    for low, high in rounds([size], replicates):
+        counts = drawn_counts(spark, [size], low, high, seed)
+        made = replicated_ranking(placed, counts, cells).get(0, {})
+        if sums is not None and made:
+            added = weighted_sums(sums.withColumn("_key", F.lit(0)), counts, "_key", None, "_idx", ["_n", *additive])[0]
+            made |= {a: v / added[0] for a, v in zip(additive, added[1:])}
+        table += [(low + i, *map(float, v)) for i, v in enumerate(zip(*made.values())) if not np.isnan(v[0])]
+        counts.unpersist()
+    replicated = spark.createDataFrame(table, "rep int, " + ", ".join(f"`{n}` double" for n in names))
     flat = hist.groupBy("score").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
     point = metrics.ranking_from_histogram(flat, (), edges).select(*names[:3])
-    if additive:
-        sums = materialize(df.groupBy(group).agg(
-            F.count(F.lit(1)).alias("_n"), *[F.sum(c.cast("double")).alias(a) for a, c in additive.items()]))
-        means = sums.join(weights, group).groupBy("rep").agg(*[
-            (F.sum(F.col(a) * F.col("w")) / F.sum(F.col("_n") * F.col("w"))).alias(a) for a in additive])
-        replicated = replicated.join(means, "rep")
+    if sums is not None:
         whole = sums.agg(*[(F.sum(a) / F.sum("_n")).alias(a) for a in additive])
         point = point.select("*", *[whole.select(a).scalar().alias(a) for a in additive])
     return _point(point, names).join(_interval(replicated, names), "metrica")
@@ -83,15 +255,21 @@ def paired_auc_bootstrap(
         F.struct(F.lit("a").alias("side"), F.col(score_a).cast("double").alias("s")),
         F.struct(F.lit("b").alias("side"), F.col(score_b).cast("double").alias("s")))
     long = df.select(label, group, F.explode(sides).alias("p")).select(label, group, "p.side", "p.s")
+    spark = df.sparkSession
     hist = materialize(metrics.score_histogram(long, label, "s", ["side", group]))
-    weights = materialize(replicate_weights(hist, [group], replicates, seed))
-    edges = ranks.fit_edges(hist, "score")
-    drawn = hist.join(weights, group).groupBy("rep", "side", "score").agg(
-        F.sum(F.col("n_pos") * F.col("w")).alias("n_pos"), F.sum(F.col("n_neg") * F.col("w")).alias("n_neg"))
-    by_side = metrics.ranking_from_histogram(drawn, ["rep", "side"], edges)
-    delta = by_side.groupBy("rep").agg(
-        (F.max(F.when(F.col("side") == "b", F.col("roc_auc"))) - F.max(F.when(F.col("side") == "a", F.col("roc_auc")))).alias("d")
-    ).where(F.col("d").isNotNull())
+    numbered, size = numbered_groups(hist, group, seed)
+    edges = ranks.fit_edges(hist, "score", min(MAX_RANGES, shuffle_width(spark)))
+    cells = 2 * len(edges) + 4
+    placed = ranks.add_bucket(ranks._join(hist, numbered, [group]), "score", edges, "_range")
+    placed = materialize(placed.withColumn("_cell", F.when(F.col("side") == "b", cells).otherwise(0) + F.col("_range")))
+    table = []
+    for low, high in rounds([size], replicates):
+        counts = drawn_counts(spark, [size], low, high, seed)
+        made = replicated_ranking(placed, counts, cells)
+        if len(made) == 2:
+            table += [(low + i, float(d)) for i, d in enumerate(made[1]["roc_auc"] - made[0]["roc_auc"]) if not np.isnan(d)]
+        counts.unpersist()
+    delta = spark.createDataFrame(table, "rep int, d double")
     whole = metrics.ranking_from_histogram(
         hist.groupBy("side", "score").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg")), ["side"], edges)
     point = whole.agg(
@@ -118,18 +296,26 @@ def correlation_bootstrap(
     centre = known.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     known = known.withColumns({
         "x": F.col("x") - centre.select("mx").scalar(), "y": F.col("y") - centre.select("my").scalar()})
-    placed = materialize(ranks.hash_position(known, [key], seed, "_idx", by))
-    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    draws = (
-        placed.join(F.broadcast(sizes), list(by)) if by else placed.withColumn("_n", sizes.select("_n").scalar())
-    ).select(*by, "_n", "_idx", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    weights = draws.select(
-        *by, "rep", (F.pmod(F.xxhash64(F.lit(seed), "rep", "_idx"), F.col("_n")) + 1).alias("_idx")
-    ).groupBy(*by, "rep", "_idx").agg(F.count(F.lit(1)).alias("w"))
-    w, vx, vy = F.col("w"), F.col("x"), F.col("y")
-    moments = placed.join(weights, [*by, "_idx"]).groupBy(*by, "rep").agg(
-        F.sum(w).alias("n"), F.sum(w * vx).alias("sx"), F.sum(w * vy).alias("sy"),
-        F.sum(w * vx * vy).alias("sxy"), F.sum(w * vx * vx).alias("sxx"), F.sum(w * vy * vy).alias("syy"))
+    placed = materialize(ranks.hash_position(known, [key], seed, "_idx", by).withColumns({
+        "xy": F.col("x") * F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "one": F.lit(1)}))
+    levels = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).limit(MAX_LEVELS + 1).collect() if by else [placed.agg(F.count(F.lit(1)).alias("_n")).first()]
+    if len(levels) > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} levels of {list(by)}")
+    # The number of a row's level: levels are few, so a chain of comparisons.
+    level = F.lit(0)
+    for i, r in enumerate(levels):
+        same = [F.col(c).eqNullSafe(F.lit(r[c])) for c in by]
+        level = F.when(functools.reduce(lambda p, q: p & q, same), i).otherwise(level) if by else level
+    rows = placed.withColumn("_level", level)
+    names = ["one", "x", "y", "xy", "xx", "yy"]
+    table = []
+    for low, high in rounds([r["_n"] for r in levels], replicates):
+        counts = drawn_counts(units.sparkSession, [r["_n"] for r in levels], low, high, seed)
+        for i, sums in weighted_sums(rows, counts, "_level", "_level", "_idx", names).items():
+            table += [(*[levels[i][c] for c in by], low + j, *map(float, v)) for j, v in enumerate(sums.T)]
+        counts.unpersist()
+    fields = "".join(f"`{c}` {placed.schema[c].dataType.simpleString()}, " for c in by)
+    moments = units.sparkSession.createDataFrame(table, fields + "rep int, n double, sx double, sy double, sxy double, sxx double, syy double")
     n = F.col("n")
     r = F.try_divide(
         n * F.col("sxy") - F.col("sx") * F.col("sy"),

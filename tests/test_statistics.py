@@ -1,4 +1,5 @@
 """Closed-form columns and metrics against direct computation."""
+import hashlib
 import math
 
 import numpy as np
@@ -104,6 +105,40 @@ def test_correlation_bootstrap(spark):
     assert abs((r.ic_high - r.ic_low) / 2 - 1.96 * (1 - want**2) / math.sqrt(300)) < 0.03
 
 
+@pytest.mark.parametrize("slice_rows, counts_bytes", [(2_048, 64 << 20), (7, 60 * 4 * 5)])
+def test_bootstrap_against_resampled_rows(spark, scores, monkeypatch, slice_rows, counts_bytes):
+    """Every replicate rebuilt by drawing the groups' rows, with hot scores, several rounds and groups without a name."""
+    monkeypatch.setattr(resample, "SLICE", slice_rows)
+    monkeypatch.setattr(resample, "COUNTS_BYTES", counts_bytes)
+    pdf = scores.assign(p=np.where(scores.id % 3 == 0, 0.5, scores.p), q=scores.p.round(1), g=scores.g.where(scores.g > 0).astype("Int64"))
+    rows = [tuple(None if pd.isna(v) else v for v in r) for r in pdf[["id", "g", "y", "p", "q"]].astype(object).itertuples(index=False)]
+    df = spark.createDataFrame(rows, "id long, g long, y int, p double, q double").repartition(3)
+    replicates = 12
+    names = sorted({r[1] for r in rows}, key=lambda g: (hashlib.md5(f"42:0:{'' if g is None else g}".encode()).hexdigest()[:15]))
+    parts = {g: pdf[pdf.g.isna()] if g is None else pdf[pdf.g == g] for g in names}
+    table = []
+    for rep in range(replicates):
+        drawn = [names[int(hashlib.md5(f"42:{rep}:{i}".encode()).hexdigest()[:15], 16) % len(names)] for i in range(len(names))]
+        some = pd.concat([parts[g] for g in drawn])
+        y, p = some.y.to_numpy(), some.p.to_numpy()
+        table.append((*brute(y, p)[:2], ((p - y) ** 2).mean(), y.mean(), brute(y, some.q.to_numpy())[0] - brute(y, p)[0]))
+    want = np.array(table)
+    got = resample.cluster_bootstrap(df, "y", "p", "g", replicates, additive={"share": F.col("y")}).toPandas().set_index("metrica")
+    for i, m in enumerate(("roc_auc", "pr_auc", "brier", "share")):
+        low, high = np.percentile(want[:, i], [2.5, 97.5])
+        assert np.allclose([got.loc[m].ic_baixo, got.loc[m].ic_alto, got.loc[m].desvio_bootstrap], [low, high, want[:, i].std(ddof=1)], atol=1e-12)
+        assert got.loc[m].n_reamostras == replicates
+    r = resample.paired_auc_bootstrap(df, "y", "p", "q", "g", replicates).first()
+    assert np.allclose([r.ic95_baixo, r.ic95_alto], np.percentile(want[:, 4], [2.5, 97.5]), atol=1e-12) and r.p_bootstrap == (want[:, 4] <= 0).mean()
+
+
+def test_bootstrap_of_nothing(spark):
+    empty = spark.createDataFrame([], "y int, p double, g long")
+    assert resample.cluster_bootstrap(empty, "y", "p", "g", 5).where("n_reamostras > 0").count() == 0
+    with pytest.raises(ValueError):
+        list(resample.rounds([1 << 30], 5))
+
+
 def test_corrected_t(spark):
     rows = [(0.02,), (0.01,), (0.03,), (0.015,), (0.025,)]
     r = resample.corrected_t(spark.createDataFrame(rows, "d double"), "d").first()
