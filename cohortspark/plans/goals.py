@@ -131,17 +131,20 @@ def evaluate_transition(base: DataFrame, k: int = 5, seed: int = SEED) -> DataFr
         "gap_ate_meta": F.col("meta_2024") - F.col("taxa_2023"), "taxa_2023_invertida": -F.col("taxa_2023")})
 
 
-def summarize_evaluation(oof: DataFrame, replicates: int = 1000, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Bootstrap table (AUC, Brier, gain over the prior, coverage) and the AUC of rankings without a model."""
-    oof = materialize(oof)
+def summarize_evaluation(oof: DataFrame, replicates: int = 1000, seed: int = SEED) -> DataFrame:
+    """Bootstrap table: AUC, Brier, gain over the prior, coverage."""
     y, p, b = F.col("ficou_abaixo"), F.col("p_abaixo"), F.col("baseline_prevalencia")
-    intervals = resample.cluster_bootstrap(
-        oof, "ficou_abaixo", "p_abaixo", "id_municipio", replicates, seed,
+    return resample.cluster_bootstrap(
+        materialize(oof), "ficou_abaixo", "p_abaixo", "id_municipio", replicates, seed,
         {"ganho_brier_sobre_baseline": (b - y) ** 2 - (p - y) ** 2, "cobertura_intervalo_95": F.col("coberto").cast("double")})
+
+
+def rankings_without_model(oof: DataFrame) -> DataFrame:
+    """AUC of the projection and of two rankings that need no model."""
     plain = F.array(*[F.struct(F.lit(n).alias("leitura"), F.col(c).cast("double").alias("s")) for n, c in (
         ("projecao_com_shrinkage_e_deriva", "p_abaixo"), ("gap_ate_a_meta_sem_modelo", "gap_ate_meta"), ("taxa_2023_invertida", "taxa_2023_invertida"))])
     long = oof.select("ficou_abaixo", F.explode(plain).alias("x")).select("ficou_abaixo", "x.*")
-    return intervals, metrics.auc(long, "ficou_abaixo", "s", ["leitura"])
+    return metrics.auc(long, "ficou_abaixo", "s", ["leitura"])
 
 
 def volatility_by_size(base: DataFrame, fit: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortspark.operators import metrics, resample
 from cohortspark.queries import bindings as B
 from cohortspark.queries.quality import AUC_OF
-from cohortspark.queries.registry import query
+from cohortspark.queries.registry import query, sql_round
 
 AP = "(SELECT sum(n_pos / CAST(pos AS DOUBLE) * tp / CAST(tp + fp AS DOUBLE)) FROM hist)"
 KS = "(SELECT greatest(0.0, max(tp / CAST(pos AS DOUBLE) - fp / CAST(neg AS DOUBLE))) FROM hist)"
@@ -106,10 +106,42 @@ def group_fit_by_size(spark, folder):
     return metrics.group_fit(B.scored(spark, folder), "y", "p", "id_municipio", "peso_aluno", (0, 3, 6))
 
 
-@query("cluster_bootstrap")
+def md5_order(text: str) -> str:
+    return f"substr(md5({text}), 1, 15)"
+
+
+def draws(sizes: str, level: str = "", replicates: int = 1000) -> str:
+    """How often each unit is drawn in each replicate; ``sizes`` has one row (per level) with ``size``."""
+    keep = f"{level}, " if level else ""
+    return f"""SELECT {keep}rep, idx, count(*) AS w FROM (
+  SELECT {keep}rep, CAST('0x' || {md5_order("'42:' || rep || ':' || i")} AS BIGINT) % size + 1 AS idx
+  FROM (SELECT {keep}size, unnest(range(size)) AS i FROM {sizes}) AS s CROSS JOIN range({replicates}) AS r(rep)) AS d GROUP BY ALL"""
+
+
+BOOT = {
+    "g": f"SELECT id_municipio, row_number() OVER (ORDER BY {md5_order("'42:0:' || id_municipio")}, id_municipio) AS idx, count(*) OVER () AS size FROM (SELECT DISTINCT id_municipio FROM scored) AS t",
+    "w": draws("(SELECT DISTINCT size FROM g) AS z"),
+    "sides": f"SELECT id_municipio, y, 'b' AS side, p AS s FROM scored UNION ALL SELECT id_municipio, y, 'a', {sql_round('p', 1)} FROM scored",
+    "drawn": """SELECT side, rep, s, sum(w * pos) AS pos, sum(w * neg) AS neg FROM (
+  SELECT 'point' AS kind, idx, side, s, sum(y) AS pos, sum(1 - y) AS neg FROM sides JOIN g USING (id_municipio) GROUP BY ALL) AS h
+  JOIN (SELECT * FROM w UNION ALL SELECT -1 AS rep, idx, 1 AS w FROM g) AS v USING (idx) GROUP BY ALL""",
+    "measured": """SELECT side, rep, sum(pos * (neg_before + neg / 2.0)) / (any_value(all_pos) * any_value(all_neg)) AS roc_auc,
+  sum(CASE WHEN pos > 0 THEN pos / all_pos * (all_pos - pos_before) / (all_pos - pos_before + all_neg - neg_before) ELSE 0 END) AS pr_auc,
+  sum(pos * (s - 1) * (s - 1) + neg * s * s) / (any_value(all_pos) + any_value(all_neg)) AS brier, any_value(all_pos) / (any_value(all_pos) + any_value(all_neg)) AS prevalencia
+FROM (SELECT side, rep, s, CAST(pos AS DOUBLE) AS pos, CAST(neg AS DOUBLE) AS neg, CAST(sum(pos) OVER u - pos AS DOUBLE) AS pos_before, CAST(sum(neg) OVER u - neg AS DOUBLE) AS neg_before,
+        CAST(sum(pos) OVER t AS DOUBLE) AS all_pos, CAST(sum(neg) OVER t AS DOUBLE) AS all_neg
+      FROM drawn WINDOW u AS (PARTITION BY side, rep ORDER BY s), t AS (PARTITION BY side, rep)) AS c GROUP BY 1, 2""",
+}
+
+
+@query("cluster_bootstrap", B.with_ctes("""
+SELECT metrica, max(v) FILTER (WHERE rep < 0) AS pontual, quantile_cont(v, 0.025) FILTER (WHERE rep >= 0) AS ic_baixo, quantile_cont(v, 0.975) FILTER (WHERE rep >= 0) AS ic_alto,
+       stddev_samp(v) FILTER (WHERE rep >= 0) AS desvio_bootstrap, count(v) FILTER (WHERE rep >= 0) AS n_reamostras
+FROM (UNPIVOT (SELECT rep, roc_auc, pr_auc, brier, prevalencia FROM measured WHERE side = 'b') ON roc_auc, pr_auc, brier, prevalencia INTO NAME metrica VALUE v) AS l GROUP BY 1""",
+       "scored", extra=BOOT), ["pontual", "ic_baixo", "ic_alto", "desvio_bootstrap"])
 def cluster_bootstrap(spark, folder):
     """Intervals of AUC, AP, Brier and prevalence, resampling whole municipalities."""
-    return resample.cluster_bootstrap(B.scored(spark, folder), "y", "p", "id_municipio", 100, additive={"prevalencia": F.col("y")})
+    return resample.cluster_bootstrap(B.scored(spark, folder), "y", "p", "id_municipio", additive={"prevalencia": F.col("y")})
 
 
 @query("cluster_bootstrap_point", B.with_ctes(f"SELECT roc_auc, pr_auc, brier FROM ({ALL}) AS a", "hist"), ["roc_auc", "pr_auc", "brier"])
@@ -119,11 +151,16 @@ def cluster_bootstrap_point(spark, folder):
     return table.agg(*[F.max(F.when(F.col("metrica") == m, F.col("pontual"))).alias(m) for m in ("roc_auc", "pr_auc", "brier")])
 
 
-@query("paired_bootstrap")
+@query("paired_bootstrap", B.with_ctes("""
+SELECT max(x) FILTER (WHERE rep < 0) AS auc_base, max(z) FILTER (WHERE rep < 0) AS auc_alternativo, max(z - x) FILTER (WHERE rep < 0) AS delta,
+       quantile_cont(z - x, 0.025) FILTER (WHERE rep >= 0) AS ic95_baixo, quantile_cont(z - x, 0.975) FILTER (WHERE rep >= 0) AS ic95_alto,
+       avg(CASE WHEN z - x <= 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE rep >= 0) AS p_bootstrap, count(*) FILTER (WHERE rep >= 0) AS n_reamostras
+FROM (SELECT rep, max(roc_auc) FILTER (WHERE side = 'a') AS x, max(roc_auc) FILTER (WHERE side = 'b') AS z FROM measured GROUP BY 1) AS t""",
+       "scored", extra=BOOT), ["auc_base", "auc_alternativo", "delta", "ic95_baixo", "ic95_alto", "p_bootstrap"])
 def paired_bootstrap(spark, folder):
     """Difference of AUC between two scores on the same draws."""
     rows = B.scored(spark, folder).withColumn("p2", F.round("p", 1))
-    return resample.paired_auc_bootstrap(rows, "y", "p2", "p", "id_municipio", 50)
+    return resample.paired_auc_bootstrap(rows, "y", "p2", "p", "id_municipio")
 
 
 CV = """SELECT fold, modelo, v AS roc_auc FROM (SELECT caderno AS fold, avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END) AS b

@@ -14,6 +14,7 @@ from cohortspark.models import batched, calibration, report, robustness, split,
 from cohortspark.models import candidates as M
 from cohortspark.operators import metrics, resample
 from cohortspark.queries import bindings as B
+from cohortspark.queries.evaluation import md5_order
 from cohortspark.queries.registry import query
 from cohortspark.session import materialize
 
@@ -93,31 +94,31 @@ def fold_slopes(spark, folder):
     return spark.createDataFrame(table, "fold int, coluna string, inclinacao double")
 
 
-@query("group_holdout", B.with_ctes("""
-SELECT CAST(ceil(0.2::DOUBLE * count(DISTINCT id_municipio)) AS BIGINT) AS grupos_teste, count(DISTINCT id_municipio) AS grupos, count(*) AS linhas, 0::BIGINT AS grupos_partidos
-FROM dataset""", "dataset"))
+HOLDOUT = {"sides": f"""SELECT id_municipio, ordem <= ceil(0.2::DOUBLE * total) AS teste FROM (
+  SELECT id_municipio, row_number() OVER (ORDER BY {md5_order("'42:0:' || id_municipio")}, id_municipio) AS ordem, count(*) OVER () AS total FROM (SELECT DISTINCT id_municipio FROM dataset) AS d) AS t"""}
+
+
+@query("group_holdout", B.with_ctes("SELECT id_municipio, teste, count(*) AS linhas FROM dataset JOIN sides USING (id_municipio) GROUP BY 1, 2", "dataset", extra=HOLDOUT))
 def group_holdout(spark, folder):
-    """A fifth of the municipalities, whole."""
-    marked = split.holdout(matrix(spark, folder))
-    sides = marked.groupBy(C.GROUP).agg(F.min("teste").alias("a"), F.max("teste").alias("b"), F.count(F.lit(1)).alias("n"))
-    return sides.agg(F.count_if("a").alias("grupos_teste"), F.count(F.lit(1)).alias("grupos"), F.sum("n").alias("linhas"),
-                     F.count_if(F.col("a") != F.col("b")).alias("grupos_partidos"))
+    """A fifth of the municipalities, whole: the side of each."""
+    return split.holdout(matrix(spark, folder)).groupBy(C.GROUP, "teste").agg(F.count(F.lit(1)).alias("linhas"))
 
 
-@query("holdout_summary")
+@query("holdout_summary", B.with_ctes("""
+SELECT teste, count(*) AS n_alunos, count(DISTINCT id_municipio) AS n_municipios, avg(risco_nao_alfabetizacao) AS prevalencia
+FROM dataset JOIN sides USING (id_municipio) GROUP BY 1""", "dataset", extra=HOLDOUT), ["prevalencia"])
 def holdout_summary(spark, folder):
     return split.split_summary(split.holdout(matrix(spark, folder)), "teste")
 
 
-@query("stratified_group_folds", B.with_ctes("""
-SELECT 5::BIGINT AS folds, count(DISTINCT id_municipio) AS grupos, count(*) AS linhas, true AS prevalencia_proxima FROM dataset""", "dataset"))
+@query("stratified_group_folds", B.with_ctes(f"""
+SELECT id_municipio, CAST(CASE WHEN turn < 5 THEN turn ELSE 9 - turn END AS INTEGER) AS fold FROM (
+  SELECT id_municipio, (row_number() OVER (ORDER BY 2 * len(list_filter(edges[2 : len(edges) - 1], lambda e: n > e)) + p, {md5_order("'42:' || id_municipio")}) - 1) % 10 AS turn FROM (
+    SELECT *, (SELECT list_sort(list_distinct(quantile_cont(n, [0, 0.2, 0.4, 0.6, 0.8, 1]))) FROM (SELECT count(*) AS n FROM dataset GROUP BY id_municipio) AS c) AS edges
+    FROM (SELECT id_municipio, count(*) AS n, avg(risco_nao_alfabetizacao) AS p FROM dataset GROUP BY 1) AS s) AS t) AS u""", "dataset"))
 def stratified_group_folds(spark, folder):
-    """Disjoint, complete folds whose prevalence stays within five points of each other."""
-    dealt = split.folds(matrix(spark, folder))
-    groups = dealt.groupBy(C.GROUP, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(C.TARGET).alias("k"))
-    table = groups.groupBy("fold").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("n"), (F.sum("k") / F.sum("n")).alias("p"))
-    return table.agg(F.count(F.lit(1)).alias("folds"), F.sum("g").alias("grupos"), F.sum("n").alias("linhas"),
-                     (F.max("p") - F.min("p") < 0.05).alias("prevalencia_proxima"))
+    """The fold of every municipality: size tiers, then prevalence, dealt out in a serpentine."""
+    return split.folds(matrix(spark, folder)).select(C.GROUP, "fold").distinct()
 
 
 @query("preprocessing_columns")
@@ -193,8 +194,8 @@ def search_edge_flags(spark, folder):
 
 @query("held_out_report")
 def held_out_report(spark, folder):
-    """Refit, thresholds from out-of-fold scores, metrics and intervals on held-out municipalities."""
-    result = report.build_report(matrix(spark, folder), M.logistic(), FOLDS, replicates=30, minimum=100)
+    """Refit, thresholds from out-of-fold scores, metrics on held-out municipalities."""
+    result = report.build_report(matrix(spark, folder), M.logistic(), FOLDS, replicates=0, minimum=100)
     long = None
     for name in ("ranking", "desenvolvimento"):
         part = result.tables[name].select(F.lit(name).alias("tabela"), "roc_auc", "pr_auc", "ks", "brier", "prevalencia", "n")
@@ -203,9 +204,15 @@ def held_out_report(spark, folder):
         "limiar_capacidade", result.thresholds.select("por_capacidade").scalar())
 
 
+@query("held_out_intervals")
+def held_out_intervals(spark, folder):
+    """1000 replicates of the held-out municipalities."""
+    return report.build_report(matrix(spark, folder), M.logistic(), FOLDS, minimum=100).tables["intervalos"]
+
+
 @query("held_out_strata")
 def held_out_strata(spark, folder):
-    return report.build_report(matrix(spark, folder), M.logistic(), FOLDS, replicates=5, minimum=100).tables["estratos"]
+    return report.build_report(matrix(spark, folder), M.logistic(), FOLDS, replicates=0, minimum=100).tables["estratos"]
 
 
 @query("feature_set_ablation")

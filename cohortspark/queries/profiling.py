@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortspark import contracts as C
 from cohortspark.operators import profile
 from cohortspark.queries import bindings as B
+from cohortspark.queries.evaluation import draws, md5_order
 from cohortspark.queries.joins import TWO, rates
 from cohortspark.queries.quality import AUC_OF
 from cohortspark.queries.registry import query
@@ -97,10 +98,26 @@ def rate_persistence(spark, folder):
     return profile.persistence_point(rates(spark, folder, B.LAG), rates(spark, folder, B.TARGET), "id_municipio", (0, 2, 4))
 
 
-@query("rate_persistence_intervals")
+PERSISTENCE = {
+    **TWO,
+    "j": f"""SELECT m, id_municipio, x, y, rank_x, rank_y, row_number() OVER (PARTITION BY m ORDER BY {md5_order("'42:0:' || id_municipio")}, id_municipio) AS idx, count(*) OVER (PARTITION BY m) AS size FROM (
+  SELECT m, id_municipio, x, y, {_avg_rank('x')} AS rank_x, {_avg_rank('y')} AS rank_y FROM (
+    SELECT id_municipio, l.taxa AS x, a.taxa AS y, m FROM lag AS l JOIN atual AS a USING (id_municipio) CROSS JOIN (VALUES (0), (2), (4)) AS t(m) WHERE l.n >= m AND a.n >= m) AS k) AS r""",
+    "w": draws("(SELECT DISTINCT m, size FROM j) AS z", "m"),
+    "c": """SELECT m, rep, (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) AS r FROM (
+  SELECT m, rep, CAST(sum(w) AS DOUBLE) AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * y) AS sxy, sum(w * x * x) AS sxx, sum(w * y * y) AS syy
+  FROM (SELECT m, idx, x - avg(x) OVER () AS x, y - avg(y) OVER () AS y FROM j) AS q JOIN w USING (m, idx) GROUP BY 1, 2) AS s""",
+}
+
+
+@query("rate_persistence_intervals", B.with_ctes("""
+SELECT porte_minimo, corr_pearson, n_unidades, ic_low, ic_high, corr_spearman
+FROM (SELECT m AS porte_minimo, corr(x, y) AS corr_pearson, count(*) AS n_unidades, corr(rank_x, rank_y) AS corr_spearman FROM j GROUP BY 1 HAVING count(*) >= 30) AS a
+JOIN (SELECT m AS porte_minimo, quantile_cont(r, 0.025) AS ic_low, quantile_cont(r, 0.975) AS ic_high FROM c GROUP BY 1) AS b USING (porte_minimo)""",
+       "students", extra=PERSISTENCE), ["corr_pearson", "ic_low", "ic_high", "corr_spearman"])
 def rate_persistence_intervals(spark, folder):
     """The same correlations with a bootstrap interval over municipalities."""
-    return profile.persistence(rates(spark, folder, B.LAG), rates(spark, folder, B.TARGET), "id_municipio", (0, 2, 4), replicates=200)
+    return profile.persistence(rates(spark, folder, B.LAG), rates(spark, folder, B.TARGET), "id_municipio", (0, 2, 4))
 
 
 NUMERIC = ("mun_taxa_presenca_lag1", "mun_n_alunos_lag1", "mun_n_escolas_lag1", "uf_taxa_alfab_lag1", "esc_taxa_alfab_lag1")

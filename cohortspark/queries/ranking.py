@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from cohortspark.contracts import SEED
 from cohortspark.operators import ranks, resample, sampling
 from cohortspark.queries import bindings as B
+from cohortspark.queries.evaluation import md5_order
 from cohortspark.queries.registry import query
 
 UNITS = "SELECT id_municipio, count(*) AS n, avg(y) AS taxa, sum(peso_aluno) AS peso FROM scored GROUP BY 1"
@@ -81,18 +82,23 @@ def difference_from_previous_year(spark, folder):
     return table.withColumn("variacao", F.col("taxa") - F.lag("taxa").over(Window.partitionBy("sigla_uf").orderBy("ano")))
 
 
-@query("permutation_within_group", B.with_ctes("SELECT sigla_uf, count(*) AS n, sum(y)::BIGINT AS k, count(*) AS destinos FROM scored GROUP BY 1", "scored"))
+def _order(salt: int, key: str, by: str = "") -> str:
+    return f"row_number() OVER ({by} ORDER BY {md5_order(f"'42:{salt}:' || {key}")}, {key})"
+
+
+@query("permutation_within_group", B.with_ctes(f"""
+SELECT sigla_uf, row_id, y FROM (SELECT sigla_uf, row_id, {_order(1, 'row_id', 'PARTITION BY sigla_uf')} AS ordem FROM scored) AS a
+JOIN (SELECT sigla_uf, y, {_order(2, 'row_id', 'PARTITION BY sigla_uf')} AS ordem FROM scored) AS b USING (sigla_uf, ordem)""", "scored"))
 def permutation_within_group(spark, folder):
-    """A shuffle inside the state keeps every state's outcomes."""
-    moved = resample.permute(B.scored(spark, folder).select("row_id", "sigla_uf", "y"), ["y"], ["row_id"], SEED, ["sigla_uf"])
-    return moved.groupBy("sigla_uf").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"), F.count_distinct("row_id").alias("destinos"))
+    """A shuffle inside the state: which outcome each row takes."""
+    return resample.permute(B.scored(spark, folder).select("row_id", "sigla_uf", "y"), ["y"], ["row_id"], SEED, ["sigla_uf"])
 
 
-@query("global_permutation", B.with_ctes("SELECT count(*) AS n, sum(y)::BIGINT AS k, sum(p) AS soma, count(*) AS destinos FROM scored", "scored"), ["soma"])
+@query("global_permutation", B.with_ctes(f"""
+SELECT row_id, y, p FROM (SELECT row_id, {_order(1, 'row_id')} AS ordem FROM scored) AS a JOIN (SELECT y, p, {_order(2, 'row_id')} AS ordem FROM scored) AS b USING (ordem)""", "scored"), ["p"])
 def global_permutation(spark, folder):
-    """Two columns moved together keep their totals."""
-    moved = resample.permute(B.scored(spark, folder).select("row_id", "y", "p"), ["y", "p"], ["row_id"], SEED)
-    return moved.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"), F.sum("p").alias("soma"), F.count_distinct("row_id").alias("destinos"))
+    """Two columns moved together among all rows."""
+    return resample.permute(B.scored(spark, folder).select("row_id", "y", "p"), ["y", "p"], ["row_id"], SEED)
 
 
 @query("top_units", B.with_ctes("SELECT id_municipio, n, taxa FROM u ORDER BY peso DESC, id_municipio LIMIT 50", "scored", extra={"u": UNITS}), ["taxa"])
@@ -105,17 +111,19 @@ def bottom_units(spark, folder):
     return sampling.top_k(units(spark, folder), "peso", "id_municipio", 50, largest=False).select("id_municipio", "n", "taxa")
 
 
-@query("seeded_row_sample", B.with_ctes("SELECT least(count(*), 1000) AS n FROM scored", "scored"))
+@query("seeded_row_sample", B.with_ctes(f"SELECT row_id, y FROM scored ORDER BY {md5_order("'42:0:' || row_id")}, row_id LIMIT 1000", "scored"))
 def seeded_row_sample(spark, folder):
-    return sampling.sample_rows(B.scored(spark, folder).select("row_id", "y"), 1000, ["row_id"]).agg(F.count_distinct("row_id").alias("n"))
+    return sampling.sample_rows(B.scored(spark, folder).select("row_id", "y"), 1000, ["row_id"])
 
 
-@query("whole_group_sample")
+@query("whole_group_sample", B.with_ctes(f"""
+SELECT id_municipio, n AS k, n FROM (
+  SELECT id_municipio, n, sum(n) OVER (ORDER BY ordem) - n AS before, sum(n) OVER () AS total FROM (
+    SELECT id_municipio, count(*) AS n, {_order(0, 'id_municipio')} AS ordem FROM scored GROUP BY 1) AS s) AS t WHERE before < total // 2""", "scored"))
 def whole_group_sample(spark, folder):
-    """Whole municipalities up to a budget of half the rows: groups kept, rows kept, groups split (none)."""
+    """Whole municipalities up to a budget of half the rows: rows kept of each and rows it has."""
     rows = B.scored(spark, folder).select("row_id", "id_municipio")
     budget = rows.count() // 2
     kept = sampling.sample_groups(rows, "id_municipio", budget).groupBy("id_municipio").agg(F.count(F.lit(1)).alias("k"))
     sizes = rows.groupBy("id_municipio").agg(F.count(F.lit(1)).alias("n"))
-    return kept.join(sizes, "id_municipio").agg(
-        F.count(F.lit(1)).alias("grupos"), F.sum("k").alias("linhas"), F.count_if(F.col("k") != F.col("n")).alias("partidos"))
+    return kept.join(sizes, "id_municipio").select("id_municipio", "k", "n")

@@ -221,12 +221,12 @@ def goal_territorial_evaluation(spark, folder):
 
 @query("goal_evaluation_summary")
 def goal_evaluation_summary(spark, folder):
-    return goals.summarize_evaluation(goals.evaluate_transition(goal_base(spark, folder)), 50)[0]
+    return goals.summarize_evaluation(goals.evaluate_transition(goal_base(spark, folder)))
 
 
 @query("goal_rankings_without_model")
 def goal_rankings_without_model(spark, folder):
-    return goals.summarize_evaluation(goals.evaluate_transition(goal_base(spark, folder)), 2)[1]
+    return goals.rankings_without_model(goals.evaluate_transition(goal_base(spark, folder)))
 
 
 @query("goal_probability_deciles")
