@@ -4,31 +4,32 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.contracts import SEED, TARGET
-from cohortspark.models.candidates import SCORE, Candidate, Scorer, apply_isotonic, fit_isotonic, out_of_fold
+from cohortspark.models.candidates import SCORE, Candidate, Scorer, apply_isotonic, fit_isotonic, fit_isotonic_in_folds, out_of_fold, score_points
+from cohortspark.operators import isotonic
 from cohortspark.session import materialize
 
 
 def crossfit_gain(oof: DataFrame, k: int, label: str = TARGET, score: str = SCORE) -> DataFrame:
-    """Brier before and after calibration, each fold calibrated by the curve of the others."""
-    parts = None
-    for i in range(k):
-        curve = fit_isotonic(oof.where(F.col("fold") != i), label, score)
-        part = apply_isotonic(curve, oof.where(F.col("fold") == i).select(label, score), score, "cal")
-        parts = part if parts is None else parts.unionByName(part)
-    y = F.col(label)
-    table = parts.agg(F.avg((F.col(score) - y) ** 2).alias("brier_bruto"), F.avg((F.col("cal") - y) ** 2).alias("brier_calibrado"))
+    """Brier before and after calibration, each fold calibrated by the curve of the others.
+
+    Both follow from the outcomes per score; the tie-break, which moves a score by 2e-9 at most, is left out."""
+    points = materialize(score_points(oof, label, score, "fold"))
+    curves = fit_isotonic_in_folds(points, k)
+    read = isotonic.evaluate(curves, points.withColumn("curve", F.col("fold")), "cal")
+    c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("cal")))
+    brier = lambda p: F.sum(F.col("s") * (1 - p) ** 2 + (F.col("n") - F.col("s")) * p ** 2) / F.sum("n")
+    table = read.agg(brier(F.col("x")).alias("brier_bruto"), brier(c).alias("brier_calibrado"))
     return table.withColumn("ganho_brier", F.col("brier_bruto") - F.col("brier_calibrado"))
 
 
 @dataclass
 class CalibratedScorer(Scorer):
     base: Scorer
-    curve: IsotonicRegressionModel
+    curve: isotonic.Curves
     apply: bool
     gain: float
     oof: DataFrame

@@ -9,14 +9,13 @@ from typing import Any
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.contracts import GROUP, MODEL_FEATURES, PRUNED_FEATURES, SEED, TARGET, WEIGHT
 from cohortspark.models import batched
 from cohortspark.models.preprocess import Preprocessor, fit_preprocessor
-from cohortspark.operators import metrics, ranks
+from cohortspark.operators import isotonic, metrics, ranks
 from cohortspark.session import materialize
 
 SCORE = "escore"
@@ -57,21 +56,46 @@ def break_ties(calibrated: Column, rank: Column, n: Column) -> Column:
     return calibrated * (1 - 2 * TIE_EPSILON) + TIE_EPSILON * (1 + rank / n)
 
 
-def fit_isotonic(df: DataFrame, label: str, score: str) -> IsotonicRegressionModel:
-    """Isotonic fit on the (score → mean outcome, count) table instead of the rows."""
-    hist = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("x")).agg(
-        F.avg(label).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    return IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol="iso").fit(hist)
+def score_points(df: DataFrame, label: str, score: str | Column, by: str | None = None) -> DataFrame:
+    """(by, x, n, s): outcomes and their sum per score, of rows that have both."""
+    rows = df.select(*([by] if by else []), (F.col(score) if isinstance(score, str) else score).cast("double").alias("x"), F.col(label).cast("double").alias("_y"))
+    return rows.dropna(subset=["x", "_y"]).groupBy(*([by] if by else []), "x").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s"))
 
 
-def apply_isotonic(model: IsotonicRegressionModel, df: DataFrame, score: str, out: str, missing: float | None = None) -> DataFrame:
-    """Calibrated score with the order of the raw one kept; NULL raw scores take ``missing``."""
+def fit_isotonic(df: DataFrame, label: str, score: str) -> isotonic.Curves:
+    """Isotonic fit on the (score -> outcomes) table instead of the rows."""
+    return isotonic.fit(score_points(df, label, score).withColumn("curve", F.lit(0)))
+
+
+def fit_isotonic_in_folds(points: DataFrame, k: int, fold: str = "fold") -> isotonic.Curves:
+    """Curve t is that of all folds but t; one fit for all."""
+    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda t: t != F.col(fold))
+    spread = points.select(F.explode(others).alias("curve"), "x", "n", "s")
+    return isotonic.fit(spread.groupBy("curve", "x").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+
+
+#: Copies of a curve's value, among which the rows of its score are dealt.
+SALTS = 16
+
+
+def apply_isotonic(model: isotonic.Curves, df: DataFrame, score: str, out: str, missing: float | Column | None = None, curve: str | None = None) -> DataFrame:
+    """Calibrated score with the order of the raw one kept (among rows of one ``curve``); NULL raw scores take ``missing``.
+
+    The curve is read once per distinct score; a score that many rows share is joined back by row salts."""
     plain = [c for c in df.columns if c != out]
-    ranked = ranks.tied_rank(df, score, "_rank")
-    total = df.agg(F.count(score).alias("n")).scalar()
-    known = model.setFeaturesCol("x").transform(ranked.where(F.col(score).isNotNull()).withColumn("x", F.col(score).cast("double")))
-    done = known.select(*plain, break_ties(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("iso"))), F.col("_rank"), total).alias(out))
-    rest = df.where(F.col(score).isNull()).select(*plain, F.lit(missing).cast("double").alias(out))
+    by = [curve] if curve else []
+    ranked = ranks.tied_rank(df.where(F.col(score).isNotNull()), score, "_rank", by)
+    which = F.col(curve) if curve else F.lit(0)
+    known = df.where(F.col(score).isNotNull()).select(which.cast("int").alias("curve"), F.col(score).cast("double").alias("x"))
+    asked = known.groupBy("curve", "x").agg(F.count(F.lit(1)).alias("n"))
+    values = isotonic.evaluate(model, asked, "iso").select(
+        F.col("curve").alias("_c"), F.col("x").alias("_x"), "iso", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    totals = known.groupBy("curve").agg(F.count(F.lit(1)).alias("_total")).withColumnRenamed("curve", "_t")
+    salt = F.pmod(F.xxhash64(*plain), F.lit(SALTS))
+    rows = ranked.join(values, (which.cast("int") == F.col("_c")) & (F.col(score).cast("double") == F.col("_x")) & (salt == F.col("_salt")))
+    rows = rows.join(F.broadcast(totals), F.col("_c") == F.col("_t"))  # one row per curve
+    done = rows.select(*plain, break_ties(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("iso"))), F.col("_rank"), F.col("_total")).alias(out))
+    rest = df.where(F.col(score).isNull()).select(*plain, (missing if isinstance(missing, Column) else F.lit(missing)).cast("double").alias(out))
     return done.unionByName(rest)
 
 
@@ -82,7 +106,7 @@ class UnivariateScorer(Scorer):
     column: str
     sign: float
     prevalence: float
-    curve: IsotonicRegressionModel
+    curve: isotonic.Curves
 
     def score(self, df: DataFrame) -> DataFrame:
         raw = df.withColumn("_raw", F.col(self.column).cast("double") * self.sign)
@@ -101,6 +125,8 @@ class Candidate:
     extra: dict[str, Any] = field(default_factory=dict)
     #: Fits many training sets and labels in shared scans: the arguments of :func:`batched.fit` without the features.
     batch: Callable[..., batched.Batch] | None = None
+    #: Scores every row by the model of the other folds: (table, folds, fold column) -> table with the score.
+    in_folds: Callable[[DataFrame, int, str], DataFrame] | None = None
 
 
 def prior() -> Candidate:
@@ -116,7 +142,16 @@ def univariate(name: str, column: str, sign: float = -1.0) -> Candidate:
         curve = fit_isotonic(train.withColumn("_raw", F.col(column).cast("double") * sign), TARGET, "_raw")
         return UnivariateScorer(column, sign, prevalence, curve)
 
-    return Candidate(name, "regra de uma variável", fit, (column,))
+    def in_folds(df: DataFrame, k: int, fold: str) -> DataFrame:
+        raw = df.withColumn("_raw", F.col(column).cast("double") * sign)
+        curves = fit_isotonic_in_folds(score_points(raw, TARGET, "_raw", fold), k, fold)
+        sums = {r[fold]: (r["n"], r["s"]) for r in df.groupBy(fold).agg(F.count(TARGET).alias("n"), F.sum(TARGET).alias("s")).collect()}
+        n, s = (sum(v[i] or 0 for v in sums.values()) for i in range(2))
+        rest = {f: (n - v[0], s - (v[1] or 0)) for f, v in sums.items()}
+        prevalence = F.create_map(*[F.lit(x) for f, (m, t) in rest.items() for x in (f, t / m if m else 0.0)])[F.col(fold)] if rest else F.lit(None)
+        return apply_isotonic(curves, raw, "_raw", SCORE, prevalence, fold).drop("_raw")
+
+    return Candidate(name, "regra de uma variável", fit, (column,), in_folds=in_folds)
 
 
 def _vectors(train: DataFrame, features: Sequence[str], indicators: bool) -> tuple[Preprocessor, DataFrame]:
@@ -177,13 +212,18 @@ PAIRS = (
 def out_of_fold(df: DataFrame, candidate: Candidate, k: int, seed: int = SEED, fold: str = "fold", keep: Sequence[str] = ()) -> tuple[DataFrame, dict[int, float]]:
     """Every row scored by a model that never saw its group; fit seconds per fold beside.
 
-    A candidate with a batch form is fitted to all folds in the same scans, and its scores are a projection of ``df``."""
+    A candidate with a batch form is fitted to all folds in the same scans, and its scores are a projection of ``df``; one with a
+    form for folds shares their passes."""
     kept = [c for c in dict.fromkeys(["row_id", GROUP, TARGET, WEIGHT, fold, *keep]) if c in df.columns]
     if candidate.batch:
         start = time.time()
         made = candidate.batch(df, batched.fold_sets(k, fold))
         each = (time.time() - start) / k
         return df.select(*kept, batched.probability(made.base, made.fitted.gamma(), F.col(fold)).alias(SCORE)), dict.fromkeys(range(k), each)
+    if candidate.in_folds:
+        start = time.time()
+        scored = materialize(candidate.in_folds(df, k, fold).select(*kept, SCORE))
+        return scored, dict.fromkeys(range(k), (time.time() - start) / k)
     parts, seconds = None, {}
     for i in range(k):
         start = time.time()

@@ -85,7 +85,7 @@ def save_model(report: Report, path: str, dataset: DataFrame, features: Sequence
     """MLlib pipeline, calibration curve and a one-row metadata table with the dataset fingerprint."""
     base = report.scorer.base
     PipelineModel([*base.preprocessor.model.stages, base.classifier]).write().overwrite().save(f"{path}/pipeline")
-    report.scorer.curve.write().overwrite().save(f"{path}/isotonic")
+    write_product(report.scorer.curve.blocks, f"{path}/isotonic")
     meta = report.thresholds.select(
         "*", F.lit(report.scorer.apply).alias("calibracao_aplicada"), F.lit(report.scorer.gain).alias("ganho_brier"),
         F.array(*[F.lit(f) for f in features]).alias("features"), fingerprint(dataset, "dataset").select("soma_hash").scalar().alias("soma_hash"))

@@ -163,6 +163,43 @@ def out_of_fold_scores(spark, folder):
     return scored.agg(F.count(F.lit(1)).alias("linhas"), F.count_distinct(C.GROUP).alias("grupos"), F.count_if(F.col(M.SCORE).isNull()).alias("sem_escore"))
 
 
+def curves_sql(rows: str, x: str, y: str) -> dict[str, str]:
+    """Isotonic curve of every training set by its min-max formula, read at the scores of the fold left out."""
+    return {
+        "o": f"""SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(s) OVER w AS cs FROM (
+  SELECT t, {x} AS x, count(*) AS n, sum({y}) AS s FROM {rows} JOIN (VALUES (0), (1), (2), (3), (4)) AS k(t) ON id_municipio % 5 <> t WHERE {x} IS NOT NULL GROUP BY ALL) AS h
+WINDOW w AS (PARTITION BY t ORDER BY x)""",
+        "f": """SELECT t, any_value(bx) AS x, max(least_mean) AS v FROM (
+  SELECT t, b, bx, min(m) OVER (PARTITION BY t, a ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS least_mean FROM (
+    SELECT l.t, l.i AS a, r.i AS b, r.x AS bx, CAST(r.cs - l.cs + l.s AS DOUBLE) / (r.cn - l.cn + l.n) AS m FROM o AS l JOIN o AS r ON l.t = r.t AND r.i >= l.i) AS p) AS q GROUP BY t, b""",
+        "q": f"SELECT id_municipio % 5 AS t, {x} AS x, count(*) AS n, sum({y}) AS s FROM {rows} WHERE {x} IS NOT NULL GROUP BY ALL",
+        "z": """SELECT t, x, n, s, CASE WHEN lx IS NULL THEN hv WHEN hx IS NULL OR hx <= lx THEN lv ELSE lv + (hv - lv) * (x - lx) / (hx - lx) END AS c FROM (
+  SELECT q.t, q.x, any_value(q.n) AS n, any_value(q.s) AS s, max(f.x) FILTER (WHERE f.x <= q.x) AS lx, arg_max(f.v, f.x) FILTER (WHERE f.x <= q.x) AS lv,
+         min(f.x) FILTER (WHERE f.x >= q.x) AS hx, arg_min(f.v, f.x) FILTER (WHERE f.x >= q.x) AS hv FROM q JOIN f USING (t) GROUP BY 1, 2) AS u"""}
+
+
+@query("isotonic_crossfit_gain", B.with_ctes("""
+SELECT a AS brier_bruto, b AS brier_calibrado, a - b AS ganho_brier FROM (
+  SELECT sum(s * pow(1 - x, 2) + (n - s) * x * x) / sum(n) AS a, sum(s * pow(1 - c, 2) + (n - s) * c * c) / sum(n) AS b FROM z) AS t""",
+       "scored", extra=curves_sql("scored", "p", "y")), ["brier_bruto", "brier_calibrado", "ganho_brier"])
+def isotonic_crossfit_gain(spark, folder):
+    """Brier of the smoothed municipal risk before and after calibration by the curve of the other folds."""
+    rows = B.scored(spark, folder).select("y", "p", F.pmod("id_municipio", F.lit(FOLDS)).cast("int").alias("fold"))
+    return calibration.crossfit_gain(rows, FOLDS, "y", "p")
+
+
+@query("one_column_rule_in_folds", B.with_ctes("""
+SELECT t AS fold, -x AS taxa, n AS linhas, c AS escore FROM z
+UNION ALL
+SELECT k.fold, NULL, count(*) FILTER (WHERE id_municipio % 5 = k.fold AND mun_taxa_alfab_lag1 IS NULL), avg(risco_nao_alfabetizacao) FILTER (WHERE id_municipio % 5 <> k.fold)
+FROM dataset CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS k(fold) GROUP BY 1 HAVING count(*) FILTER (WHERE id_municipio % 5 = k.fold AND mun_taxa_alfab_lag1 IS NULL) > 0""",
+       "dataset", extra=curves_sql("dataset", "-mun_taxa_alfab_lag1", "risco_nao_alfabetizacao")), ["taxa", "escore"])
+def one_column_rule_in_folds(spark, folder):
+    """The rule of one column: every row scored by the isotonic curve of the other folds, rows without the column by their prevalence."""
+    scored, _ = M.out_of_fold(in_fixed_folds(spark, folder), M.univariate("regra", "mun_taxa_alfab_lag1"), FOLDS, keep=["mun_taxa_alfab_lag1"])
+    return scored.groupBy("fold", F.col("mun_taxa_alfab_lag1").cast("double").alias("taxa")).agg(F.count(F.lit(1)).alias("linhas"), F.max(M.SCORE).alias("escore"))
+
+
 @query("isotonic_calibration_gain")
 def isotonic_calibration_gain(spark, folder):
     scored, _ = M.out_of_fold(materialize(split.folds(matrix(spark, folder))), M.logistic(), FOLDS)
