@@ -5,9 +5,10 @@ starts in a document with a smaller id; windows are judged on the input.
 
 1. Routing. The words of every window have a smallest hash among their ``GRAM``-word shingles, the window's key. Equal windows
    have equal keys, and neighbouring windows mostly share theirs, so a document falls into segments of one key each.
-   A key that only one text has cannot hold a repeated window; each task first settles the keys that it sees twice
-   itself and announces the others once, so a key with a third of all rows is a few announcements. Equal texts, known by their
-   XXH64 value, count as one row; all but the one of the smallest id lose every word that a window covers.
+   A key that only one text has cannot hold a repeated window. Each batch announces its keys once, with the smallest and the
+   largest row that has them, so a key with a third of all rows is a few announcements; keys whose rows differ are marked in a bit
+   map. Equal texts, known by their XXH64 value, count as one row; all but the one of the smallest id lose every word that a
+   window covers.
 2. Segments of repeated keys go to the shard of their key, once per task and text: in a task, all but the smallest
    document of equal segments are covered at once. Keys with over ``HOT`` segments are dealt by window instead.
 3. A shard writes its distinct segments one after another, sorts their suffixes by the first 16 words, and keeps the
@@ -30,12 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.llm.collocations import bit_map, has
 from cohortspark.llm.common import stage
 
 WINDOW = 13
@@ -43,6 +44,8 @@ GRAM = 5
 SHARD_WORDS = 400_000
 HOT = 5_000
 CACHE = 200_000
+#: Size of the map of repeated keys: 2 MB at least, 64 MB at most.
+MIN_BITS, MAX_BITS, BITS_PER_KEY = 1 << 24, 1 << 29, 64
 DEPTH_ROUNDS = 4  # suffixes are sorted by their first 2**4 words, which must not be fewer than a window
 
 
@@ -78,95 +81,30 @@ def segments(words: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray
 
 
 def _announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, row) of keys seen in one row of the batch, or once for several; (row, keys) of those seen in several."""
+    """(key, low, high): each key of the batch with the smallest and the largest row that has it."""
     hashes = Hashes()
     for batch in batches:
         found = [(np.unique(segments(t.as_py().split(), hashes)[0]), r) for r, t in zip(batch.column("row").to_pylist(), batch.column("text"))]
-        if not found:
-            continue
-        keys = np.concatenate([k for k, _ in found]).view(np.int64)
+        keys = np.concatenate([k for k, _ in found] or [np.zeros(0, np.uint64)]).view(np.int64)
         rows = np.repeat(np.array([r for _, r in found], dtype=np.int64), [len(k) for k, _ in found])
-        order = np.lexsort((rows, keys))
+        order = np.argsort(keys)
         keys, rows = keys[order], rows[order]
-        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])]) if len(keys) else np.zeros(0, bool)
-        keys, rows = keys[fresh], rows[fresh]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-        size = np.diff(np.append(np.flatnonzero(first), len(keys)))
-        many = np.repeat(size > 1, size)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(keys[first]), pa.array(keys[first]), pa.array(rows[first]), pa.nulls(int(first.sum()), pa.list_(pa.int64()))], names=["route", "key", "row", "known"])
-        order = np.argsort(rows[many], kind="stable")
-        its_rows, its_keys = rows[many][order], keys[many][order]
-        starts = np.flatnonzero(np.concatenate([[True], its_rows[1:] != its_rows[:-1]])) if len(its_rows) else np.zeros(0, np.int64)
-        known = pa.ListArray.from_arrays(pa.array(np.append(starts, len(its_rows)).astype(np.int32)), pa.array(its_keys))
-        yield pa.RecordBatch.from_arrays([pa.array(its_rows[starts]), pa.nulls(len(starts), pa.int64()), pa.array(its_rows[starts]), known], names=["route", "key", "row", "known"])
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, keys): of announcements sorted by key, those whose key came from more than one row."""
-    last_key = last_row = None
-    told = False
-    for batch in batches:
-        known = batch.filter(pc.is_null(batch.column("key")))
-        if known.num_rows:
-            yield known.select(["row", "known"]).rename_columns(["row", "keys"])
-        rest = batch.filter(pc.is_valid(batch.column("key")))
-        rows, keys = [], []
-        for key, row in zip(rest.column("key").to_pylist(), rest.column("row").to_pylist()):
-            if key != last_key:
-                last_key, last_row, told = key, row, False
-            elif row != last_row or told:
-                if not told:
-                    rows.append(last_row)
-                    keys.append([key])
-                    told = True
-                rows.append(row)
-                keys.append([key])
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "keys"])
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, keys): of rows sorted by row, all keys of each in one list; a row may span batches."""
-    last, held = None, []
-
-    def told(rows: np.ndarray, bounds: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(keys))
-        return pa.RecordBatch.from_arrays([pa.array(rows), lists], names=["row", "keys"])
+        first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.zeros(0, np.int64)
+        if len(first):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(np.minimum.reduceat(rows, first)), pa.array(np.maximum.reduceat(rows, first))], names=["key", "low", "high"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows, lists = batch.column(0).to_numpy(), batch.column(1)
-        keys, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
-        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        bounds = np.concatenate([[0], ends])[np.append(starts, len(rows))]
-        if last is not None and rows[0] != last:
-            whole = np.concatenate(held)
-            yield told(np.array([last]), np.array([0, len(whole)]), whole)
-            held = []
-        head = held if last == rows[0] else []
-        first = np.concatenate([*head, keys[:bounds[1]]])
-        last = rows[-1]
-        if len(starts) == 1:
-            held = [first]
-            continue
-        keys = np.concatenate([first, keys[bounds[1]:]])
-        bounds = bounds + (len(first) - bounds[1])
-        bounds[0] = 0
-        held = [keys[bounds[-2]:]]
-        yield told(rows[starts[:-1]], bounds[:-1], keys[:bounds[-2]])
-    if last is not None:
-        whole = np.concatenate(held)
-        yield told(np.array([last]), np.array([0, len(whole)]), whole)
-
-
-def repeated_keys(rows: DataFrame) -> DataFrame:
-    """(row, keys): the keys of each row that another row has too."""
-    told = rows.where("doc_id is not null").select("row", F.col("text").cast("binary").alias("text")).mapInArrow(
-        _announce, "route long, key long, row long, known array<long>")
-    found = told.repartition("route").sortWithinPartitions("key").mapInArrow(_repeated, "row long, keys array<long>")
-    return found.repartition("row").sortWithinPartitions("row").mapInArrow(_gathered, "row long, keys array<long>")
+
+def repeated_keys(rows: DataFrame):
+    """Broadcast bit map of the keys that more than one row has.
+
+    It has some ``BITS_PER_KEY`` bits per such key up to ``MAX_BITS``. A key it holds wrongly makes a segment that the index then
+    finds nowhere else; none is missing."""
+    told = rows.where("doc_id is not null").select("row", F.col("text").cast("binary").alias("text")).mapInArrow(_announce, "key long, low long, high long")
+    repeated = stage(told.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key"))
+    bits = MIN_BITS
+    while bits < min(MAX_BITS, BITS_PER_KEY * repeated.count()):
+        bits *= 2
+    return bit_map(repeated, F.col("key"), bits)
 
 
 def kept_digest(words: list[bytes], removed: np.ndarray) -> str:
@@ -201,28 +139,30 @@ def _combine(found: dict[tuple[int, bytes], list[tuple[int, int, int, int]]]) ->
         yield {"kind": COVERED, "doc_id": doc, "row": row, "start": first, "count": last - first}
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(repeated):
     """Copies of a smaller document and rows without repeated keys are done; the others give segments, covered places, and
     wait with their text."""
-    hashes, zip_, unzip = Hashes(), zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-    for batch in batches:
-        parts: list[dict] = []
-        found: dict[tuple[int, bytes], list] = {}
-        for doc, row, packed, least, keys in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "row", "packed", "least", "keys")]):
-            text = unzip.decompress(packed)
-            words = text.split()
-            copy = doc is not None and doc > least and len(words) >= WINDOW
-            if copy or keys is None or doc is None or doc > least:
-                parts.append({"kind": DONE, "doc_id": doc, "count": len(words) * copy, "n_words": len(words), "digest": kept_digest(words, np.full(len(words), copy))})
-                continue
-            parts.append({"kind": PENDING, "doc_id": doc, "row": row, "text": zip_.compress(text)})
-            wanted = set(keys)
-            ids, starts, counts = segments(words, hashes)
-            for key, start, count in zip(ids.view(np.int64).tolist(), starts.tolist(), counts.tolist()):
-                if key in wanted:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, zip_, unzip = Hashes(), zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        for batch in batches:
+            parts: list[dict] = []
+            found: dict[tuple[int, bytes], list] = {}
+            for doc, row, packed, least in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "row", "packed", "least")]):
+                text = unzip.decompress(packed)
+                words = text.split()
+                copy = doc is not None and doc > least and len(words) >= WINDOW
+                ids, starts, counts = segments([] if doc is None or doc > least else words, hashes)
+                wanted = np.flatnonzero(has(repeated.value, ids))
+                if not len(wanted):
+                    parts.append({"kind": DONE, "doc_id": doc, "count": len(words) * copy, "n_words": len(words), "digest": kept_digest(words, np.full(len(words), copy))})
+                    continue
+                parts.append({"kind": PENDING, "doc_id": doc, "row": row, "text": zip_.compress(text)})
+                for key, start, count in zip(ids[wanted].view(np.int64).tolist(), starts[wanted].tolist(), counts[wanted].tolist()):
                     found.setdefault((key, b" ".join(words[start:start + count + WINDOW - 1])), []).append((doc, row, start, count))
-        parts += _combine(found)
-        yield pa.RecordBatch.from_pylist(parts, schema=PART)
+            parts += _combine(found)
+            yield pa.RecordBatch.from_pylist(parts, schema=PART)
+
+    return run
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,7 +315,8 @@ def covered_places(parts: DataFrame) -> DataFrame:
     hot = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key")
     split = stage(found.join(hot, "key", "left_semi").select("doc_id", "row", "start", "count", "text").mapInArrow(_split, PARTS))
     dealt = found.join(hot, "key", "left_anti").unionByName(split.where(F.col("kind") == SEGMENT).select(*found.columns))
-    words = parts.where(F.col("kind") == SEGMENT).agg(F.sum(F.col("count") + (WINDOW - 1))).first()[0] or 0
+    # Segments of hot keys count as their windows too: a few shards too many rather than overfull ones.
+    words = sum(d.where(F.col("kind") == SEGMENT).agg(F.sum(F.col("count") + (WINDOW - 1))).first()[0] or 0 for d in (parts, split))
     shards = max(1, -(-int(words) // SHARD_WORDS))
     matched = dealt.select(F.pmod("key", F.lit(shards)).alias("shard"), "doc_id", "row", "start", "text").groupBy("shard").applyInArrow(
         _shard, "doc_id long, row long, low int, high int")
@@ -389,9 +330,8 @@ def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = rows.select("doc_id", F.xxhash64("text").alias("row"), "text")
     packed = rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(_packed, "doc_id long, row long, packed binary")
     owners = rows.where("doc_id is not null").groupBy("row").agg(F.min("doc_id").alias("least"))
-    told = owners.join(repeated_keys(rows), "row", "left")
-    joined = packed.join(told, "row", "left").select("doc_id", "row", "packed", "least", "keys")
-    parts = stage(joined.mapInArrow(_cut, PARTS))
+    joined = packed.join(owners, "row", "left").select("doc_id", "row", "packed", "least")
+    parts = stage(joined.mapInArrow(_cut(repeated_keys(rows)), PARTS))
     covered = covered_places(parts).groupBy("row", "doc_id").agg(F.collect_list(F.struct("low", "high")).alias("covered"))
     waiting = parts.where(F.col("kind") == PENDING).select("row", "doc_id", "text")
     finished = waiting.join(covered, ["row", "doc_id"], "left").select("doc_id", "text", "covered").mapInArrow(

@@ -504,17 +504,26 @@ def test_seats_keep_count():
         assert (seats.tables >= 1).all() and (seats.sizes >= 1).all()
 
 
-def test_gathered_keys_span_batches():
-    import pyarrow as pa
-    rng = np.random.default_rng(6)
-    for _ in range(50):
-        rows = np.sort(rng.integers(0, 6, rng.integers(1, 30)))
-        lists = [rng.integers(0, 99, rng.integers(1, 4)).tolist() for _ in rows]
-        cuts = sorted(rng.integers(0, len(rows) + 1, 3).tolist())
-        batches = [pa.RecordBatch.from_arrays([pa.array(rows[a:b]), pa.array(lists[a:b], pa.list_(pa.int64()))], names=["row", "keys"])
-                   for a, b in zip([0, *cuts], [*cuts, len(rows)])]
-        got = [(r, k) for b in substring._gathered(iter(batches)) for r, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        want = collections.defaultdict(list)
-        for r, k in zip(rows.tolist(), lists):
-            want[r] += k
-        assert got == sorted(want.items())
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 24])
+def test_repeated_keys(spark, corpus, monkeypatch, bits):
+    """The map holds every key of two rows; a full map only makes work."""
+    monkeypatch.setattr(substring, "MIN_BITS", bits)
+    monkeypatch.setattr(substring, "MAX_BITS", bits)
+    docs = frame(spark, corpus).repartition(4)
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    marked = substring.repeated_keys(rows).value
+    owners = collections.defaultdict(set)
+    for i, t, _ in corpus:
+        if i is not None:
+            for key in substring.segments((t or "").encode().split(), substring.Hashes())[0].tolist():
+                owners[key].add(t)
+    twice = np.array([k for k, v in owners.items() if len(v) > 1], dtype=np.uint64)
+    once = np.array([k for k, v in owners.items() if len(v) == 1], dtype=np.uint64)
+    assert len(twice) and substring.has(marked, twice).all() and (bits < 1 << 20 or not substring.has(marked, once).any())
+    assert rows_of(substring.deduplicate(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == plain_dedup(corpus)
+
+
+def test_substring_dedup_of_one_word_for_ever(spark):
+    rows = [(1, "a " * 300_000, "s"), (2, "a " * 100_000 + "b", "s"), (3, "x " + "a " * 12, "s"), (4, "a " * 13, "s")]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.deduplicate(frame(spark, rows)).collect()}
+    assert got == {1: (300_000, 0), 2: (100_001, 100_000), 3: (13, 0), 4: (13, 13)}
