@@ -68,6 +68,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def long_runs(least: int = LONG_RUN) -> re.Pattern:
+    return re.compile(f"{WHITE}{{{least},}}")
+
+
+def encode_cut(encoding: tiktoken.Encoding, text: str, runs: re.Pattern) -> np.ndarray:
+    """Ids of ``text``. A long run of white space is one unit of the pattern, but for its last sign where more text follows,
+    since that one may join it; so the text is cut there and the run encoded as the unit it is."""
+    if not runs.search(text):
+        return encoding.encode_to_numpy(text)
+    made, at = [], 0
+    for run in runs.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        made += [encoding.encode_to_numpy(text[at:run.start()]), np.array(encoding._encode_single_piece(text[run.start():end]), dtype=np.uint32)]
+        at = end
+    return np.concatenate([*made, encoding.encode_to_numpy(text[at:])])
+
+
 class ByteTokens:
     """Vocabulary A: ids in the order of the merges, so ids are ranks."""
 
@@ -80,18 +97,10 @@ class ByteTokens:
         for token, rank in ranks.items():
             self.bytes[rank] = token
         self.encoding = tiktoken.Encoding("alignment", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.runs = re.compile(f"{WHITE}{{{LONG_RUN},}}")
+        self.runs = long_runs()
 
     def encode(self, text: str) -> np.ndarray:
-        if len(text) < LONG_RUN or not self.runs.search(text):
-            return self.encoding.encode_to_numpy(text)
-        # A long run is one unit of the pattern, but for its last sign where more text follows: that one may join it.
-        made, at = [], 0
-        for run in self.runs.finditer(text):
-            end = run.end() if run.end() == len(text) else run.end() - 1
-            made += [self.encoding.encode_to_numpy(text[at:run.start()]), np.array(self.encoding._encode_single_piece(text[run.start():end]), dtype=np.uint32)]
-            at = end
-        return np.concatenate([*made, self.encoding.encode_to_numpy(text[at:])])
+        return encode_cut(self.encoding, text, self.runs)
 
 
 class PieceTokens:

@@ -27,6 +27,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.llm.alignment import encode_cut, long_runs
+
 # The pre-tokenisation pattern that belongs to the vocabulary and its end token.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -44,10 +46,11 @@ class Tokenizer:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.kind = np.dtype("<u2" if len(ranks) < 1 << 16 else "<u4")
+        self.runs = long_runs()
         self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype=self.kind).tobytes()
+        return encode_cut(self.encoding, text, self.runs).astype(self.kind).tobytes()
 
 
 class Rooms:

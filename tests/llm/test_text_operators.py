@@ -527,3 +527,16 @@ def test_substring_dedup_of_one_word_for_ever(spark):
     rows = [(1, "a " * 300_000, "s"), (2, "a " * 100_000 + "b", "s"), (3, "x " + "a " * 12, "s"), (4, "a " * 13, "s")]
     got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.deduplicate(frame(spark, rows)).collect()}
     assert got == {1: (300_000, 0), 2: (100_001, 100_000), 3: (13, 0), 4: (13, 13)}
+
+
+def test_packing_of_very_long_blanks(spark):
+    texts = [" " * 1_000_000, "x" + "\n" * 1_000_000 + "y", "\t" * 5_000 + " a", "b" * 1_000_000]
+    rows = packing.pack(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    tokenizer = packing.Tokenizer(packing.VOCABULARY)
+    parts = collections.defaultdict(dict)
+    for r in rows:
+        for k, (doc, part) in enumerate(zip(r["doc_ids"], r["parts"])):
+            parts[doc][part] = r["input_ids"][r["cu_seqlens"][k]:r["cu_seqlens"][k + 1]]
+    for i, t in enumerate(texts):
+        ids = [x for _, p in sorted(parts[i].items()) for x in p]
+        assert ids[-1] == packing.END and tokenizer.encoding.decode(ids[:-1]) == t
