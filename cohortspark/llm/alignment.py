@@ -75,7 +75,7 @@ def long_runs(least: int = LONG_RUN) -> re.Pattern:
 def encode_cut(encoding: tiktoken.Encoding, text: str, runs: re.Pattern) -> np.ndarray:
     """Ids of ``text``. A long run of white space is one unit of the pattern, but for its last sign where more text follows,
     since that one may join it; so the text is cut there and the run encoded as the unit it is."""
-    if not runs.search(text):
+    if len(text) < LONG_RUN or not runs.search(text):
         return encoding.encode_to_numpy(text)
     made, at = [], 0
     for run in runs.finditer(text):

@@ -92,7 +92,9 @@ def test_encodings_are_those_of_the_libraries(aligner, reference, text):
 @given(st.lists(st.tuples(st.sampled_from([" ", "\n", "\t ", "　", "a"]), st.integers(1, 12)), max_size=8), st.sampled_from(["", "x", "'s", "1"]))
 def test_long_runs_are_cut_where_the_pattern_cuts(aligner, reference, parts, tail):
     text = "".join(c * n for c, n in parts) + tail
-    assert alignment.encode_cut(aligner.a.encoding, " " + text, alignment.long_runs(3)).tolist() == reference[0](text)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(alignment, "LONG_RUN", 3)
+        assert alignment.encode_cut(aligner.a.encoding, " " + text, alignment.long_runs(3)).tolist() == reference[0](text)
 
 
 def test_very_long_texts(spark, aligner):
