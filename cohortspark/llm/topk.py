@@ -16,10 +16,10 @@ the worst k-th score of the query node as it rises; leaves are compared by one m
 pair meet in one ranking per query. Bounds only ever drop pairs that cannot matter, so results are exact.
 
 Defined cases: vectors that are NULL or empty or hold NULL or non-finite components, rows without id and vectors of another
-length than the most frequent one (the longer of two) take no part; components beyond 2**25 in size after scaling raise an
-error, for their products may leave 64 bits. All rows with the query's id count as its own; a repeated row counts once per
-occurrence as a candidate and once as a query; ties go to the smaller id; an empty table gives an empty result; other
-columns are ignored.
+length than the most frequent one (the longer of two) take no part, nor do vectors with a component of 2**62 or more in size
+after scaling. Scores are exact whole numbers; one that leaves 64 bits counts as the largest (or, negated, smallest) long. All rows
+with the query's id count as its own; a repeated row counts once per occurrence as a candidate and once as a query; ties go
+to the smaller id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,10 @@ MISSES = 32
 #: Rows of a block, and the least number of blocks that a smaller table is cut into.
 BLOCK = 4_096
 LEAST_BLOCKS = 24
-LIMIT = 1 << 25
+LIMIT = 1 << 62
+LONG = (1 << 63) - 1
+#: Stands for "no score yet"; real scores are above.
+NONE = -LONG - 1
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -85,26 +88,37 @@ def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, leaf: int = L
 
 
 def largest(q: Node, d: Node) -> float:
-    """Upper bound of the products of two balls, with room for rounding."""
+    """Upper bound of the products of two balls, with room for rounding in proportion to the largest terms."""
     bound = float(q.center @ d.center) + q.radius * d.norm + d.radius * q.norm + q.radius * d.radius
-    return bound + 1e-9 * abs(bound) + 1e-3
+    return bound + 1e-9 * (q.norm + q.radius) * (d.norm + d.radius) + 1e-3
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole-number rows. Every partial sum is within |a||b|, which says what arithmetic is exact."""
+    fa, fb = a.astype(float), b.astype(float)
+    most = float(np.sqrt((fa * fa).sum(axis=1).max() * (fb * fb).sum(axis=1).max()))
+    if most < 1 << 52:
+        return (fa @ fb.T).astype(np.int64)
+    if most < 1 << 62:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.astype(object).T, -LONG, LONG).astype(np.int64)
 
 
 class Search:
-    """Best k candidates of each query; ``floor`` is a score that a query's k-th is known to reach."""
+    """Best k candidates of each query; ``floor`` is a score that a query's k-th is known to reach, or NONE."""
 
     def __init__(self, queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, floor: np.ndarray, k: int):
         order = np.argsort(ids, kind="stable")
         self.data, self.ids, self.queries, self.query_ids, self.k = data[order], ids[order], queries, query_ids, k
-        self.floor = floor.astype(float)
-        self.scores = np.full((len(queries), k), -np.inf)
+        self.floor = floor
+        self.scores = np.full((len(queries), k), NONE)
         self.at = np.full((len(queries), k), len(ids))
 
     def run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        self.visit(cover_tree(self.queries), cover_tree(self.data))
-        kept = np.isfinite(self.scores) & (self.scores >= self.floor[:, None])
+        self.visit(cover_tree(self.queries.astype(float)), cover_tree(self.data.astype(float)))
+        kept = (self.scores != NONE) & (self.scores >= self.floor[:, None])
         q, _ = np.nonzero(kept)
-        return self.query_ids[q], self.ids[self.at[kept]], self.scores[kept].astype(np.int64)
+        return self.query_ids[q], self.ids[self.at[kept]], self.scores[kept]
 
     def visit(self, q: Node, d: Node) -> None:
         worst = np.maximum(self.scores[q.rows, -1], self.floor[q.rows]).min()
@@ -120,36 +134,35 @@ class Search:
     def compare(self, q: np.ndarray, d: np.ndarray) -> None:
         """Merge the products of two leaves; ``d`` counts in the order of ids, so a smaller place wins a tie."""
         d = np.sort(d)
-        scores = self.queries[q] @ self.data[d].T
-        scores[self.query_ids[q][:, None] == self.ids[d][None, :]] = -np.inf
-        scores[scores < self.floor[q][:, None]] = -np.inf
+        scores = products(self.queries[q], self.data[d])
+        scores[self.query_ids[q][:, None] == self.ids[d][None, :]] = NONE
+        scores[scores < self.floor[q][:, None]] = NONE
         if len(d) > self.k:
             # All that reach the k-th largest product: at least k, more only if they tie with it.
             reach = np.partition(scores, len(d) - self.k, axis=1)[:, len(d) - self.k]
             able = scores >= reach[:, None]
         else:
-            able = np.isfinite(scores)
+            able = scores != NONE
         for row in range(len(q)):
             took = np.flatnonzero(able[row])
             i = q[row]
             both, places = np.concatenate([self.scores[i], scores[row, took]]), np.concatenate([self.at[i], d[took]])
-            best = np.lexsort((places, -both))[:self.k]
+            # ~ turns the order around without leaving 64 bits.
+            best = np.lexsort((places, ~both))[:self.k]
             self.scores[i], self.at[i] = both[best], places[best]
 
 
 def whole_numbers(vectors: DataFrame, vec_id: str, vector: str, scale: float) -> DataFrame:
-    """(vec_id, v array<int>) of the rows that take part."""
+    """(vec_id, v array<long>) of the rows that take part."""
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
-    sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * scale) < float(LIMIT)))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & (F.size("x") > 0) & sound)
-    fits = lambda c: F.abs(c * scale) < LIMIT
-    v = F.transform("x", lambda c: F.when(fits(c), F.floor(c * scale).cast("int")).otherwise(F.raise_error(F.lit(f"component beyond {LIMIT}")).cast("int")))
-    return rows.select("vec_id", v.alias("v"))
+    return rows.select("vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
 
 
 def _nodes(tree: Node) -> list[Node]:
@@ -191,11 +204,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     sound = whole_numbers(vectors, vec_id, vector, scale)
-    lengths = sound.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
+    widest = F.max(F.array_max(F.transform("v", F.abs))).alias("widest")
+    lengths = sound.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), widest).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
     if not lengths:
         return empty
     dim, rows = lengths[0]["dim"], lengths[0]["n"]
-    sound = sound.where(F.size("v") == dim)
+    kind = "int" if lengths[0]["widest"] < 1 << 31 else "bigint"
+    sound = sound.where(F.size("v") == dim).withColumn("v", F.col("v").cast(f"array<{kind}>"))
     sample = sound.orderBy(F.md5(F.col("vec_id").cast("string").cast("binary")), "vec_id").limit(SAMPLE).collect()
     nodes = _nodes(cover_tree(np.array([r["v"] for r in sample], dtype=float)))
     for n in nodes:
@@ -206,10 +221,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at, far = _route(_matrix(batch.column(1), dim), nodes, child_of)
+                at, far = _route(_matrix(batch.column(1), dim).astype(float), nodes, child_of)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.int32()), pa.array(far, pa.float64())], names=["vec_id", "v", "node", "far"])
 
-    routed = stage(sound.mapInArrow(route, "vec_id long, v array<int>, node int, far double"))
+    routed = stage(sound.mapInArrow(route, f"vec_id long, v array<{kind}>, node int, far double"))
     size = min(BLOCK, max(-(-rows // LEAST_BLOCKS), LEAF))
     d_stats, d_block = _blocks(routed, size)
     queries = routed.where(is_query).dropDuplicates(["vec_id"])
@@ -237,10 +252,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     blocks = asked.select("q", "node").distinct()
     least = min(v[1] for v in d_stats.values())
     own = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for n, v in d_stats.items() for x in (n, v[1])]), F.col("node")), F.lit(least))
-    none = asked.withColumn("floor", F.lit(float("-inf")))
+    none = asked.withColumn("floor", F.lit(NONE))
     first = compared(blocks.select("q", own.alias("d")), none)
-    reached = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") >= k)
-    known = stage(asked.join(reached.select(F.col("query_id").alias("vec_id"), "floor"), "vec_id", "left").fillna(float("-inf"), ["floor"]))
+    reached = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+    known = stage(asked.join(reached.select(F.col("query_id").alias("vec_id"), "floor"), "vec_id", "left").fillna(NONE, ["floor"]))
 
     def surviving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Data blocks that a query block cannot rule out."""

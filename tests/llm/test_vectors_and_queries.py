@@ -46,6 +46,23 @@ def test_search_of_little(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e6, 5e5 * 2 ** 10, 2.0 ** 40])
+def test_search_of_large_components(spark, size):
+    """Products beyond 2**53 that differ in their last bits only, and beyond 2**63."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (size + rng.integers(0, 4, 6) / 64).tolist()) for i in range(1, 121)]
+    rows += [(140, [1e300] + [0.0] * 5), (141, [-size] * 6), (160, [0.015625] * 6)]
+    got = sorted(tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).select(
+        "query_id", "rank", "vec_id", "score").collect())
+    most = (1 << 63) - 1
+    vectors = {i: [math.floor(64 * x) for x in v] for i, v in rows if i != 140}
+    expected = []
+    for q in (i for i in vectors if i % 20 == 0):
+        scores = sorted((-max(-most, min(most, sum(a * b for a, b in zip(vectors[q], v)))), i) for i, v in vectors.items() if i != q)
+        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:20])]
+    assert got == sorted(expected)
+
+
 def test_registered():
     registered = entrypoint.queries()
     assert [n for n in queries.QUERIES if n in registered] == list(queries.QUERIES) and "pipeline" in registered
