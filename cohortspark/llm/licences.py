@@ -3,8 +3,8 @@ expression after a tag.
 
 A text is lower-cased (A-Z) and cut into words of digits, letters and characters beyond ASCII. Notice phrases are matched
 as consecutive words, all places, overlapping ones too. A tag is looked for in the lower-cased text itself; the
-rest of its line is parsed as an expression of identifiers, ``and``, ``or``, ``with`` and parentheses, where ``with``
-binds tighter than ``and`` and ``and`` tighter than ``or``. The parsed expression is evaluated to its identifiers and to
+rest of its line, up to the next tag, is parsed as an expression of identifiers, ``and``, ``or``, ``with`` and parentheses,
+where ``with`` binds tighter than ``and`` and ``and`` tighter than ``or``. The parsed expression is evaluated to its identifiers and to
 whether it can be met with permissive licences alone (``or``: one side suffices; ``and``: both are needed; an exception
 only ever adds permissions).
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -45,12 +45,12 @@ RESULT = ("doc_id long, n_words long, n_base long, first_word long, last_word lo
           "score double, permissive boolean")
 
 
-def shunt(tokens: list[str]) -> list[str] | None:
+def shunt(tokens: Iterable[str]) -> list[str] | None:
     """Reverse Polish form of the longest well-formed expression at the start; None if there is none."""
     out: list[str] = []
     held: list[str] = []
     operand = True
-    best: list[str] | None = None
+    best: tuple[int, list[str]] | None = None
     for token in tokens:
         if operand and token == "(":
             held.append(token)
@@ -69,8 +69,9 @@ def shunt(tokens: list[str]) -> list[str] | None:
         else:
             break
         if not operand and "(" not in held:
-            best = out + held[::-1]
-    return best
+            # Without parentheses at most one operator of each precedence is held.
+            best = len(out), held[::-1]
+    return out[:best[0]] + best[1] if best else None
 
 
 def evaluate(polish: list[str]) -> tuple[set[str], bool]:
@@ -84,7 +85,10 @@ def evaluate(polish: list[str]) -> tuple[set[str], bool]:
         if token == "with":
             stack.append((left, v))
         else:
-            stack.append((left | right, (v or r) if token == "or" else (v and r)))
+            if len(left) < len(right):
+                left, right = right, left
+            left |= right
+            stack.append((left, (v or r) if token == "or" else (v and r)))
     return stack[0]
 
 
@@ -116,9 +120,10 @@ def scan_text(text: bytes, notices: ahocorasick.Automaton, tags: ahocorasick.Aut
         score = 1 - 0.5 / len(hits)
         verdicts += [x in PERMISSIVE for x in sorted(labels)]
     low = text.translate(LOWER)
-    for end, _ in tags.iter(low.decode("latin-1")):
-        rest = low[end + 1:].split(b"\n", 1)[0]
-        polish = shunt([t.decode() for t in TOKEN.findall(rest)])
+    tagged = [(end - len(tag) + 1, end + 1) for end, tag in tags.iter(low.decode("latin-1"))]
+    for (_, begin), (stop, _) in zip(tagged, [*tagged[1:], (len(low), 0)]):
+        line_end = low.find(b"\n", begin, stop)
+        polish = shunt(m[0].decode() for m in TOKEN.finditer(low, begin, stop if line_end < 0 else line_end))
         score = max(score, 0.5)
         if polish:
             found, free = evaluate(polish)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -32,6 +33,36 @@ def fold(doc_id, n):
 
 
 # -- licences and secrets
+JWT = r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
+
+
+def test_web_tokens_like_the_plain_pattern():
+    rng = random.Random(5)
+    rule = next(r for r in secret_scan.RULES if r.kind == "jwt")
+    for _ in range(4_000):
+        text = "".join(rng.choice(["eyJ", "eyJ", ".", ".", "a", "-", " ", "eyJa.eyJb.c", "ey", "é"]) for _ in range(rng.randrange(14)))
+        assert [s[::2] for s in secret_scan.find(text, (rule,), {rule.key})] == [m.span() for m in re.finditer(JWT, text)]
+
+
+def test_hostile_texts_take_linear_time():
+    start = time.monotonic()
+    every = {r.key for r in secret_scan.RULES}
+    for unit in ("eyJ", "eyJa.", "token ", "-----BEGIN ", "AKIA", "a"):
+        secret_scan.find(unit * (1_000_000 // len(unit)), secret_scan.RULES, every)
+    tags = licences.automaton(licences.TAGS)
+    notices = licences.automaton(f" {p} " for p in (*licences.BASE, *licences.NOTICES))
+    tag = "spdx-license-identifier: "
+    for text in (f"{tag}mit " * 40_000, f"{tag}( " * 40_000, f"{tag}mit or " * 40_000, f"{tag}mit\n" * 40_000, tag + "mit or " * 150_000 + "mit",
+                 tag + " and ".join(f"x{i}" for i in range(100_000)), tag + "(" * 1_000_000, "under the mit license " * 45_000):
+        licences.scan_text(text.encode(), notices, tags)
+    assert time.monotonic() - start < 60
+
+
+def test_expression_ends_at_the_next_tag(spark):
+    got = licences.scan(frame(spark, [(1, "SPDX-License-Identifier: mit OR license-expression: isc AND gpl-2.0", "s")])).first()
+    assert got["labels"] == "gpl-2.0,isc,mit" and got["permissive"] is False
+
+
 
 
 def test_licences(spark):
