@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortspark.contracts import FEATURE_FAMILIES, MODEL_FEATURES, NOISE_FLOOR, PRUNED_FEATURES, SEED, TARGET
+from cohortspark.models import batched
 from cohortspark.models import candidates as M
-from cohortspark.models.robustness import shuffled_drop
+from cohortspark.models.preprocess import OutputColumn
+from cohortspark.models.robustness import linear_drops, shuffled_drop
 from cohortspark.operators import ranks
 from cohortspark.operators.quality import QualityError, spearman
 from cohortspark.operators.sampling import sample_rows
 from cohortspark.session import materialize
-from pyspark.ml.functions import vector_to_array
 
 TOP_FEATURES, TOP_LINEAR = 5, 3
 
@@ -42,18 +45,45 @@ def origin_of_levels(outputs: Sequence[str], columns: Sequence[str], separator:
 
 
 # --- additive attributions -------------------------------------------------------------------------
-def linear_attributions(scorer: M.LinearOrTreeScorer, df: DataFrame, n: int = 50_000, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
-    """Exact attributions coef·(x − mean) on a seeded sample, long: (row_id, coluna, feature, valor)."""
-    sample = materialize(sample_rows(df, n, ["row_id"], seed))
-    columns = scorer.preprocessor.columns
-    x = scorer.preprocessor.model.transform(sample).select("row_id", *keep, F.posexplode(vector_to_array("features")).alias("i", "x"))
-    coef = F.array(*[F.lit(float(c)) for c in scorer.classifier.coefficients.toArray()])
-    means = x.groupBy("i").agg(F.avg("x").alias("m"))
-    names = F.array(*[F.lit(c.name) for c in columns])
-    sources = F.array(*[F.lit(c.feature) for c in columns])
-    i = F.col("i")
-    return x.join(F.broadcast(means), "i").select(  # means: one row per model column
-        "row_id", *keep, names[i].alias("coluna"), sources[i].alias("feature"), (coef[i] * (F.col("x") - F.col("m"))).alias("valor"))
+def _linear_form(base: batched.Base, line: np.ndarray) -> Column:
+    """constant + sum of weights times base entries, terms of weight zero left out."""
+    return sum((entry * float(w) for entry, w in zip(base.entries, line[1:]) if w), F.lit(float(line[0])))
+
+
+@dataclass(frozen=True)
+class LinearReading:
+    """Rows with ``_v``, the attribution of each of ``columns`` in their order."""
+
+    columns: tuple[OutputColumn, ...]
+    rows: DataFrame
+
+    def long(self, keep: Sequence[str] = ()) -> DataFrame:
+        names = F.array(*[F.struct(F.lit(c.name).alias("coluna"), F.lit(c.feature).alias("feature")) for c in self.columns])
+        cells = self.rows.select("row_id", *keep, F.posexplode("_v").alias("i", "valor"))
+        return cells.select("row_id", *keep, names[F.col("i")].alias("c"), "valor").select("row_id", *keep, "c.*", "valor")
+
+
+def linear_attributions(made: batched.Batch, df: DataFrame, keep: Sequence[str] = (), model: int = 0) -> LinearReading:
+    """Exact attributions coef * (x - mean over ``df``) of every row, as a projection: one aggregate for the means, no sample."""
+    design, beta = made.fitted.designs[made.fitted.pairs[model][0]], made.fitted.beta[model]
+    at = df.agg(*[F.avg(e).alias(f"e{i}") for i, e in enumerate(made.base.entries)]).first()
+    entry_means = np.array([1.0, *[m or 0.0 for m in at]])
+    lines = design.matrix[:, 1:] * beta[1:]
+    lines[0] -= entry_means @ lines
+    values = F.array(*[_linear_form(made.base, line) for line in lines.T])
+    return LinearReading(design.columns, df.select("row_id", *keep, values.alias("_v")))
+
+
+def grouped_reading(reading: LinearReading, group_of: Mapping[str, str], key: str, by: Sequence[str] = ()) -> DataFrame:
+    """``grouped_importance`` of a linear reading: a row sums its own groups, so that rows are never shuffled by their id."""
+    members: dict[str, list[int]] = {}
+    for i, c in enumerate(reading.columns):
+        members.setdefault(group_of[c.feature], []).append(i)
+    total = lambda at, of: sum((of(F.col("_v")[i]) for i in at[1:]), of(F.col("_v")[at[0]]))
+    cells = [F.struct(
+        F.lit(name).alias(key), F.lit(len(at)).cast("bigint").alias("c"), F.lit(len({reading.columns[i].feature for i in at})).cast("bigint").alias("f"),
+        total(at, lambda v: v).alias("s"), total(at, F.abs).alias("a")) for name, at in members.items()]
+    return _published(reading.rows.select(*by, F.explode(F.array(*cells)).alias("g")).select(*by, "g.*"), key, by)
 
 
 def sampled_attributions(scorer: M.LinearOrTreeScorer, df: DataFrame, features: Sequence[str], n: int = 1000, orders: int = 8,
@@ -100,6 +130,11 @@ def grouped_importance(attributions: DataFrame, mapping: DataFrame | None, key:
     rows = attributions if mapping is None else attributions.join(F.broadcast(mapping), "feature")
     inside = rows.groupBy(*by, key, "row_id").agg(
         F.sum("valor").alias("s"), F.sum(F.abs("valor")).alias("a"), F.count(F.lit(1)).alias("c"), F.count_distinct("feature").alias("f"))
+    return _published(inside, key, by)
+
+
+def _published(inside: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
+    """One row per group from rows (s, a, c, f): sum, sum of sizes, columns and features of the group in one row."""
     table = inside.groupBy(*by, key).agg(
         F.count(F.lit(1)).alias("n"), F.max("c").alias("n_colunas"), F.max("f").alias("n_features"), F.avg("a").alias("soma_das_medias_abs"),
         F.avg(F.abs("s")).alias("media_do_abs_da_soma"), F.stddev_samp("s").alias("dp_da_soma"))
@@ -124,13 +159,22 @@ def slice_change(importance: DataFrame, value: str, key: str = "feature") -> Dat
 
 
 # --- permutation importance ------------------------------------------------------------------------
-def permutation_importance(scorer: M.Scorer, df: DataFrame, features: Sequence[str], repeats: int = 10, seed: int = SEED, floor: float = NOISE_FLOOR) -> DataFrame:
-    table = shuffled_drop(scorer, df, {f: [f] for f in features}, repeats, seed)
+def permutation_importance(
+    model: M.Scorer | batched.Batch, df: DataFrame, features: Sequence[str], repeats: int = 10, seed: int = SEED, floor: float = NOISE_FLOOR,
+) -> DataFrame:
+    """AUC drop per feature; all features and repeats of a linear model share one plan."""
+    table = _drops(model, df, {f: [f] for f in features}, repeats, seed)
     return table.withColumnRenamed("bloco", "feature").drop("n_features").withColumn("acima_do_piso", F.col("queda_media") > floor)
 
 
-def block_permutation(scorer: M.Scorer, df: DataFrame, blocks: Mapping[str, Sequence[str]], repeats: int = 10, seed: int = SEED, floor: float = NOISE_FLOOR) -> DataFrame:
-    return shuffled_drop(scorer, df, dict(blocks), repeats, seed).withColumn("acima_do_piso", F.col("queda_media") > floor)
+def block_permutation(
+    model: M.Scorer | batched.Batch, df: DataFrame, blocks: Mapping[str, Sequence[str]], repeats: int = 10, seed: int = SEED, floor: float = NOISE_FLOOR,
+) -> DataFrame:
+    return _drops(model, df, dict(blocks), repeats, seed).withColumn("acima_do_piso", F.col("queda_media") > floor)
+
+
+def _drops(model, df, blocks, repeats, seed):
+    return (linear_drops if isinstance(model, batched.Batch) else shuffled_drop)(model, df, blocks, repeats, seed)
 
 
 def block_against_singles(blocks: DataFrame, singles: DataFrame, families: DataFrame) -> DataFrame:
@@ -142,30 +186,30 @@ def block_against_singles(blocks: DataFrame, singles: DataFrame, families: DataF
 
 
 # --- linear coefficients ---------------------------------------------------------------------------
-def linear_coefficients(df: DataFrame, features: Sequence[str] = PRUNED_FEATURES, k: int = 5, seed: int = SEED) -> DataFrame:
+def linear_coefficients(df: DataFrame, features: Sequence[str] = PRUNED_FEATURES, k: int = 5) -> DataFrame:
     """Coefficients, odds ratios, spread and sign flips over the folds, deviation of coef·x (by column name).
 
-    ``df`` carries the folds.
+    ``df`` carries the folds. The model of all rows and those of the folds share their scans.
     """
-    spark = df.sparkSession
-    candidate = M.logistic(features)
-    whole = candidate.fit(df, seed)
+    made = M.logistic(features).batch(df, [F.lit(True), *batched.fold_sets(k)])
+    whole, beta = made.fitted.designs[0], made.fitted.beta[0]
+    in_folds: dict[str, list[float]] = {}
+    for design, b in zip(made.fitted.designs[1:], made.fitted.beta[1:]):
+        if design.rows:
+            for c, value in zip(design.columns, b[1:]):
+                in_folds.setdefault(c.name, []).append(float(value))
+    spread = df.agg(F.lit(0), *[F.stddev_samp(_linear_form(made.base, line)).alias(f"c{i}") for i, line in enumerate(whole.matrix.T[1:])]).first()[1:]
     rows = []
-    for i in range(k):
-        part = candidate.fit(df.where(F.col("fold") != i), seed)
-        rows += [(c.name, float(b)) for c, b in zip(part.preprocessor.columns, part.classifier.coefficients.toArray())]
-    folds = spark.createDataFrame(rows, "coluna string, b double").groupBy("coluna").agg(
-        F.stddev_samp("b").alias("coeficiente_dp_entre_folds"), F.count("b").alias("folds_com_a_coluna"),
-        (F.min(F.signum("b")) != F.max(F.signum("b"))).alias("troca_de_sinal_entre_folds"))
-    columns = whole.preprocessor.columns
-    coefs = [float(b) for b in whole.classifier.coefficients.toArray()]
-    x = whole.preprocessor.transform(df).select(F.posexplode(vector_to_array("features")).alias("i", "x"))
-    spread = x.groupBy("i").agg(F.stddev_samp("x").alias("sx"))
-    base = spark.createDataFrame([(i, c.name, c.feature, b) for i, (c, b) in enumerate(zip(columns, coefs))], "i int, coluna string, feature string, coeficiente double")
-    table = base.join(spread, "i").join(folds, "coluna", "left")
-    return table.select(
+    for c, b, sx in zip(whole.columns, beta[1:].tolist(), spread):
+        own = in_folds.get(c.name, [])
+        sd = float(np.std(own, ddof=1)) if len(own) > 1 else None
+        flips = len({bool(v > 0) for v in own if v}) > 1 if own else None
+        rows.append((c.name, c.feature, b, sd, len(own) or None, flips, abs(b) * sx if sx is not None else None))
+    schema = ("coluna string, feature string, coeficiente double, coeficiente_dp_entre_folds double, folds_com_a_coluna long, "
+              "troca_de_sinal_entre_folds boolean, contribuicao_dp double")
+    return df.sparkSession.createDataFrame(rows, schema).select(
         "coluna", "feature", "coeficiente", F.exp("coeficiente").alias("razao_de_chances"), "coeficiente_dp_entre_folds", "folds_com_a_coluna",
-        "troca_de_sinal_entre_folds", (F.abs("coeficiente") * F.col("sx")).alias("contribuicao_dp"))
+        "troca_de_sinal_entre_folds", "contribuicao_dp")
 
 
 def contribution_by_feature(coefficients: DataFrame) -> DataFrame:

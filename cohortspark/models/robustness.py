@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.contracts import GROUP, SEED, TARGET
@@ -177,24 +177,63 @@ def shuffled_drop(scorer: M.Scorer, df: DataFrame, blocks: dict[str, Sequence[st
         for r in range(repeats):
             moved = resample.permute(needed, list(columns), ["row_id"], seed + 1000 * number + r, within)
             parts = parts.unionByName(scorer.score(moved).select(F.lit(name).alias("bloco"), F.lit(r).alias("rep"), TARGET, M.SCORE))
+    return _drop_table(parts, blocks)
+
+
+def _drop_table(parts: DataFrame, blocks: dict[str, Sequence[str]]) -> DataFrame:
+    """Mean and deviation of the drops over the repeats, from scored rows (bloco, rep); block '' is the reference."""
     aucs = materialize(metrics.auc(parts, TARGET, M.SCORE, ["bloco", "rep"]))
     reference = aucs.where("bloco = ''").select("auc").scalar()
     drops = aucs.where("bloco <> ''").withColumn("ref", reference)
     sizes = F.create_map(*[v for n, c in blocks.items() for v in (F.lit(n), F.lit(len(c)))])
+    # Areas are sums of doubles in no fixed order; what is left of equal ones is no drop.
+    lost = F.round(F.col("ref") - F.col("auc"), 12)
     return drops.groupBy("bloco").agg(
-        F.max("ref").alias("roc_auc_referencia"), F.avg(F.col("ref") - F.col("auc")).alias("queda_media"),
-        F.stddev_samp(F.col("ref") - F.col("auc")).alias("queda_dp"), F.count(F.lit(1)).cast("int").alias("n_repeticoes"),
+        F.max("ref").alias("roc_auc_referencia"), F.avg(lost).alias("queda_media"), F.stddev_samp(lost).alias("queda_dp"), F.count(F.lit(1)).cast("int").alias("n_repeticoes"),
     ).withColumn("n_features", sizes[F.col("bloco")])
 
 
+def feature_parts(base: batched.Base, gamma: Sequence[float]) -> list[Column]:
+    """What each feature of ``base`` adds to the margin of a row."""
+    parts = []
+    for f in base.features:
+        at = list(base.numeric[f][:2]) if f in base.numeric else list(base.levels[f].values())
+        parts.append(sum((base.entries[i] * float(gamma[1 + i]) for i in at), F.lit(0.0)))
+    return parts
+
+
+def linear_drops(
+    made: batched.Batch, df: DataFrame, blocks: dict[str, Sequence[str]], repeats: int, seed: int = SEED, within: Sequence[str] = (), model: int = 0,
+) -> DataFrame:
+    """``shuffled_drop`` of a linear model, all blocks and repeats in one plan.
+
+    A feature adds its own part to the margin, so shuffling a block swaps its parts for those of another row. A repeat deals
+    every row one partner (a fixed order of the rows against one order per repeat), which all blocks share; scores are sums of
+    parts in one order, so rows with equal features still tie. A block without a feature of the model drops by zero.
+    """
+    features = list(made.base.features)
+    parts = F.array(*feature_parts(made.base, made.fitted.gamma()[:, model]))
+    own = materialize(df.select("row_id", TARGET, *within, parts.alias("_p")))
+    repeat = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")
+    target = ranks.hash_position(own, ["row_id"], seed, "_at", within, salt=1).select("*", repeat)
+    origin = ranks.hash_position(own.select("row_id", *within, "_p", repeat), ["rep", "row_id"], seed, "_at", ["rep", *within], salt=2)
+    pairs = ranks._join(target, origin.select("rep", *within, "_at", F.col("_p").alias("_q")), ["rep", *within, "_at"])
+    margin = lambda moved: sum((F.col("_q" if f in moved else "_p")[i] for i, f in enumerate(features)), F.lit(0.0))
+    variants = F.array(*[F.struct(F.lit(name).alias("bloco"), margin(set(columns)).alias(M.SCORE)) for name, columns in blocks.items()])
+    scored = pairs.select("rep", TARGET, F.explode(variants).alias("v")).select("v.bloco", "rep", TARGET, f"v.{M.SCORE}")
+    plain = own.select(F.lit("").alias("bloco"), F.lit(0).alias("rep"), TARGET, margin(set()).alias(M.SCORE))
+    return _drop_table(plain.unionByName(scored), blocks)
+
+
 def _inputs(scorer: M.Scorer, df: DataFrame) -> list[str]:
     if isinstance(scorer, M.LinearOrTreeScorer):
         return list(dict.fromkeys(c.feature for c in scorer.preprocessor.columns))
     return [c for c in df.columns if c not in ("row_id", TARGET)]
 
 
-def invariance(scorer: M.Scorer, df: DataFrame, columns: Sequence[str], repeats: int = 5, seed: int = SEED) -> DataFrame:
+def invariance(scorer: M.Scorer | batched.Batch, df: DataFrame, columns: Sequence[str], repeats: int = 5, seed: int = SEED) -> DataFrame:
     """Negative and positive controls: how far does the AUC move when one column is shuffled?"""
-    return shuffled_drop(scorer, df, {c: [c] for c in columns}, repeats, seed).withColumnRenamed("bloco", "coluna").drop("n_features")
+    drops = linear_drops if isinstance(scorer, batched.Batch) else shuffled_drop
+    return drops(scorer, df, {c: [c] for c in columns}, repeats, seed).withColumnRenamed("bloco", "coluna").drop("n_features")
 
 

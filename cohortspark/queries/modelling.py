@@ -296,8 +296,7 @@ def year_drift(spark, folder):
 
 @query("shuffle_invariance")
 def shuffle_invariance(spark, folder):
-    """Booklet (negative control) against the municipal rate (positive control)."""
-    rows = matrix(spark, folder)
-    features = ("mun_taxa_alfab_lag1", "uf_taxa_alfab_lag1", "caderno")
-    scorer = M.logistic(features, "logistica", True).fit(rows, C.SEED)
-    return robustness.invariance(scorer, rows, ["caderno", "mun_taxa_alfab_lag1"], 2)
+    """Booklet (negative control) against the municipal rate (positive control), on held-out municipalities."""
+    rows = materialize(split.holdout(matrix(spark, folder)))
+    made = M.logistic(C.MODEL_FEATURES, "logistica", True).batch(rows, [~F.col("teste")])
+    return robustness.invariance(made, rows.where(F.col("teste")), ["caderno", "mun_taxa_alfab_lag1"])

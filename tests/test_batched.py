@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark import contracts as C
-from cohortspark.models import batched, robustness, split
+from cohortspark.models import batched, interpret, robustness, split
 from cohortspark.models import candidates as M
-from cohortspark.operators import metrics, sampling
+from cohortspark.operators import metrics, ranks, sampling
 
 FEATURES = ("mun_taxa_alfab_lag1", "mun_n_alunos_lag1", "uf_taxa_alfab_lag1", "nome_regiao", "sigla_uf", "caderno")
 
@@ -117,3 +117,61 @@ def test_limits(spark, rows):
     nothing = rows.limit(0)
     made = M.logistic(FEATURES, "l").batch(nothing, batched.fold_sets(3))
     assert made.fitted.steps == 1 and M.out_of_fold(nothing, M.logistic(FEATURES, "l"), 3)[0].count() == 0
+
+
+def test_drops_of_a_linear_model(rows):
+    """Every block and repeat against the same shuffle done on the raw columns and scored again."""
+    marked = rows.withColumn("teste", F.col(C.GROUP) % 4 == 0).cache()
+    made = M.logistic(FEATURES, "l", True).batch(marked, [~F.col("teste")])
+    check = marked.where("teste")
+    blocks = {"taxa": ["mun_taxa_alfab_lag1"], "duas": ["mun_taxa_alfab_lag1", "nome_regiao"], "fora": ["rede_grupo"], "tudo": list(FEATURES)}
+    got = robustness.linear_drops(made, check, blocks, 3, 5).toPandas().set_index("bloco")
+    assert got.loc["fora"].queda_media == 0 and got.loc["fora"].queda_dp == 0 and (got.n_repeticoes == 3).all() and got.loc["duas"].n_features == 2
+
+    n = check.count()
+    target = ranks.hash_position(check, ["row_id"], 5, "_at", salt=1)
+    drops = {name: [] for name in blocks}
+    for r in range(3):
+        origin = ranks.hash_position(check.withColumn("rep", F.lit(r)), ["rep", "row_id"], 5, "_at", salt=2).select("_at", *[F.col(f).alias(f"_{f}") for f in FEATURES])
+        pairs = target.join(origin, "_at").cache()
+        assert pairs.count() == n
+        for name, columns in blocks.items():
+            moved = pairs.withColumns({c: F.col(f"_{c}") for c in columns if c in FEATURES})
+            p = batched.probability(made.base, made.fitted.gamma(), F.lit(0))
+            drops[name].append(metrics.auc(moved.select(C.TARGET, p.alias("p")), C.TARGET, "p").first()[0])
+    plain = metrics.auc(check.select(C.TARGET, batched.probability(made.base, made.fitted.gamma(), F.lit(0)).alias("p")), C.TARGET, "p").first()[0]
+    for name, values in drops.items():
+        lost = plain - np.array(values)
+        assert abs(got.loc[name].roc_auc_referencia - plain) < 1e-9
+        assert abs(got.loc[name].queda_media - lost.mean()) < 1e-9 and abs(got.loc[name].queda_dp - lost.std(ddof=1)) < 1e-9
+    assert robustness.linear_drops(made, check.limit(0), blocks, 2).count() in (0, len(blocks))
+
+
+def test_readings_of_a_linear_model(rows):
+    made = M.logistic(FEATURES, "l", True).batch(rows, [F.lit(True)])
+    reading = interpret.linear_attributions(made, rows)
+    families = {f: "lag" if f.endswith("lag1") else "estrutura" for f in FEATURES}
+    table = rows.sparkSession.createDataFrame(list(families.items()), "feature string, familia string")
+    long = reading.long().cache()
+    for key, group_of, mapping in (("familia", families, table), ("feature", {f: f for f in FEATURES}, None)):
+        a = interpret.grouped_reading(reading, group_of, key).toPandas().set_index(key).sort_index()
+        b = interpret.grouped_importance(long, mapping, key).toPandas().set_index(key).sort_index()
+        assert list(a.index) == list(b.index) and np.allclose(a[b.columns].astype(float), b.astype(float), atol=1e-9)
+    assert abs(interpret.importance_by_column(long).agg(F.sum("participacao")).first()[0] - 1) < 1e-9
+
+
+def test_coefficients_of_all_folds_at_once(rows):
+    got = interpret.linear_coefficients(rows, FEATURES, 3).toPandas().set_index("coluna")
+    alone = {}
+    for i in range(3):
+        scorer = M.logistic(FEATURES).fit(rows.where(F.col("fold") != i), 1)
+        for c, b in zip(scorer.preprocessor.columns, scorer.classifier.coefficients):
+            alone.setdefault(c.name, []).append(b)
+    whole = M.logistic(FEATURES).fit(rows, 1)
+    x = np.array([r.features.toArray() for r in whole.preprocessor.transform(rows).collect()])
+    for i, (c, b) in enumerate(zip(whole.preprocessor.columns, whole.classifier.coefficients)):
+        r = got.loc[c.name]
+        assert abs(r.coeficiente - b) < 1e-4 and abs(r.razao_de_chances - np.exp(r.coeficiente)) < 1e-9
+        assert abs(r.coeficiente_dp_entre_folds - np.std(alone[c.name], ddof=1)) < 1e-4 and r.folds_com_a_coluna == 3
+        assert abs(r.contribuicao_dp - abs(r.coeficiente) * x[:, i].std(ddof=1)) < 1e-6
+    assert len(got) == x.shape[1]

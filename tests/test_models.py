@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark import contracts as C
-from cohortspark.models import calibration, interpret, preprocess, report, robustness, split, tuning
+from cohortspark.models import batched, calibration, interpret, preprocess, report, robustness, split, tuning
 from cohortspark.models import candidates as M
 from cohortspark.operators import metrics, quality
 
@@ -109,10 +109,12 @@ def test_report_and_saved_model(spark, cohort):
 
 def test_attributions_add_up(cohort):
     df, _ = cohort
-    linear = M.logistic(FEATURES, "l", True).fit(df, 1)
-    long = interpret.linear_attributions(linear, df, 200)
-    total = long.groupBy("row_id").agg(F.sum("valor").alias("s")).join(linear.score(df, margin=True).select("row_id", M.SCORE), "row_id").toPandas()
-    assert np.allclose((total[M.SCORE] - total.s).std(), 0, atol=1e-8)
+    linear = M.logistic(FEATURES, "l", True).batch(df, [F.lit(True)])
+    long = interpret.linear_attributions(linear, df).long()
+    scores = df.select("row_id", batched.probability(linear.base, linear.fitted.gamma(), F.lit(0)).alias("p"))
+    margins = scores.select("row_id", F.expr("ln(p / (1 - p))").alias(M.SCORE))
+    total = long.groupBy("row_id").agg(F.sum("valor").alias("s")).join(margins, "row_id").toPandas()
+    assert len(total) == df.count() and np.allclose((total[M.SCORE] - total.s).std(), 0, atol=1e-8) and abs(total.s.mean()) < 1e-9
     tree = M.boosting(FEATURES, "b", maxIter=4, maxDepth=3, minInstancesPerNode=5).fit(df, 1)
     walks = interpret.sampled_attributions(tree, df, FEATURES, 20, 2)
     assert walks.select("row_id").distinct().count() == 20
