@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cohortspark.contracts import CONSISTENCY_TOLERANCE_PP, MAX_CRITICAL_NULL_PCT, MAX_ORPHAN_PCT
@@ -57,31 +58,45 @@ class QualityReport:
     orphans: int
 
 
-def quality_aggregate(df: DataFrame, critical: Sequence[str], dimension: str | None = None, surplus: str | None = None) -> DataFrame:
-    """Everything the gates need in one aggregate: rows, years, NULL counts, orphans, removed copies."""
+def quality_measures(df: DataFrame, critical: Sequence[str], dimension: str | None = None, surplus: str | None = None) -> list[Column]:
+    """Everything the gates need as aggregates: rows, years, NULL counts, orphans, removed copies."""
     key, probe = DIMENSION_PROBES.get(dimension or "", (None, None))
     linked = key in df.columns and probe in df.columns
     years = F.sort_array(F.collect_set("ano")) if "ano" in df.columns else F.array().cast("array<int>")
     zero = F.lit(0).cast("bigint")
-    return df.agg(
+    return [
         F.count(F.lit(1)).alias("registros"),
         years.alias("anos"),
         (F.coalesce(F.sum(surplus), zero) if surplus else zero).alias("removidos"),
         (F.count(key) if linked else zero).alias("com_chave"),
         (F.count_if(F.col(key).isNotNull() & F.col(probe).isNull()) if linked else zero).alias("orfaos"),
         *[F.count_if(F.col(c).isNull()).alias(f"nulos_{c}") for c in critical if c in df.columns],
-    )
+    ]
+
+
+def quality_aggregate(df: DataFrame, critical: Sequence[str], dimension: str | None = None, surplus: str | None = None) -> DataFrame:
+    return df.agg(*quality_measures(df, critical, dimension, surplus))
+
+
+def observed(df: DataFrame, critical: Sequence[str], dimension: str | None = None, surplus: str | None = None) -> tuple[DataFrame, Observation]:
+    """``df`` that takes its measures while another action, a write, evaluates it: no scan of their own."""
+    seen = Observation()
+    # An observation takes aggregates and literals, and every literal here is a count of nothing.
+    return df.observe(seen, *quality_measures(df, critical, dimension, surplus)), seen
 
 
 def quality_report(df: DataFrame, critical: Sequence[str], dimension: str | None = None, surplus: str | None = None) -> QualityReport:
-    row = quality_aggregate(df, critical, dimension, surplus).first()
+    return report_of(quality_aggregate(df, critical, dimension, surplus).first().asDict(), critical)
+
+
+def report_of(row: Mapping[str, Any], critical: Sequence[str]) -> QualityReport:
     total = row["registros"]
-    nulls = {c: 100 * row[f"nulos_{c}"] / total for c in critical if c in df.columns and total}
+    nulls = {c: 100 * row[f"nulos_{c}"] / total for c in critical if f"nulos_{c}" in row and total}
     return QualityReport(total, row["removidos"], [y for y in row["anos"] if y is not None], nulls, row["com_chave"], row["orfaos"])
 
 
 def enforce(report: QualityReport, entity: str, max_null_pct: float = MAX_CRITICAL_NULL_PCT, max_orphan_pct: float = MAX_ORPHAN_PCT) -> None:
-    """Stop before anything is written when a limit is reached (at the limit already fails)."""
+    """Stop before anything is published when a limit is reached (at the limit already fails)."""
     log.info("[%s] rows=%d removed=%d years=%s nulls=%s orphans=%d/%d", entity, report.rows, report.removed,
              report.years, report.null_pct, report.orphans, report.keyed)
     breaches = {c: round(p, 1) for c, p in report.null_pct.items() if p >= max_null_pct}

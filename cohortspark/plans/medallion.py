@@ -75,6 +75,8 @@ def to_silver(bronze: DataFrame, entity: C.Entity, dims: Tables, now: datetime |
 
 def run_silver(spark: SparkSession, source: str, target: str, entities: Sequence[C.Entity] = C.CLEAN_ENTITIES,
                max_null_pct: float = C.MAX_CRITICAL_NULL_PCT, max_orphan_pct: float = C.MAX_ORPHAN_PCT) -> dict[str, quality.QualityReport]:
+    """Each entity is evaluated once: the gates read what the write of the staged table has measured, and a table that fails
+    them never takes the place of the published one."""
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {target}")
     raw = tables.load_tables(spark, source, [e.name for e in C.RAW_ENTITIES], ["dim_uf", "dim_municipio"])
     dims = {"uf": state_dimension(raw["dim_uf"]), "municipio": municipal_dimension(raw["dim_municipio"])}
@@ -82,10 +84,18 @@ def run_silver(spark: SparkSession, source: str, target: str, entities: Sequence
     for entity in entities:
         if entity.name not in raw:
             continue
+        table = f"{target}.{entity.name}"
+        staged = tables.staged_name(table)
         silver = to_silver(raw[entity.name], entity, dims, surplus="_surplus")
-        reports[entity.name] = quality.quality_report(silver, entity.critical, entity.dimension, "_surplus")
-        quality.enforce(reports[entity.name], entity.name, max_null_pct, max_orphan_pct)
-        tables.save_table(silver.drop("_surplus"), f"{target}.{entity.name}", entity.output_files)
+        silver, seen = quality.observed(silver, entity.critical, entity.dimension, "_surplus")
+        try:
+            tables.save_table(silver.drop("_surplus"), staged, entity.output_files)
+            reports[entity.name] = quality.report_of(seen.get, entity.critical)
+            quality.enforce(reports[entity.name], entity.name, max_null_pct, max_orphan_pct)
+        except Exception:
+            spark.sql(f"DROP TABLE IF EXISTS {staged}")
+            raise
+        tables.publish(spark, table, staged)
     return reports
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from cohortspark.operators import aggregates, quality
 from cohortspark.plans import features, medallion
 from cohortspark.queries import bindings as B
 from cohortspark.queries.registry import query, sql_round
+from cohortspark.session import materialize, shared_folder
 from cohortspark.sources import tables
 
 FIXED_CLOCK = datetime(2024, 1, 2, 3, 4, 5, tzinfo=timezone.utc)
@@ -54,6 +56,48 @@ def raw_layer_audit(spark, folder):
     return bronze.groupBy(*audit).agg(F.count(F.lit(1)).alias("linhas"), F.count_distinct("id_municipio").alias("municipios"))
 
 
+def landing_files(spark, folder):
+    """The bound tables as the raw text files of their entities."""
+    places = B.territory(spark, folder)
+    frames = {
+        C.STUDENTS: B.students(spark, folder).drop("sigla_uf", "nome_regiao", "codigo_uf"),
+        C.MUNICIPAL_RESULTS: B.published_municipal(spark, folder), C.STATE_RESULTS: B.published_state(spark, folder),
+        C.MUNICIPAL_GOALS: B.goals_municipal(spark, folder), C.STATE_GOALS: B.goals_state(spark, folder), C.COUNTRY_GOALS: B.goals_country(spark, folder),
+        C.MUNICIPAL_DIRECTORY: places.select("id_municipio", F.col("nome_municipio").alias("Nome"), "sigla_uf", "nome_uf", "nome_regiao"),
+        C.STATE_DIRECTORY: places.select(F.col("sigla_uf").alias("Sigla"), F.col("nome_uf").alias("Nome"), F.col("nome_regiao").alias("Região")).distinct()}
+    landing = shared_folder(spark, "landing")
+    for entity, df in frames.items():
+        tables.write_product(df, f"{landing}/{entity.file}", "csv")
+    return landing
+
+
+@query("landed_layers", B.with_ctes("""
+SELECT 'silver' AS camada, 'avaliacao_alfabetizacao_municipio' AS tabela, ano, rede, count(*) AS linhas, count(taxa_alfabetizacao) AS com_taxa,
+       sum(taxa_alfabetizacao) AS soma_taxa, count(*) AS nomeados FROM published_mun GROUP BY ano, rede
+UNION ALL SELECT 'gold', 'analise', ano, rede, count(*), count(taxa_alfabetizacao), sum(taxa_alfabetizacao), count(*) FROM published_mun GROUP BY ano, rede
+UNION ALL SELECT 'silver', 'avaliacao_alfabetizacao_aluno', ano, NULL, count(DISTINCT (id_aluno, id_escola)), NULL, NULL, count(DISTINCT (id_aluno, id_escola))
+FROM students GROUP BY ano""", "published_mun", "students"), ["soma_taxa"])
+def landed_layers(spark, folder):
+    """Raw files written, ingested as text, cleaned, gated, published and joined to the analysis table, then reread."""
+    landing = landing_files(spark, folder)
+    name = f"camadas_{uuid.uuid4().hex}"
+    try:
+        medallion.run_bronze(spark, landing, f"{name}_bronze")
+        medallion.run_silver(spark, f"{name}_bronze", f"{name}_silver")
+        medallion.run_gold(spark, f"{name}_silver", f"{name}_gold")
+        parts = []
+        for layer, table, rate in (("silver", C.MUNICIPAL_RESULTS.name, "taxa_alfabetizacao"), ("gold", "analise", "taxa_alfabetizacao_municipio")):
+            parts.append(spark.table(f"{name}_{layer}.{table}").groupBy(F.lit(layer).alias("camada"), F.lit(table).alias("tabela"), "ano", "rede").agg(
+                F.count(F.lit(1)).alias("linhas"), F.count(rate).alias("com_taxa"), F.sum(rate).alias("soma_taxa"), F.count("nome_municipio").alias("nomeados")))
+        parts.append(spark.table(f"{name}_silver.{C.STUDENTS.name}").groupBy("ano").agg(F.count(F.lit(1)).alias("linhas"), F.count("nome_municipio").alias("nomeados")).select(
+            F.lit("silver").alias("camada"), F.lit(C.STUDENTS.name).alias("tabela"), "ano", F.lit(None).cast("string").alias("rede"), "linhas",
+            F.lit(None).cast("long").alias("com_taxa"), F.lit(None).cast("double").alias("soma_taxa"), "nomeados"))
+        return materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    finally:
+        for layer in ("bronze", "silver", "gold"):
+            spark.sql(f"DROP SCHEMA IF EXISTS {name}_{layer} CASCADE")
+
+
 @query("typed_rows_per_year", """
 SELECT CAST(year(l_shipdate) AS SMALLINT) AS ano, count(*) AS n, sum(CAST(l_suppkey AS BIGINT))::BIGINT AS soma_escola,
        max(l_extendedprice) AS maior FROM lineitem GROUP BY 1""", ["maior"])

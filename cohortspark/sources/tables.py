@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from cohortspark.contracts import Entity
 
 log = logging.getLogger(__name__)
+VERSION = "__v"
 
 
 class MissingInput(RuntimeError):
@@ -78,6 +80,30 @@ def save_table(df: DataFrame, table: str, files: int | None = None, partition: s
     writer.saveAsTable(table)
 
 
+def staged_name(table: str) -> str:
+    """A new version of a table, invisible under the table's own name until it is published."""
+    return f"{table}{VERSION}{uuid.uuid4().hex[:12]}"
+
+
+def publish(spark: SparkSession, table: str, staged: str) -> None:
+    """Points the table's name, a view, at a staged version: one change in the catalog, no row is read or written again.
+
+    The version replaced stays until the next publication, so that running readers finish; versions that were never published
+    or are older go."""
+    schema, name = table.rsplit(".", 1)
+    replaced = None
+    if table_exists(spark, table):
+        if spark.catalog.getTable(table).tableType == "VIEW":
+            replaced = spark.sql(f"SHOW TBLPROPERTIES {table} ('versao')").first()["value"]
+        else:  # written by ``save_table``: has no pointer yet
+            spark.sql(f"DROP TABLE {table}")
+    spark.sql(f"CREATE OR REPLACE VIEW {table} TBLPROPERTIES ('versao' = '{staged}') AS SELECT * FROM {staged}")
+    for row in spark.sql(f"SHOW TABLES IN {schema} LIKE '{name}{VERSION}*'").collect():
+        version = f"{schema}.{row['tableName']}"
+        if version not in (staged, replaced):
+            spark.sql(f"DROP TABLE IF EXISTS {version}")
+
+
 def read_product(spark: SparkSession, path: str, columns: Sequence[str] | None = None, year: int | None = None) -> DataFrame:
     """Parquet scan with the year filter (partition pruning) and the column list pushed to the files."""
     try:

@@ -73,6 +73,39 @@ def test_analysis_layer(spark, layers):
     assert s["104"].meta_alfabetizacao_municipio == 68.0 and s["100"].meta_alfabetizacao_municipio is None and s["100"].meta_alfabetizacao_uf == 60.0
 
 
+def test_failed_gate_leaves_the_published_table(spark, layers):
+    """A layer that fails is staged, measured and thrown away; versions left by broken-off runs go with the next publication."""
+    name = f"t_silver.{C.STATE_RESULTS.name}"
+    before = spark.table(name).collect()
+    versions = lambda: {t.name for t in spark.catalog.listTables("t_silver") if t.name.startswith(f"{C.STATE_RESULTS.name}{tables.VERSION}")}
+    first = versions()
+    bad = spark.table(f"t_bronze.{C.STATE_RESULTS.name}").withColumn("taxa_alfabetizacao", F.lit("n/d"))
+    spark.sql("CREATE SCHEMA IF NOT EXISTS t_bad")
+    for entity in (C.STATE_DIRECTORY, C.MUNICIPAL_DIRECTORY):
+        tables.save_table(spark.table(f"t_bronze.{entity.name}"), f"t_bad.{entity.name}")
+    tables.save_table(bad, f"t_bad.{C.STATE_RESULTS.name}")
+    with pytest.raises(quality.QualityError):
+        medallion.run_silver(spark, "t_bad", "t_silver", [C.STATE_RESULTS])
+    assert spark.table(name).collect() == before and versions() == first and len(first) == 1
+    tables.save_table(bad, tables.staged_name(name))
+    reports = medallion.run_silver(spark, "t_bronze", "t_silver", [C.STATE_RESULTS])
+    assert reports[C.STATE_RESULTS.name] == layers[1][C.STATE_RESULTS.name] and spark.table(name).count() == len(before)
+    assert len(versions()) == 2 and first < versions()
+    medallion.run_silver(spark, "t_bronze", "t_silver", [C.STATE_RESULTS])
+    assert len(versions()) == 2 and not first & versions()
+    plan = spark.table(name).where("ano = 2024")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ano" in plan
+
+
+def test_observed_measures_equal_the_aggregate(spark):
+    df = spark.createDataFrame([(2023, "1", None, 2), (2024, "2", 5.0, 0), (None, None, 1.0, 0)], "ano int, id_municipio string, taxa double, _s long")
+    df = df.withColumn("nome_municipio", F.when(F.col("id_municipio") == "1", "a"))
+    for rows in (df, df.limit(0), df.drop("ano", "nome_municipio")):
+        seen_rows, seen = quality.observed(rows, ["taxa", "absent"], "municipio", "_s")
+        assert seen_rows.count() == rows.count()
+        assert quality.report_of(seen.get, ["taxa", "absent"]) == quality.quality_report(rows, ["taxa", "absent"], "municipio", "_s")
+
+
 def test_gates(spark):
     df = spark.createDataFrame([(2024, "1", None), (2024, "2", 5.0)], "ano int, id_municipio string, taxa double")
     report = quality.quality_report(df, ["taxa", "absent_column"])
