@@ -34,7 +34,7 @@ LEDGER = T.StructType([
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` finds leftmost non-overlapping matches, of which the group ``span`` is the finding; those whose ``group`` is
-    shorter than ``least`` are dropped."""
+    shorter than ``least`` are dropped. Every match holds the text ``needs``, so texts without it are not searched."""
 
     kind: str
     version: int
@@ -42,6 +42,7 @@ class Rule:
     group: int = 0
     least: int = 0
     span: int = 0
+    needs: str = ""
 
     @property
     def key(self) -> str:
@@ -56,10 +57,10 @@ TOKEN = rf"(?<!{RUN})(?:(?!eyJ){RUN})*+(eyJ{RUN}++\.eyJ{RUN}++\.{RUN}++)"
 # What counts as a secret.
 RULES = (
     Rule("assign", 1, r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
+    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20, needs="AKIA"),
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", 2, TOKEN, span=1),
+    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", needs="-----BEGIN "),
+    Rule("jwt", 2, TOKEN, span=1, needs="eyJ"),
 )
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -68,7 +69,7 @@ def find(text: str, rules: tuple[Rule, ...], wanted: set[str]) -> list[tuple[int
     """Spans (start, rank of the rule, end, rule) in code points, by start and rule order."""
     spans = [
         (m.start(rule.span), rank, m.end(rule.span), rule.key)
-        for rank, rule in enumerate(rules) if rule.key in wanted
+        for rank, rule in enumerate(rules) if rule.key in wanted and rule.needs in text
         for m in re.finditer(rule.pattern, text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
     spans.sort()
     return spans
