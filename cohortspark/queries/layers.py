@@ -146,6 +146,31 @@ def fingerprint_check(spark, folder):
         "fontes_alteradas", changed.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
+@query("altered_copies", """
+SELECT 'orders_valor' AS fonte, count(*) AS linhas FROM orders UNION ALL SELECT 'orders_texto_nulo', count(*) FROM orders
+UNION ALL SELECT 'orders_repetida', count(*) + 1 FROM orders""")
+def altered_copies(spark, folder):
+    """Stored copies against the manifest of their source: only those with a changed cell or a repeated row are named."""
+    orders = B.table(spark, folder, "orders")
+    least = orders.agg(F.min("o_orderkey")).scalar()
+    first = F.col("o_orderkey") == least
+    one = orders.where(first).orderBy("o_custkey", "o_totalprice").limit(1)
+    copies = {
+        "orders_igual": orders.repartition("o_custkey"),
+        "orders_valor": orders.withColumn("o_totalprice", F.when(first, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))),
+        "orders_texto_nulo": orders.withColumn("o_orderstatus", F.when(~first, F.col("o_orderstatus"))),
+        "orders_repetida": orders.unionByName(one)}
+    stored = {}
+    for name, copy in copies.items():
+        path = shared_folder(spark, name)
+        tables.write_product(copy, path)
+        stored[name] = tables.read_product(spark, path)
+    source = tables.fingerprint(orders, "orders")
+    names = F.explode(F.array(*[F.lit(n) for n in copies])).alias("fonte")
+    manifest = source.select(names, "linhas", "soma_hash")
+    return tables.check_manifest(tables.fingerprints(stored), manifest).select("fonte", "linhas")
+
+
 @query("network_code_translation", B.with_ctes(f"""
 SELECT ano, rede AS rede_texto, CASE rede {CODES} END AS rede, count(*) AS n FROM goals_mun GROUP BY ALL""", "goals_mun"))
 def network_code_translation(spark, folder):
