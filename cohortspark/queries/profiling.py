@@ -221,12 +221,13 @@ BANDS = ((0, 30), (30, 50), (50, None))
 
 
 @query("auc_by_school_size", B.with_ctes(" UNION ALL ".join(
-    f"SELECT '{n}' AS faixa_porte, (SELECT count(*) FROM {t}) AS n_alunos, (SELECT count(DISTINCT mun_prof_p50_lag1) FROM {t}) AS n_escolas, "
+    f"SELECT '{n}' AS faixa_porte, (SELECT count(*) FROM {t}) AS n_alunos, (SELECT count(DISTINCT id_escola) FROM {t}) AS n_escolas, "
     f"({AUC_OF.format(y='risco_nao_alfabetizacao', s='esc_taxa_alfab_lag1', t=t)}) AS auc WHERE (SELECT count(*) FROM {t}) >= 100"
-    for n, t in (("0–30", "b0"), ("30–50", "b1"), ("≥ 50", "b2"))), "dataset",
-    extra={f"b{i}": f"SELECT * FROM dataset WHERE esc_n_alunos_lag1 >= {a} AND {f"esc_n_alunos_lag1 < {b} AND" if b else ""} esc_taxa_alfab_lag1 IS NOT NULL" for i, (a, b) in enumerate(BANDS)}), ["auc"])
+    for n, t in (("0–30", "b0"), ("30–50", "b1"), ("≥ 50", "b2"))), "dataset", "unique_students",
+    extra={f"b{i}": f"SELECT d.*, u.id_escola FROM dataset AS d JOIN unique_students AS u ON u.id_aluno = d.row_id AND u.ano = {B.TARGET} WHERE esc_n_alunos_lag1 >= {a} AND {f"esc_n_alunos_lag1 < {b} AND" if b else ""} esc_taxa_alfab_lag1 IS NOT NULL" for i, (a, b) in enumerate(BANDS)}), ["auc"])
 def auc_by_school_size(spark, folder):
-    return profile.auc_by_size_band(B.dataset(spark, folder), "esc_taxa_alfab_lag1", "esc_n_alunos_lag1", C.TARGET, "mun_prof_p50_lag1", BANDS, least=100)
+    schools = B.two_years(spark, folder).where(F.col("ano") == B.TARGET).select(F.col("id_aluno").alias("row_id"), "id_escola")
+    return profile.auc_by_size_band(B.dataset(spark, folder).join(schools, "row_id"), "esc_taxa_alfab_lag1", "esc_n_alunos_lag1", C.TARGET, "id_escola", BANDS, least=100)
 
 
 @query("absence_bias", B.with_ctes(f"""
