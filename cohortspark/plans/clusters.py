@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortspark.contracts import PROFICIENCY_LEVELS, SEED
+from cohortspark.models import kmeans
 from cohortspark.operators import aggregates, ranks
 from cohortspark.operators.quality import QualityError
 from cohortspark.session import materialize
@@ -41,33 +39,23 @@ def clustering_base(population: DataFrame, population_lag: DataFrame, goals_lag:
 
 
 def standardized(base: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Complete rows with a population-standardized ``features`` vector."""
+    """Complete rows with a population-standardized array ``features``."""
     complete = base.dropna(subset=list(features))
     row = complete.agg(*[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
-    scaled = complete.select("*", *[
-        ((F.col(c) - (row[f"m_{c}"] or 0.0)) / (row[f"s_{c}"] or 1.0)).alias(f"_z_{c}") for c in features])
-    assembled = VectorAssembler(inputCols=[f"_z_{c}" for c in features], outputCol="features").transform(scaled)
-    return materialize(assembled.drop(*[f"_z_{c}" for c in features]))
+    scaled = F.array(*[(F.col(c).cast("double") - (row[f"m_{c}"] or 0.0)) / (row[f"s_{c}"] or 1.0) for c in features])
+    return materialize(kmeans.usable(complete.withColumn("features", scaled)))
 
 
-def fit_kmeans(vectors: DataFrame, k: int, restarts: int = 10, seed: int = SEED) -> KMeansModel:
-    """The cheapest of several seeded starts."""
-    models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(vectors) for i in range(restarts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
-
-
-def choose_k(vectors: DataFrame, grid: Sequence[int] = K_GRID, restarts: int = 10, seed: int = SEED) -> DataFrame:
+def choose_k(vectors: DataFrame, fits: Mapping[int, kmeans.Clustering]) -> DataFrame:
     """Inertia, silhouette (squared Euclidean, linear in the rows), smallest cluster, drop of inertia."""
-    rows = []
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    for k in grid:
-        model = fit_kmeans(vectors, k, restarts, seed)
-        sizes = model.summary.clusterSizes
-        quality = float(evaluator.evaluate(model.transform(vectors))) if sum(1 for s in sizes if s) > 1 else None
-        rows.append((k, round(float(model.summary.trainingCost), 4), quality, int(min(sizes))))
-    table = vectors.sparkSession.createDataFrame(rows, "k int, inercia double, silhueta double, menor_cluster long")
-    previous = F.lag("inercia").over(Window.partitionBy(F.lit(0)).orderBy("k"))
-    return table.withColumn("queda_de_inercia", F.round(previous - F.col("inercia"), 4))
+    grid = sorted(fits)
+    quality = kmeans.silhouettes(vectors, [fits[k] for k in grid])
+    rows, before = [], None
+    for k, silhouette in zip(grid, quality):
+        inertia = round(fits[k].inertia, 4)
+        rows.append((k, inertia, silhouette, int(fits[k].sizes.min()), None if before is None else round(before - inertia, 4)))
+        before = inertia
+    return vectors.sparkSession.createDataFrame(rows, "k int, inercia double, silhueta double, menor_cluster long, queda_de_inercia double")
 
 
 @dataclass
@@ -82,9 +70,12 @@ class Clusters:
 def cluster_territories(base: DataFrame, grid: Sequence[int] = K_GRID, restarts: int = 10, seed: int = SEED, names: dict[int, str] = NAMES) -> Clusters:
     """KMeans at the best silhouette, clusters numbered by falling literacy rate, with their tables."""
     vectors = standardized(base)
-    selection = materialize(choose_k(vectors, grid, restarts, seed))
+    fits = kmeans.fit(vectors, "id_municipio", grid, restarts, seed=seed)
+    if not fits:
+        raise QualityError("no complete municipality to cluster")
+    selection = choose_k(vectors, fits)
     k = selection.orderBy(F.col("silhueta").desc_nulls_last(), "k").first()["k"]
-    labelled = fit_kmeans(vectors, k, restarts, seed).transform(vectors)
+    labelled = vectors.withColumn("prediction", kmeans.nearest(fits[k]))
     means = labelled.groupBy("prediction").agg(F.avg("taxa_alfabetizacao_2024").alias("t"))
     order = means.withColumn("cluster", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("t").desc(), "prediction")) - 1)
     label = F.coalesce(*[F.when(F.col("cluster") == i, n) for i, n in names.items()], F.concat(F.lit("perfil "), F.col("cluster").cast("string")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortspark import contracts as C
+from cohortspark.models import kmeans
 from cohortspark.operators import metrics
 from cohortspark.plans import clusters, features, goals, ranking
 from cohortspark.queries import bindings as B
@@ -147,17 +148,18 @@ def clustering_base(spark, folder):
 
 @query("cluster_count_selection")
 def cluster_count_selection(spark, folder):
-    return clusters.choose_k(clusters.standardized(cluster_base(spark, folder)), (3, 4, 5), 2)
+    vectors = clusters.standardized(cluster_base(spark, folder))
+    return clusters.choose_k(vectors, kmeans.fit(vectors, "id_municipio", clusters.K_GRID))
 
 
 @query("cluster_profiles")
 def cluster_profiles(spark, folder):
-    return clusters.cluster_territories(cluster_base(spark, folder), (3, 4), 2).profile
+    return clusters.cluster_territories(cluster_base(spark, folder)).profile
 
 
 @query("cluster_region_shares")
 def cluster_region_shares(spark, folder):
-    return clusters.cluster_territories(cluster_base(spark, folder), (3,), 2).regions
+    return clusters.cluster_territories(cluster_base(spark, folder)).regions
 
 
 # --- goals -----------------------------------------------------------------------------------------
