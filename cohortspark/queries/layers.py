@@ -121,6 +121,25 @@ def pruned_year_scan(spark, folder):
     return rows.groupBy(F.col("o_custkey").alias("id_municipio")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
 
 
+@query("joined_years_scan", """
+SELECT CAST(year(l_shipdate) AS INT) AS ano, count(*) AS n, sum(CAST(l_suppkey AS BIGINT))::BIGINT AS soma_escola,
+       max(l_extendedprice * CASE WHEN year(l_shipdate) = 1996 THEN 2 ELSE 1 END) AS maior
+FROM lineitem WHERE year(l_shipdate) IN (SELECT year(o_orderdate) FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01') GROUP BY 1""", ["maior"])
+def joined_years_scan(spark, folder):
+    """Raw CSV to a typed dataset per year, one year delivered again with changed values, read for the years of another table."""
+    raw, stored = shared_folder(spark, "linhas-csv"), shared_folder(spark, "linhas-por-ano")
+    line = B.table(spark, folder, "lineitem")
+    tables.write_product(line.select(F.year("l_shipdate").alias("ano"), F.col("l_suppkey").alias("id_escola"), F.col("l_extendedprice").alias("valor")), raw, "csv")
+    schema = T.StructType([T.StructField("ano", T.ShortType()), T.StructField("id_escola", T.IntegerType()), T.StructField("valor", T.DoubleType())])
+    typed = tables.read_typed_csv(spark, raw, schema, schema.fieldNames())
+    years = [r["ano"] for r in typed.select("ano").where("ano IS NOT NULL").distinct().collect()]
+    tables.write_by_year(typed, stored, years)
+    tables.write_by_year(typed.where(F.col("ano") == 1996).withColumn("valor", F.col("valor") * 2), stored, [1996])
+    orders = B.table(spark, folder, "orders").where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
+    rows = tables.in_years(tables.read_product(spark, stored), orders.select(F.year("o_orderdate").alias("ano")))
+    return rows.groupBy("ano").agg(F.count(F.lit(1)).alias("n"), F.sum("id_escola").alias("soma_escola"), F.max("valor").alias("maior"))
+
+
 @query("published_public_network", B.with_ctes(
     "SELECT ano, id_municipio, taxa_alfabetizacao, media_portugues FROM published_mun WHERE rede = '5'", "published_mun"),
     ["taxa_alfabetizacao", "media_portugues"])

@@ -50,9 +50,24 @@ def narrow(column: Column, kind: T.DataType) -> Column:
 
 
 def write_by_year(df: DataFrame, path: str, years: Sequence[int], year: str = "ano") -> DataFrame:
-    """Parquet dataset partitioned by year, zstd; returns the row counts per year of what was written."""
-    df.where(F.col(year).isin(*years)).write.mode("overwrite").option("compression", "zstd").partitionBy(year).parquet(path)
-    return df.sparkSession.read.parquet(path).groupBy(year).agg(F.count(F.lit(1)).alias("n"))
+    """Parquet dataset partitioned by year, zstd; returns the row counts of the given years as stored.
+
+    Only partitions that ``df`` has rows for are replaced, so one year can be delivered again while the others stay.
+    """
+    kept = df.where(F.col(year).isin(*years))
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(year).parquet(path)
+    stored = df.sparkSession.read.parquet(path).where(F.col(year).isin(*years))
+    return stored.groupBy(year).agg(F.count(F.lit(1)).alias("n"))
+
+
+def in_years(rows: DataFrame, years: DataFrame, year: str = "ano") -> DataFrame:
+    """Rows of a dataset partitioned by year whose year is in ``years``; other partitions are not read.
+
+    The list is cast to SMALLINT and made distinct, so at most 65,536 rows are broadcast, and the same broadcast prunes
+    the partitions when the plan runs. NULL years match nothing.
+    """
+    listed = years.select(F.col(year).cast("smallint").alias(year)).where(F.col(year).isNotNull()).distinct()
+    return rows.join(F.broadcast(listed), rows[year] == listed[year].cast(rows.schema[year].dataType), "left_semi")
 
 
 def table_exists(spark: SparkSession, table: str) -> bool:

@@ -180,3 +180,20 @@ def test_leak_gate(spark):
     quality.enforce_no_leak(df, "y", ["ok"])
     with pytest.raises(quality.QualityError):
         quality.enforce_no_leak(df, "y", ["ok", "leak"])
+
+
+def test_years_are_replaced_and_pruned_one_by_one(spark, tmp_path):
+    """A second delivery of one year leaves the others; a joined list of years reads its partitions alone."""
+    path = str(tmp_path / "por_ano")
+    rows = spark.createDataFrame([(y, i, float(i)) for y in (2021, 2022, 2023) for i in range(20)] + [(None, 1, 1.0)], "ano int, id int, valor double")
+    assert {(r["ano"], r["n"]) for r in tables.write_by_year(rows, path, [2021, 2022, 2023]).collect()} == {(2021, 20), (2022, 20), (2023, 20)}
+    again = rows.where("ano = 2022 AND id < 5")
+    assert [(r["ano"], r["n"]) for r in tables.write_by_year(again, path, [2022]).collect()] == [(2022, 5)]
+    listed = str(tmp_path / "anos")
+    spark.createDataFrame([(2022, "a"), (2022, "a"), (2023, "b"), (None, "a"), (1999, "a")], "ano int, grupo string").write.parquet(listed)
+    wanted = spark.read.parquet(listed).where(F.col("grupo") == "a")
+    found = tables.in_years(tables.read_product(spark, path), wanted)
+    assert found.groupBy("ano").count().collect() == [(2022, 5)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    assert tables.in_years(tables.read_product(spark, path), wanted.where("false")).count() == 0
