@@ -14,6 +14,9 @@ from cohortspark.session import materialize
 NOT_EVALUATED = ("AC", "DF")
 FLAT_BAND_LIMIT = 65.0
 TOP = 50
+#: Decimals to which scores, and their means per unit, are read by the ranking: sums of doubles have no fixed order, so without
+#: them units of equal size and score would be placed by the last bit.
+SCORE_DIGITS = 12
 
 
 def shrink(df: DataFrame, value: str, n: str, sampling_variance: Column, prior: Column | float | None, out: str) -> tuple[DataFrame, DataFrame]:
@@ -67,8 +70,12 @@ def with_shrunken_rates(units: DataFrame) -> tuple[DataFrame, dict[str, DataFram
 
 def build_ranking(scores: DataFrame, context: DataFrame, label: str, score: str, not_evaluated: Sequence[str] = NOT_EVALUATED,
                   weight: str = "peso_aluno") -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Two orders (rate, volume) with deciles and caveat flags; territories the model cannot order keep NULL."""
-    units = materialize(metrics.aggregate_scores(scores, label, score, "id_municipio", weight))
+    """Two orders (rate, volume) with deciles and caveat flags; territories the model cannot order keep NULL.
+
+    Units whose size, mean score and (for the volume) weight are equal tie exactly and are placed by their id."""
+    scores = scores.withColumn(score, F.round(score, SCORE_DIGITS))
+    units = metrics.aggregate_scores(scores, label, score, "id_municipio", weight)
+    units = materialize(units.withColumn("risco_medio_oof", F.round("risco_medio_oof", SCORE_DIGITS)))
     table, fits = with_shrunken_rates(units)
     table = table.join(context, "id_municipio", "left").withColumns({
         "criancas_em_risco": F.col("risco_suavizado") * F.col("populacao_estimada"),

@@ -42,6 +42,9 @@ POSITIONS = f"""SELECT *, CASE WHEN modelo_avaliado THEN pt END AS posicao_por_t
   SELECT *, row_number() OVER (PARTITION BY modelo_avaliado ORDER BY round(risco_suavizado, 12) DESC, id_municipio) AS pt,
     row_number() OVER (PARTITION BY modelo_avaliado ORDER BY round(criancas_em_risco, 12) DESC, id_municipio) AS pv FROM ranking0) AS x"""
 RANK_CTES_ALL = {**RANK_CTES, "ranking0": RANKED, "ranking": POSITIONS}
+# Scores and their means per unit at twelve decimals, as the ranking reads them: equal units tie and are placed by their id.
+UNITS_TIED = UNITS.replace("sum(p * peso_aluno) / sum(peso_aluno)", "round(sum(p * peso_aluno) / sum(peso_aluno), 12)").replace(
+    "FROM scored", "FROM (SELECT * REPLACE (round(p, 12) AS p) FROM scored) AS scored")
 RANK_FLOATS = ["populacao_estimada", "taxa_presenca_2024", "risco_medio_oof", "risco_suavizado", "criancas_em_risco", "taxa_alfabetizacao_2024",
                "taxa_observada_de_risco", "taxa_observada_ajustada", "mun_taxa_alfab_lag1"]
 COLS = ", ".join(C.RANKING_COLUMNS)
@@ -84,7 +87,7 @@ def territory_context(spark, folder):
     return context_of(spark, folder, B.two_years(spark, folder))
 
 
-@query("risk_ranking", B.with_ctes(f"SELECT {COLS} FROM ranking", "scored", "store_municipio", extra=RANK_CTES_ALL), RANK_FLOATS)
+@query("risk_ranking", B.with_ctes(f"SELECT {COLS} FROM ranking", "scored", "store_municipio", extra={**RANK_CTES_ALL, "units": UNITS_TIED}), RANK_FLOATS)
 def risk_ranking(spark, folder):
     """Flagship: shrunken weighted risk of every territory, two orders, deciles and caveats."""
     return full_ranking(spark, folder)
