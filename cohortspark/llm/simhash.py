@@ -57,15 +57,19 @@ def fingerprint(hashes: list[int] | np.ndarray) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fingerprint long), one row per document, without a shuffle."""
+def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, row: str | None = None) -> DataFrame:
+    """(doc_id, fingerprint long), one row per document, without a shuffle; with ``row``, a number, also that as ``row``."""
+    kept = ["doc_id", "row"] if row else ["doc_id"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fingerprint"])
+            found = [fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column(len(kept))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], names=[*kept, "fingerprint"])
 
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint long")
+    rows = documents.select(
+        F.col(doc_id).cast("long").alias("doc_id"), *([F.col(row).cast("long").alias("row")] if row else []),
+        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*kept, "fingerprint"]))
 
 
 def pivots(width: int = 1, count: int = PIVOTS) -> np.ndarray:
@@ -213,6 +217,20 @@ def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     return known.join(named.select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def one_per_group(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
+    """The rows of ``documents`` without all but one row of each group of :func:`groups`: that of the smallest id stays, one without
+    an id only in a group of such. Texts without words are one group. ``documents`` must be a stored table: a row is known by
+    its place in it."""
+    row = unused(documents, "simhash_row")
+    numbered = documents.withColumn(row, F.monotonically_increasing_id())
+    known = stage(fingerprints(numbered, doc_id, text, shingle, row))
+    first = known.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    roots = components(links(first.select("fingerprint"), bits))
+    classes = first.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    stays = classes.groupBy("root").agg(F.min("first")["row"].alias(row))
+    return numbered.join(stays.select(row), row, "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])
+
+
 # Near copies of a stated Jaccard similarity of their sets of shingles.
 WIDTH = 8
 #: From this many shingles on, majority bits may discard a pair; below, only what is proved does.

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cohortspark.llm import decontam, licences, lm, mixing, packing, secret_scan, simhash, substring, toxicity
 
 from .conftest import frame, stored
@@ -201,6 +202,24 @@ def test_near_copies(spark, tmp_path):
     assert kept.columns == frame(spark, []).columns and simhash.one_of_each(stored(spark, [], tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [2, 4])
+def test_pipeline_keeps_one_row_of_each_simhash_group(spark, corpus, tmp_path, monkeypatch, bits):
+    """The stage against all pairs of fingerprints; its rows come through the pivot tables, not by another similarity."""
+    words = [f"w{i}" for i in range(300)]
+    rows = list(corpus) + [(10_000 + k, " ".join(words[:150 + k] + ["x"] + words[151 + k:]), "a") for k in range(0, 140, 7)] + [(None, "lone text here", "b")]
+    prints = [plain_fingerprint(t, 3) for _, t, _ in rows]
+    tops = plain_components(prints, bits)
+    met = []
+    monkeypatch.setattr(simhash, "near_copies", lambda *a, **k: pytest.fail("another similarity"))
+    inner = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda p, b: met.append(b) or inner(p, b))
+    monkeypatch.setattr(corpus_pipeline, "NEAR_BITS", bits)
+    kept = corpus_pipeline.drop_near_copies(spark, stored(spark, rows, tmp_path), "")
+    want = [min((rows[i][0] for i in range(len(rows)) if tops[i] == k and rows[i][0] is not None), default=None) for k in set(tops)]
+    assert met == [bits] and sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert corpus_pipeline.drop_near_copies(spark, stored(spark, [], tmp_path), "").count() == 0
+
+
 def plain_jaccard(a, b, n=5):
     a, b = ({tuple(w[k:k + n]) for k in range(max(1, len(w) - n + 1))} for w in (a, b))
     return len(a & b) / len(a | b)
