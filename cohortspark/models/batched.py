@@ -69,6 +69,9 @@ def base_of(df: DataFrame, features: Sequence[str]) -> Base:
             raise QualityError(f"more than {MAX_LEVELS} levels in {categories}")
         for f, v in sorted(pairs, key=lambda r: (r["f"], r["v"] is not None, r["v"] or "")):
             seen[f].append(v)
+    for c in categories:  # a NULL counts as the commonest level of such a column, also where no row of ``df`` has one
+        if c in RARE_CATEGORICAL_FEATURES and c not in CATEGORICAL_FEATURES and None not in seen[c]:
+            seen[c].insert(0, None)
     entries: list[Column] = []
     numbers, levels = {}, {}
     for c in features:

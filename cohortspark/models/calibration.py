@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.contracts import SEED, TARGET
-from cohortspark.models.candidates import SCORE, Candidate, Scorer, apply_isotonic, fit_isotonic, fit_isotonic_in_folds, out_of_fold, score_points
+from cohortspark.models.candidates import SCORE, Candidate, Scorer, apply_isotonic, fit_isotonic, fit_isotonic_in_folds, out_of_fold, score_points, scorer_of
 from cohortspark.operators import isotonic
 from cohortspark.session import materialize
 
@@ -49,4 +49,4 @@ def fit_calibrated(df: DataFrame, candidate: Candidate, k: int = 5, seed: int =
     """``df`` carries the folds; the base model is refitted on all rows."""
     oof, _ = out_of_fold(df, candidate, k, seed)
     gain = float(crossfit_gain(oof, k).first()["ganho_brier"])
-    return CalibratedScorer(candidate.fit(df, seed), fit_isotonic(oof, TARGET, SCORE), gain > 0 if apply is None else apply, gain, oof)
+    return CalibratedScorer(scorer_of(candidate, df, seed), fit_isotonic(oof, TARGET, SCORE), gain > 0 if apply is None else apply, gain, oof)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -51,6 +52,39 @@ class LinearOrTreeScorer(Scorer):
         return scored.select(*df.columns, vector_to_array(source)[1].alias(SCORE))
 
 
+@dataclass
+class ProjectedScorer(Scorer):
+    """A linear model of all rows of ``train``: scores are a projection over plain columns, so that no model object travels with the
+    plan. The MLlib stages, which only a saved model needs, are fitted when they are asked for."""
+
+    made: batched.Batch
+    candidate: Candidate
+    train: DataFrame
+    seed: int
+
+    def score(self, df: DataFrame) -> DataFrame:
+        return df.select(*df.columns, batched.probability(self.made.base, self.made.fitted.gamma(), F.lit(0)).alias(SCORE))
+
+    @functools.cached_property
+    def stages(self) -> LinearOrTreeScorer:
+        return self.candidate.fit(self.train, self.seed)
+
+    @property
+    def preprocessor(self) -> Preprocessor:
+        return self.stages.preprocessor
+
+    @property
+    def classifier(self) -> Any:
+        return self.stages.classifier
+
+
+def scorer_of(candidate: Candidate, train: DataFrame, seed: int) -> Scorer:
+    """The candidate fitted to all rows of ``train``, by its batch form where it has one."""
+    if candidate.batch:
+        return ProjectedScorer(candidate.batch(train, [F.lit(True)]), candidate, train, seed)
+    return candidate.fit(train, seed)
+
+
 def break_ties(calibrated: Column, rank: Column, n: Column) -> Column:
     """Original order inside the plateaus: shifts of at most 2e-9, still inside [0, 1]."""
     return calibrated * (1 - 2 * TIE_EPSILON) + TIE_EPSILON * (1 + rank / n)

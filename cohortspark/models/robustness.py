@@ -160,7 +160,7 @@ def drift(lag: DataFrame, current: DataFrame, make, names: tuple[str, str], k: i
             size.select("p").scalar().alias("prevalencia_teste"), "roc_auc", F.col("dp").alias("dp_entre_folds"))
         part = materialize(part)
         table = part if table is None else table.unionByName(part)
-    scored = make().fit(lag, seed).score(current)
+    scored = M.scorer_of(make(), lag, seed).score(current)
     measured = metrics.ranking_metrics(scored, TARGET, M.SCORE)
     across = measured.select(
         F.lit(f"{names[0]} -> {names[1]} (out-of-time)").alias("desenho"), lag.agg(F.count(F.lit(1)).alias("n")).scalar().alias("n_treino"),

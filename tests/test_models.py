@@ -107,6 +107,21 @@ def test_report_and_saved_model(spark, cohort):
     assert np.allclose([r[1] for r in before], [r[1] for r in after]) and meta.count() == 1
 
 
+def test_scores_of_a_linear_report_carry_no_model_object(cohort, monkeypatch):
+    """The plan that scores unseen rows is made of plain columns: nothing in it but Spark's own expressions is serialised."""
+    df, _ = cohort
+    made = M.scorer_of(M.logistic(FEATURES, "l", True), df, 1)
+    scored = made.score(df)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "features" not in scored.columns
+    alone = M.logistic(FEATURES, "l", True).fit(df, 1).score(df)
+    both = scored.select("row_id", M.SCORE).join(alone.select("row_id", F.col(M.SCORE).alias("b")), "row_id").toPandas()
+    assert len(both) == df.count() and np.allclose(both[M.SCORE], both.b, atol=1e-5)
+    monkeypatch.setattr(M.LinearOrTreeScorer, "score", lambda *a, **k: pytest.fail("a model object in the plan"))
+    assert robustness.drift(df, df, lambda: M.logistic(FEATURES, "l", True), ("a", "b")).count() == 3
+    assert calibration.fit_calibrated(split.folds(df, 3), M.logistic(FEATURES, "l", True), 3).score(df).count() == df.count()
+
+
 def test_attributions_add_up(cohort):
     df, _ = cohort
     linear = M.logistic(FEATURES, "l", True).batch(df, [F.lit(True)])
