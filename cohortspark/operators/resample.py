@@ -7,13 +7,12 @@ are a function of (seed, replicate, draw number), so the intervals do not depend
 from __future__ import annotations
 
 import functools
-import hashlib
+import math
 from collections.abc import Iterator, Mapping, Sequence
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +22,12 @@ from cohortspark.operators import metrics, ranks
 from cohortspark.session import materialize, shuffle_width
 
 
-#: Bytes of drawn counts that are sent to every executor at once; more replicates or groups take more rounds of scans.
+#: Bytes of the drawn counts of one block of units; more replicates take more rounds of scans.
 COUNTS_BYTES = 64 << 20
+#: Units of a block, and draws that a task numbers at once.
+BLOCK, DRAWS = 1_024, 1 << 18
+#: Messages that are hashed side by side.
+MESSAGES = 1 << 14
 #: Score ranges whose totals per replicate the driver adds up.
 MAX_RANGES = 256
 MAX_LEVELS = 256
@@ -51,20 +54,102 @@ def replicate_weights(groups: DataFrame, key: Sequence[str], replicates: int, se
     return draws.join(numbered, "_idx").select("rep", *key, "w")
 
 
-def drawn_counts(spark: SparkSession, sizes: Sequence[int], low: int, high: int, seed: int) -> Broadcast:
-    """For each universe of ``sizes`` units an array (units, replicates): how often each is drawn in replicates low..high. A task
-    draws whole replicates."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_SINES = [np.uint32(int(abs(math.sin(i + 1)) * (1 << 32))) for i in range(64)]
+
+
+def _md5_heads(words: np.ndarray) -> np.ndarray:
+    """First 64 bits of the MD5 of many messages of one block each; ``words`` are the padded blocks, (16, messages)."""
+    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(words.shape[1], x) for x in start)
+    for i in range(64):
+        if i < 16:
+            f, at = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, at = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, at = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, at = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += _SINES[i]
+        f += words[at]
+        turn = np.uint32(_TURNS[i // 16][i % 4])
+        a, d, c, b = d, c, b, b + ((f << turn) | (f >> (np.uint32(32) - turn)))
+    first, second = ((x + y).byteswap().astype(np.uint64) for x, y in ((a, start[0]), (b, start[1])))
+    return first << np.uint64(32) | second
+
+
+def _draw_numbers(seed: int, rep: int, low: int, high: int) -> np.ndarray:
+    """The numbers of the draws low..high-1 of a replicate, as :func:`drawn` makes them: the first 60 bits of each MD5."""
+    start = np.frombuffer(f"{seed}:{rep}:".encode(), np.uint8)
+    made = []
+    while low < high:
+        digits = len(str(low))
+        end = min(high, 10 ** digits, low + MESSAGES)
+        size = len(start) + digits
+        if size > 55:
+            raise ValueError(f"seed {seed}, replicate {rep}, draw {low}: too many digits")
+        block = np.zeros((end - low, 64), np.uint8)
+        block[:, :len(start)] = start
+        rest = np.arange(low, end)
+        for place in range(size - 1, len(start) - 1, -1):
+            rest, digit = np.divmod(rest, 10)
+            block[:, place] = 48 + digit
+        block[:, size] = 0x80
+        block[:, 56:58] = 8 * size & 255, 8 * size >> 8
+        made.append(_md5_heads(np.ascontiguousarray(block.view("<u4").T)) >> np.uint64(4))
+        low = end
+    return np.concatenate(made).astype(np.int64) if made else np.zeros(0, np.int64)
+
+
+def drawn_counts(spark: SparkSession, sizes: Sequence[int], low: int, high: int, seed: int) -> DataFrame:
+    """(_u, _i, _w): for each unit _i (from one) of each universe _u of ``sizes`` units how often the replicates low..high draw it,
+    as packed numbers. A task draws whole replicates and deals their counts in blocks of ``BLOCK`` units; the blocks of all
+    replicates meet in the tasks that turn them into units. Nothing of it reaches the driver."""
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rep in batch.column(0).to_pylist():
+                counts = [np.zeros(n, "<u4") for n in sizes]
                 most = max(sizes, default=0)
-                numbers = np.array([int(hashlib.md5(f"{seed}:{rep}:{i}".encode()).hexdigest()[:15], 16) for i in range(most)], dtype=np.int64)
-                counts = [np.bincount(numbers[:n] % n, minlength=n).astype("<u4") if n else np.zeros(0, "<u4") for n in sizes]
-                yield pa.RecordBatch.from_arrays([pa.array([rep]), pa.array([np.concatenate(counts).tobytes()], pa.binary())], names=["rep", "counts"])
-
-    reps = spark.range(low, high, 1, min(high - low, spark.sparkContext.defaultParallelism)).mapInArrow(run, "rep long, counts binary")
-    rows = np.stack([np.frombuffer(r["counts"], "<u4") for r in sorted(reps.collect(), key=lambda r: r["rep"])], axis=1)
-    return spark.sparkContext.broadcast(np.split(rows, np.cumsum(sizes)[:-1]))
+                for start in range(0, most, DRAWS):
+                    numbers = _draw_numbers(seed, rep, start, min(start + DRAWS, most))
+                    for n, c in zip(sizes, counts):
+                        if n > start:
+                            hit, times = np.unique(numbers[:n - start] % n, return_counts=True)
+                            c[hit] += times.astype("<u4")
+                for u, c in enumerate(counts):
+                    parts = [c[at:at + BLOCK].tobytes() for at in range(0, len(c), BLOCK)]
+                    if parts:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(parts), u, np.int32)), pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), rep, np.int64)), pa.array(parts, pa.binary())],
+                            names=["u", "block", "rep", "c"])
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*[batch.column(i).to_pylist() for i in range(4)]))
+        for (u, block), held in groupby(rows, key=lambda r: r[:2]):
+            counts = np.stack([np.frombuffer(r[3], "<u4") for r in held], axis=1)
+            packed = counts.astype("u1") if counts.max() < 256 else counts
+            names = np.arange(len(packed), dtype=np.int64) + 1 + block * BLOCK
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(packed), u, np.int32)), pa.array(names), pa.array([c.tobytes() for c in packed], pa.binary())], names=["_u", "_i", "_w"])
+
+    drawn_blocks = spark.range(low, high, 1, high - low).mapInArrow(draw, "u int, block int, rep long, c binary")
+    met = drawn_blocks.repartition("u", "block").sortWithinPartitions("u", "block", "rep")
+    return materialize(met.mapInArrow(turn, "_u int, _i long, _w binary"))
+
+
+def _unpacked(counts: np.ndarray, width: int) -> np.ndarray:
+    """(units, replicates) of packed counts."""
+    made = np.empty((len(counts), width))
+    for i, c in enumerate(counts):
+        made[i] = np.frombuffer(c, "u1" if len(c) == width else "<u4")
+    return made
+
+
+def _with_counts(rows: DataFrame, counts: DataFrame, index: str = "_idx", universe: str | None = None) -> DataFrame:
+    # Sizes of counts are guessed too small, so that a broadcast would take all of them through the driver.
+    which = F.col(universe) if universe else F.lit(0)
+    return rows.join(counts.hint("merge"), (which.cast("int") == F.col("_u")) & (F.col(index) == F.col("_i"))).drop("_u", "_i")
 
 
 def rounds(sizes: Sequence[int], replicates: int) -> Iterator[tuple[int, int]]:
@@ -85,42 +170,51 @@ def numbered_groups(df: DataFrame, group: str, seed: int) -> tuple[DataFrame, in
 def _added(rows: DataFrame) -> dict[int, np.ndarray]:
     """{key: vector}: the vectors of equal keys added up by Spark, position by position."""
     cells = rows.select("key", F.posexplode("v").alias("at", "v")).groupBy("key", "at").agg(F.sum("v").alias("v"))
-    out: dict[int, dict[int, float]] = {}
-    for key, at, v in cells.collect():
-        out.setdefault(key, {})[at] = v
-    return {k: np.array([cell[i] for i in range(len(cell))]) for k, cell in out.items()}
+    whole = cells.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda c: c["v"]).alias("v"))
+    return {r["key"]: np.array(r["v"]) for r in whole.collect()}
 
 
-def weighted_sums(rows: DataFrame, counts: Broadcast, key: str, universe: str | None, index: str, values: Sequence[str]) -> dict[int, np.ndarray]:
-    """Per key the sums of ``values`` under every replicate's counts, as an array (values, replicates). Rows meet the counts in
-    the task that reads them; only vectors leave it."""
+def weighted_sums(rows: DataFrame, width: int, key: str, values: Sequence[str]) -> dict[int, np.ndarray]:
+    """Per key the sums of ``values`` under the counts ``_w`` of every replicate, as an array (values, ``width``). Only vectors leave
+    the task that reads the rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
         for batch in batches:
-            keys, which, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            x = np.stack([batch.column(3 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(values))])
-            for k, u in set(zip(keys.tolist(), which.tolist())):
-                mine = np.flatnonzero((keys == k) & (which == u))
-                for cut in range(0, len(mine), SLICE):
-                    part = mine[cut:cut + SLICE]
-                    total = (x[:, part] @ counts.value[u][at[part] - 1].astype(float)).ravel()
+            keys, counts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            x = np.stack([batch.column(2 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(values))])
+            order = np.argsort(keys, kind="stable")
+            for low in range(0, len(order), SLICE):
+                part = order[low:low + SLICE]
+                w = _unpacked(counts[part], width)
+                edges = np.append(np.flatnonzero(np.diff(keys[part], prepend=keys[part[0]] - 1)), len(part))
+                for start, end in zip(edges[:-1], edges[1:]):
+                    k, total = int(keys[part[start]]), (x[:, part[start:end]] @ w[start:end]).ravel()
                     made[k] = made[k] + total if k in made else total
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([v.tolist() for v in made.values()], pa.list_(pa.float64()))], names=["key", "v"])
 
-    which = F.col(universe) if universe else F.lit(0)
-    narrow = rows.select(F.col(key).cast("int").alias("key"), which.cast("int").alias("universe"), F.col(index).cast("long").alias("idx"), *values)
+    narrow = rows.select(F.col(key).cast("int").alias("key"), "_w", *values)
     return {k: v.reshape(len(values), -1) for k, v in _added(narrow.mapInArrow(run, "key int, v array<double>")).items()}
 
 
-def replicated_ranking(hist: DataFrame, counts: Broadcast, cells: int) -> dict[int, dict[str, np.ndarray]]:
+def _metric_parts(score: np.ndarray, pos: np.ndarray, neg: np.ndarray, pos_before: np.ndarray, neg_before: np.ndarray, pos_all: np.ndarray, neg_all: np.ndarray) -> np.ndarray:
+    """What scores (rows) add to concordance, precision and squares in each replicate."""
+    true, alarms = pos_all - pos_before, pos_all - pos_before + neg_all - neg_before
+    value = score[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.stack([(pos * (neg_before + neg / 2)).sum(axis=0), np.where(pos > 0, pos * true / alarms, 0.0).sum(axis=0), (pos * (value - 1) ** 2 + neg * value ** 2).sum(axis=0)])
+
+
+def replicated_ranking(hist: DataFrame, counts: DataFrame, width: int, edges: Sequence[float]) -> dict[int, dict[str, np.ndarray]]:
     """Per side roc_auc, pr_auc and brier of every replicate, as vectors; NaN where a replicate has one class only.
 
     ``hist`` has ``_cell`` (side and score range, stored), ``_idx``, ``score``, ``n_pos`` and ``n_neg``. The first scan adds up the
-    ranges' positives and negatives per replicate. The second reads each range in score order, starts from what the ranges
-    below hold, and adds up the parts of the metrics. A range is read in slices, so its size does not matter."""
-    totals = weighted_sums(hist, counts, "_cell", None, "_idx", ["n_pos", "n_neg"])
-    width = next(iter(totals.values())).shape[1] if totals else 0
+    ranges' positives and negatives per replicate, which is all there is to know of a range of one score. The second reads each
+    other range in score order, starts from what the ranges below hold, and adds up the parts of the metrics. A range is
+    read in slices, so its size does not matter."""
+    cells = 2 * len(edges) + 4
+    weighted = _with_counts(hist, counts)
+    totals = weighted_sums(weighted, width, "_cell", ["n_pos", "n_neg"])
     sides = sorted({c // cells for c in totals})
     before: dict[int, np.ndarray] = {}
     whole: dict[int, np.ndarray] = {}
@@ -130,7 +224,7 @@ def replicated_ranking(hist: DataFrame, counts: Broadcast, cells: int) -> dict[i
             before[cell] = run_sum
             run_sum = run_sum + totals[cell]
         whole[s] = run_sum
-    start = hist.sparkSession.sparkContext.broadcast((before, whole))
+    start = hist.sparkSession.sparkContext.broadcast(({c: v for c, v in before.items() if c % 2}, whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
@@ -145,26 +239,27 @@ def replicated_ranking(hist: DataFrame, counts: Broadcast, cells: int) -> dict[i
             here = np.zeros((2, len(first), width))
             for low in range(0, len(score), SLICE):
                 part = slice(low, low + SLICE)
-                edges = np.flatnonzero(np.diff(run_of[part], prepend=-1))
-                w = counts.value[0][at[part] - 1].astype(float)
+                edges_of = np.flatnonzero(np.diff(run_of[part], prepend=-1))
+                w = _unpacked(at[part], width)
                 for i in range(2):
-                    here[i, run_of[part][edges]] += np.add.reduceat(w * n[i, part][:, None], edges)
+                    here[i, run_of[part][edges_of]] += np.add.reduceat(w * n[i, part][:, None], edges_of)
             pos, neg = here
-            pos_before, neg_before = lower[0] + np.cumsum(pos, axis=0) - pos, lower[1] + np.cumsum(neg, axis=0) - neg
-            true, alarms = pos_all - pos_before, pos_all - pos_before + neg_all - neg_before
-            value = score[first][:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                parts = np.stack([(pos * (neg_before + neg / 2)).sum(axis=0), np.where(pos > 0, pos * true / alarms, 0.0).sum(axis=0), (pos * (value - 1) ** 2 + neg * value ** 2).sum(axis=0)])
+            parts = _metric_parts(score[first], pos, neg, lower[0] + np.cumsum(pos, axis=0) - pos, lower[1] + np.cumsum(neg, axis=0) - neg, pos_all, neg_all)
             state[cell] = lower + here.sum(axis=1)
             made[s] = made[s] + parts if s in made else parts
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([v.ravel().tolist() for v in made.values()], pa.list_(pa.float64()))], names=["key", "v"])
 
-    rows = hist.select(F.col("_cell").cast("int").alias("cell"), "score", F.col("_idx").cast("long").alias("idx"), "n_pos", "n_neg")
+    rows = weighted.where(F.col("_cell") % 2 == 1).select(F.col("_cell").cast("int").alias("cell"), "score", "_w", "n_pos", "n_neg")
     rows = rows.repartition("cell").sortWithinPartitions("cell", "score")
+    added = {s: v.reshape(3, width) for s, v in _added(rows.mapInArrow(run, "key int, v array<double>")).items()}
+    for cell in (c for c in totals if c % 2 == 0):
+        s, value = cell // cells, [-np.inf, *edges][cell % cells // 2]
+        alone = _metric_parts(np.array([value]), *[x[None] for x in (*totals[cell], *before[cell])], *whole[s])
+        added[s] = added[s] + alone if s in added else alone
     out = {}
-    for s, v in _added(rows.mapInArrow(run, "key int, v array<double>")).items():
-        concordant, precision, squares = v.reshape(3, width)
+    for s, v in added.items():
+        concordant, precision, squares = v
         pos, neg = whole[s]
         with np.errstate(divide="ignore", invalid="ignore"):
             both = (pos > 0) & (neg > 0)
@@ -173,7 +268,7 @@ def replicated_ranking(hist: DataFrame, counts: Broadcast, cells: int) -> dict[i
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(cell, score, idx, counts) of rows sorted by (cell, score): some ``SLICE`` rows of one cell at a time, cut where the score
+    """(cell, score, drawn counts, outcomes) of rows sorted by (cell, score): some ``SLICE`` rows of one cell at a time, cut where the score
     changes."""
     held: list[np.ndarray] | None = None
     for batch in chain(batches, [None]):
@@ -223,21 +318,19 @@ def cluster_bootstrap(
     numbered, size = numbered_groups(hist, group, seed)
     names = ["roc_auc", "pr_auc", "brier", *additive]
     edges = ranks.fit_edges(hist, "score", min(MAX_RANGES, shuffle_width(spark)))
-    cells = 2 * len(edges) + 4
     placed = materialize(ranks.add_bucket(ranks._join(hist, numbered, [group]), "score", edges, "_cell"))
     sums = None
     if additive:
         grouped = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c.cast("double")).alias(a) for a, c in additive.items()])
         sums = materialize(ranks._join(grouped, numbered, [group]).na.fill(0.0, list(additive)))
     table = []
-    for low, high in rounds([size], replicates):
+    for low, high in rounds([min(size, BLOCK)], replicates):
         counts = drawn_counts(spark, [size], low, high, seed)
-        made = replicated_ranking(placed, counts, cells).get(0, {})
+        made = replicated_ranking(placed, counts, high - low, edges).get(0, {})
         if sums is not None and made:
-            added = weighted_sums(sums.withColumn("_key", F.lit(0)), counts, "_key", None, "_idx", ["_n", *additive])[0]
+            added = weighted_sums(_with_counts(sums.withColumn("_key", F.lit(0)), counts), high - low, "_key", ["_n", *additive])[0]
             made |= {a: v / added[0] for a, v in zip(additive, added[1:])}
         table += [(low + i, *map(float, v)) for i, v in enumerate(zip(*made.values())) if not np.isnan(v[0])]
-        counts.unpersist()
     replicated = spark.createDataFrame(table, "rep int, " + ", ".join(f"`{n}` double" for n in names))
     flat = hist.groupBy("score").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
     point = metrics.ranking_from_histogram(flat, (), edges).select(*names[:3])
@@ -263,12 +356,11 @@ def paired_auc_bootstrap(
     placed = ranks.add_bucket(ranks._join(hist, numbered, [group]), "score", edges, "_range")
     placed = materialize(placed.withColumn("_cell", F.when(F.col("side") == "b", cells).otherwise(0) + F.col("_range")))
     table = []
-    for low, high in rounds([size], replicates):
+    for low, high in rounds([min(size, BLOCK)], replicates):
         counts = drawn_counts(spark, [size], low, high, seed)
-        made = replicated_ranking(placed, counts, cells)
+        made = replicated_ranking(placed, counts, high - low, edges)
         if len(made) == 2:
             table += [(low + i, float(d)) for i, d in enumerate(made[1]["roc_auc"] - made[0]["roc_auc"]) if not np.isnan(d)]
-        counts.unpersist()
     delta = spark.createDataFrame(table, "rep int, d double")
     whole = metrics.ranking_from_histogram(
         hist.groupBy("side", "score").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg")), ["side"], edges)
@@ -309,11 +401,11 @@ def correlation_bootstrap(
     rows = placed.withColumn("_level", level)
     names = ["one", "x", "y", "xy", "xx", "yy"]
     table = []
-    for low, high in rounds([r["_n"] for r in levels], replicates):
-        counts = drawn_counts(units.sparkSession, [r["_n"] for r in levels], low, high, seed)
-        for i, sums in weighted_sums(rows, counts, "_level", "_level", "_idx", names).items():
+    sizes = [r["_n"] for r in levels]
+    for low, high in rounds([min(max(sizes, default=0), BLOCK)], replicates):
+        counts = drawn_counts(units.sparkSession, sizes, low, high, seed)
+        for i, sums in weighted_sums(_with_counts(rows, counts, universe="_level"), high - low, "_level", names).items():
             table += [(*[levels[i][c] for c in by], low + j, *map(float, v)) for j, v in enumerate(sums.T)]
-        counts.unpersist()
     fields = "".join(f"`{c}` {placed.schema[c].dataType.simpleString()}, " for c in by)
     moments = units.sparkSession.createDataFrame(table, fields + "rep int, n double, sx double, sy double, sxy double, sxx double, syy double")
     n = F.col("n")

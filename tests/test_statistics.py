@@ -162,3 +162,22 @@ def test_smoothing_truth_table(spark):
     df = spark.createDataFrame([(0, 0.8, 60.0), (30, 0.8, 60.0), (None, 0.8, 60.0)], "n int, r double, m double")
     got = [r[0] for r in df.select(profile.smoothed_rate(F.col("r") * 100, F.col("n"), F.col("m"), 30)).collect()]
     assert got == [60.0, 70.0, 60.0]
+
+
+def test_drawn_counts_never_reach_the_driver(spark, monkeypatch):
+    """Blocks of few units and few draws at once give the same counts, as a table; what is collected does not grow with the units."""
+    monkeypatch.setattr(resample, "BLOCK", 7)
+    monkeypatch.setattr(resample, "DRAWS", 10)
+    sizes = [40, 0, 23]
+    counts = resample.drawn_counts(spark, sizes, 3, 9, 42)
+    assert isinstance(counts, type(spark.range(1)))
+    got = {(r["_u"], r["_i"]): resample._unpacked([r["_w"]], 6)[0].tolist() for r in counts.collect()}
+    numbers = lambda rep, n: [int(hashlib.md5(f"42:{rep}:{i}".encode()).hexdigest()[:15], 16) % n + 1 for i in range(n)]
+    want = {(u, i): [numbers(rep, n).count(i) for rep in range(3, 9)] for u, n in enumerate(sizes) for i in range(1, n + 1)}
+    assert got == want
+
+
+def test_draw_numbers_are_md5(spark):
+    for low, high, rep in ((0, 1, 0), (5, 1234, 999), (99_990, 100_020, 7), (3, 3, 1)):
+        want = [int(hashlib.md5(f"42:{rep}:{i}".encode()).hexdigest()[:15], 16) for i in range(low, high)]
+        assert resample._draw_numbers(42, rep, low, high).tolist() == want
