@@ -86,9 +86,12 @@ def load_tables(spark: SparkSession, schema: str, names: Sequence[str], required
 
 
 def save_table(df: DataFrame, table: str, files: int | None = None, partition: str = "ano", fmt: str = "parquet") -> None:
-    """Overwrite a managed table, partitioned by year when there is one; ``files`` merges small outputs."""
+    """Overwrite a managed table, partitioned by year when there is one; ``files`` merges small outputs.
+
+    Outputs are merged by their size when the write runs, so a table that is not small is still written by many tasks, and what
+    comes before the write keeps its own width."""
     if files:
-        df = df.coalesce(files)
+        df = df.hint("rebalance")
     writer = df.write.format(fmt).mode("overwrite").option("overwriteSchema", "true")
     if partition in df.columns:
         writer = writer.partitionBy(partition)

@@ -197,3 +197,21 @@ def test_years_are_replaced_and_pruned_one_by_one(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.lower()
     assert tables.in_years(tables.read_product(spark, path), wanted.where("false")).count() == 0
+
+
+def test_a_merged_table_keeps_the_width_of_its_work(spark):
+    """Small outputs are merged by size at the write, not by one task that also does all the work before it."""
+    spark.sql("CREATE SCHEMA IF NOT EXISTS t_width")
+    rows = spark.range(0, 4000, 1, 8).selectExpr("id % 3 AS ano", "id AS x", "sha2(string(id), 512) AS t")
+    try:
+        tables.save_table(rows, "t_width.small", 1)
+        assert len(spark.table("t_width.small").where("ano = 1").inputFiles()) == 1 and spark.table("t_width.small").count() == 4000
+        before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32k")
+        try:
+            tables.save_table(rows, "t_width.large", 1)
+        finally:
+            spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+        assert len(spark.table("t_width.large").where("ano = 1").inputFiles()) > 1 and spark.table("t_width.large").count() == 4000
+    finally:
+        spark.sql("DROP SCHEMA IF EXISTS t_width CASCADE")
