@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,17 +73,22 @@ def long_runs(least: int = LONG_RUN) -> re.Pattern:
     return re.compile(f"{WHITE}{{{least},}}")
 
 
+def plain_ids(encoding: tiktoken.Encoding, text: str) -> np.ndarray:
+    """Ids of ``text`` by the path that looks for no special tokens, of which the vocabularies here have none."""
+    return np.frombuffer(array("I", encoding.encode_ordinary(text)), dtype=np.uint32)
+
+
 def encode_cut(encoding: tiktoken.Encoding, text: str, runs: re.Pattern) -> np.ndarray:
     """Ids of ``text``. A long run of white space is one unit of the pattern, but for its last sign where more text follows,
     since that one may join it; so the text is cut there and the run encoded as the unit it is."""
     if len(text) < LONG_RUN or not runs.search(text):
-        return encoding.encode_to_numpy(text)
+        return plain_ids(encoding, text)
     made, at = [], 0
     for run in runs.finditer(text):
         end = run.end() if run.end() == len(text) else run.end() - 1
-        made += [encoding.encode_to_numpy(text[at:run.start()]), np.array(encoding._encode_single_piece(text[run.start():end]), dtype=np.uint32)]
+        made += [plain_ids(encoding, text[at:run.start()]), np.array(encoding._encode_single_piece(text[run.start():end]), dtype=np.uint32)]
         at = end
-    return np.concatenate([*made, encoding.encode_to_numpy(text[at:])])
+    return np.concatenate([*made, plain_ids(encoding, text[at:])])
 
 
 class ByteTokens:

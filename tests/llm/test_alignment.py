@@ -116,3 +116,12 @@ def test_bitmaps():
     made = alignment.bitmaps(docs, np.array([0, 20_000, 20_001]))
     assert [alignment.members(x.as_py()).tolist() for x in made] == [list(range(0, 60_000, 3)), [7], list(range(5))]
     assert [len(x.as_py()) for x in made] == [8_192, 2, 10]
+
+
+def test_plain_ids_are_those_of_the_general_path():
+    from cohortspark.llm import packing
+    tokenizer = packing.Tokenizer(packing.VOCABULARY)
+    tokenizer.encoding.encode_to_numpy, general = None, tokenizer.encoding.encode_to_numpy  # the slower path is not taken
+    for text in ("", "a", "The word's 12 é ñ <|endoftext|> 漢字 \U0001f600", "x" * 500, " \n\t " * 40 + "end", "don't " * 50):
+        got = np.frombuffer(tokenizer.encode(text), tokenizer.kind)
+        assert got.tolist() == general(text).tolist()
