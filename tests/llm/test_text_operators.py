@@ -543,6 +543,29 @@ def test_head_and_tail_agree(spark, corpus, monkeypatch):
         assert math.isclose(own + back, 1.0, rel_tol=1e-4)
 
 
+@pytest.mark.parametrize("head", [1 << 18, 20])
+def test_contexts_are_the_words_before(spark, corpus, monkeypatch, head):
+    """Every pair of a word and the word before it is counted, whether in the head or not, and words of one ending are told apart."""
+    monkeypatch.setattr(lm, "HEAD_WORDS", head)
+    texts = [t or "" for _, t, _ in corpus[:80]] + ["on a king sits alpha"] * 30 + ["on a ring sits", "ring beta"] * 30
+    model, totals = lm.train(spark.createDataFrame([(t.encode(),) for t in texts], "text binary"))
+    name = lambda w: int(lm.hashed([w])[0])
+    words = {name(w.encode()): w for t in texts for w in BLANK.findall(low(t))} | {name(lm.END): "<end>"}
+    read = lambda x: words[int(totals.ids[x]) if x < len(totals.ids) else x]
+    want = collections.Counter(p for t in texts for seq in [["<end>", *BLANK.findall(low(t)), "<end>"]] for p in zip(seq, seq[1:]))
+    rows = model.collect()
+    assert {(read(g), read(r["word"])): c for r in rows for g, c in zip(r["gs"], r["cs"])} == want
+    tables = collections.Counter()
+    for r in rows:
+        assert all(1 <= t <= c for t, c in zip(r["ts"], r["cs"])) and 1 <= r["t0"] <= r["c0"] and math.isclose(r["c0"], sum(r["ts"]))
+        tables.update({read(g): t for g, t in zip(r["gs"], r["ts"])})
+    got = {words[r["hash"]]: (r["customers"], r["tables"]) for r in totals.contexts.collect()}
+    assert got == {u: (sum(c for (v, _), c in want.items() if v == u), t) for u, t in tables.items()}
+    asked = spark.createDataFrame([(1, "ring beta"), (2, "king beta")], "doc_id long, text string")
+    said = {r["doc_id"]: r["score"] for r in lm.score(asked, model, totals).collect()}
+    assert said[1] > said[2] + 0.5
+
+
 def one_by_one(c, a, d):
     """Probabilities of 1..c tables after c customers, by the step-wise recursion."""
     p = np.zeros(c + 1)
