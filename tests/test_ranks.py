@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.operators import ranks, resample, sampling
+from cohortspark.queries import bindings
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +88,19 @@ def test_samples(table, frame):
     sizes = frame.groupby("g").size()
     assert all(sizes[r.g] == r["count"] for _, r in kept.iterrows())
     assert kept["count"].sum() >= 1200 and kept["count"].sum() - kept["count"].min() < 1200
+
+
+def test_quantiles_of_small_and_large_groups_agree(spark, monkeypatch):
+    """One window per group, or range buckets: the same numbers, NULL groups, ties and repeated rows included."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 37 > 0, F.col("id") % 37).alias("k"), (F.pmod(F.xxhash64("id"), F.lit(50)) / 7).alias("v")).unionByName(
+        spark.createDataFrame([(1, None), (99, 2.5), (None, -0.0)], "k long, v double"))
+    probs = {"a": 0.25, "b": 0.5, "c": 1.0}
+    read = lambda: sorted(map(tuple, ranks.quantiles(rows, "v", probs, ["k"]).collect()), key=repr)
+    small = read()
+    monkeypatch.setattr(ranks, "SMALL_GROUP", 3)
+    assert small == read() and len(small) == 38
+
+
+def test_students_of_two_years_are_built_once(spark, folder):
+    assert bindings.two_years(spark, folder) is bindings.two_years(spark, folder)
