@@ -103,9 +103,11 @@ def blocks(df: DataFrame, base: Base, sets: Sequence[Column], labels: Sequence[C
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, s, y) of each block, read where they lie in the batch: no copy of a batch is made."""
     for batch in batches:
-        for n, *parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            yield tuple(np.frombuffer(p, dtype=kind).reshape(n, -1) for p, kind in zip(parts, ("<f8", "i1", "i1")))
+        n, *parts = batch.columns
+        for i in range(batch.num_rows):
+            yield tuple(np.frombuffer(p[i].as_buffer(), dtype=kind).reshape(n[i].as_py(), -1) for p, kind in zip(parts, ("<f8", "i1", "i1")))
 
 
 def _summed(packed: DataFrame, partial) -> dict[int, np.ndarray]:

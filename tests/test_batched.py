@@ -1,6 +1,7 @@
 """Models of many training sets in shared scans against one fit each, and against plain numpy."""
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,14 @@ def test_coefficients_of_all_folds_at_once(rows):
         assert abs(r.coeficiente_dp_entre_folds - np.std(alone[c.name], ddof=1)) < 1e-4 and r.folds_com_a_coluna == 3
         assert abs(r.contribuicao_dp - abs(r.coeficiente) * x[:, i].std(ddof=1)) < 1e-6
     assert len(got) == x.shape[1]
+
+
+def test_blocks_are_read_in_place():
+    """A block is a view of its batch, whose memory is not held twice."""
+    x = np.arange(12, dtype="<f8").reshape(3, 4)
+    cells = [pa.array([v], pa.binary()) for v in (x.tobytes(), bytes([1, 0, 1]), bytes([0, 1, 1]))]
+    batch = pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), *cells], names=["n", "x", "s", "y"])
+    ((got, s, y),) = batched.unpacked(iter([batch]))
+    assert (got == x).all() and s.ravel().tolist() == [1, 0, 1] and y.ravel().tolist() == [0, 1, 1]
+    low, high = batch.column("x").buffers()[2].address, batch.column("x").buffers()[2].size
+    assert low <= got.ctypes.data < low + high
