@@ -107,7 +107,13 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
     for batch in batches:
         n, *parts = batch.columns
         for i in range(batch.num_rows):
-            yield tuple(np.frombuffer(p[i].as_buffer(), dtype=kind).reshape(n[i].as_py(), -1) for p, kind in zip(parts, ("<f8", "i1", "i1")))
+            yield tuple(_view(p, i, kind).reshape(n[i].as_py(), -1) for p, kind in zip(parts, ("<f8", "i1", "i1")))
+
+
+def _view(column: pa.BinaryArray, i: int, kind: str) -> np.ndarray:
+    _, offsets, data = column.buffers()
+    low, high = np.frombuffer(offsets, dtype="<i4")[column.offset + i:column.offset + i + 2].tolist()
+    return np.frombuffer(data, dtype=kind, count=(high - low) // np.dtype(kind).itemsize, offset=low)
 
 
 def _summed(packed: DataFrame, partial) -> dict[int, np.ndarray]:
