@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +53,7 @@ def permuted_labels(df: DataFrame, n_global: int, n_within: int, seed: int = SEE
 
 def _auc_of_checks(made: batched.Batch, checks: Sequence[tuple[int, int, bool]]) -> dict[int, float]:
     """AUC per check: a row per model to the driver."""
-    table = metrics.ranking_from_histogram(batched.score_histograms(made.packed, made.fitted, checks), ["check"])
-    return {r["check"]: r["roc_auc"] for r in table.select("check", "roc_auc").collect()}
+    return {r["check"]: r["auc"] for r in metrics.auc_of_pieces(batched.score_pieces(made.packed, made.fitted, checks)).collect()}
 
 
 def permutation_test(df: DataFrame, candidate: M.Candidate, n_global: int = 50, n_within: int = 20, k: int = 3, seed: int = SEED) -> DataFrame:
@@ -177,12 +178,12 @@ def shuffled_drop(scorer: M.Scorer, df: DataFrame, blocks: dict[str, Sequence[st
         for r in range(repeats):
             moved = resample.permute(needed, list(columns), ["row_id"], seed + 1000 * number + r, within)
             parts = parts.unionByName(scorer.score(moved).select(F.lit(name).alias("bloco"), F.lit(r).alias("rep"), TARGET, M.SCORE))
-    return _drop_table(parts, blocks)
+    return _drop_table(metrics.auc(parts, TARGET, M.SCORE, ["bloco", "rep"]), blocks)
 
 
-def _drop_table(parts: DataFrame, blocks: dict[str, Sequence[str]]) -> DataFrame:
-    """Mean and deviation of the drops over the repeats, from scored rows (bloco, rep); block '' is the reference."""
-    aucs = materialize(metrics.auc(parts, TARGET, M.SCORE, ["bloco", "rep"]))
+def _drop_table(aucs: DataFrame, blocks: dict[str, Sequence[str]]) -> DataFrame:
+    """Mean and deviation of the drops over the repeats, from the AUC of each (bloco, rep); block '' is the reference."""
+    aucs = materialize(aucs)
     reference = aucs.where("bloco = ''").select("auc").scalar()
     drops = aucs.where("bloco <> ''").withColumn("ref", reference)
     sizes = F.create_map(*[v for n, c in blocks.items() for v in (F.lit(n), F.lit(len(c)))])
@@ -202,6 +203,10 @@ def feature_parts(base: batched.Base, gamma: Sequence[float]) -> list[Column]:
     return parts
 
 
+#: Rows whose scores a task holds before it packs them.
+HELD_ROWS = 100_000
+
+
 def linear_drops(
     made: batched.Batch, df: DataFrame, blocks: dict[str, Sequence[str]], repeats: int, seed: int = SEED, within: Sequence[str] = (), model: int = 0,
 ) -> DataFrame:
@@ -215,14 +220,47 @@ def linear_drops(
     parts = F.array(*feature_parts(made.base, made.fitted.gamma()[:, model]))
     own = materialize(df.select("row_id", TARGET, *within, parts.alias("_p")))
     repeat = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")
-    target = ranks.hash_position(own, ["row_id"], seed, "_at", within, salt=1).select("*", repeat)
+    target = ranks.hash_position(own, ["row_id"], seed, "_at", within, salt=1)
     origin = ranks.hash_position(own.select("row_id", *within, "_p", repeat), ["rep", "row_id"], seed, "_at", ["rep", *within], salt=2)
-    pairs = ranks._join(target, origin.select("rep", *within, "_at", F.col("_p").alias("_q")), ["rep", *within, "_at"])
-    margin = lambda moved: sum((F.col("_q" if f in moved else "_p")[i] for i, f in enumerate(features)), F.lit(0.0))
-    variants = F.array(*[F.struct(F.lit(name).alias("bloco"), margin(set(columns)).alias(M.SCORE)) for name, columns in blocks.items()])
-    scored = pairs.select("rep", TARGET, F.explode(variants).alias("v")).select("v.bloco", "rep", TARGET, f"v.{M.SCORE}")
-    plain = own.select(F.lit("").alias("bloco"), F.lit(0).alias("rep"), TARGET, margin(set()).alias(M.SCORE))
-    return _drop_table(plain.unionByName(scored), blocks)
+    pairs = ranks._join(target, origin.select("rep", *within, "_at", F.col("_p").alias("_q")), [*within, "_at"])
+    plain = own.select(F.lit(-1).alias("rep"), TARGET, "_p", F.col("_p").alias("_q"))
+    rows = plain.unionByName(pairs.select("rep", TARGET, "_p", "_q")).where(F.col(TARGET).isin(0, 1))
+    ranges = metrics.ranges_for(own.count())
+    edges = np.array(ranks.fit_edges(own, sum((F.col("_p")[i] for i in range(len(features))), F.lit(0.0)), ranges) if ranges > 1 else [])
+    moved = [[f in set(columns) for f in features] for columns in blocks.values()]
+    reference = repeats * len(blocks)
+
+    def scored(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        rep, label, *scores = (np.concatenate(v) for v in zip(*held))
+        for r in np.unique(rep).tolist():
+            at = np.flatnonzero(rep == r)
+            checks = [(reference, scores[0])] if r < 0 else [(r * len(moved) + i, v) for i, v in enumerate(scores[1:])]
+            yield from metrics.pieces_of((check, v[at], label[at], edges) for check, v in checks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            rep, label, p, q = (batch.column(i) for i in range(4))
+            p, q = (c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1).T for c in (p, q))
+            margins = []
+            for swapped in [[False] * len(features), *moved]:
+                margin = np.zeros(batch.num_rows)
+                for i, from_other in enumerate(swapped):  # in one order, so that equal features give equal sums
+                    margin = margin + (q[i] if from_other else p[i])
+                margins.append(margin)
+            held.append((rep.to_numpy(), label.to_numpy(zero_copy_only=False), *margins))
+            size += batch.num_rows
+            if size >= HELD_ROWS:
+                yield from scored(held)
+                held, size = [], 0
+        if held:
+            yield from scored(held)
+
+    aucs = metrics.auc_of_pieces(rows.mapInArrow(run, metrics.PIECE))
+    names = F.array(*[F.lit(n) for n in blocks])
+    return _drop_table(aucs.select(
+        F.when(F.col("check") == reference, "").otherwise(names[F.pmod("check", F.lit(len(blocks)))]).alias("bloco"),
+        F.floor(F.col("check") / len(blocks)).cast("int").alias("rep"), "auc"), blocks)
 
 
 def _inputs(scorer: M.Scorer, df: DataFrame) -> list[str]:

@@ -187,3 +187,32 @@ def test_blocks_are_read_in_place():
     assert (got == x).all() and s.ravel().tolist() == [1, 0, 1] and y.ravel().tolist() == [0, 1, 1]
     low, high = batch.column("x").buffers()[2].address, batch.column("x").buffers()[2].size
     assert low <= got.ctypes.data < low + high
+
+
+def test_area_of_packed_ranges(spark):
+    """Ties within and across pieces, a range without rows, a check of one class."""
+    rng = np.random.default_rng(3)
+    score, y = np.round(rng.normal(size=3000), 2), rng.integers(0, 2, 3000)
+    edges = np.array([-9.0, -0.5, 0.0, 0.0, 0.5])
+    made = [b for part in np.array_split(np.arange(3000), 7) for b in metrics.pieces_of(iter([(4, score[part], y[part], edges), (5, score[part], y[part] * 0, edges)]))]
+    pieces = spark.createDataFrame(pa.Table.from_batches(made))
+    got = {r["check"]: r["auc"] for r in metrics.auc_of_pieces(pieces).collect()}
+    pos, neg = score[y == 1], score[y == 0]
+    assert got[5] is None and abs(got[4] - ((pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2)) < 1e-12
+
+
+def test_scores_of_drops_and_checks_are_not_shuffled_one_by_one(rows, monkeypatch):
+    """A shuffled row per score is what made them grow: the area comes from packed ranges, many of them too."""
+    monkeypatch.setattr(metrics, "RANGE_ROWS", 100)
+    monkeypatch.setattr(metrics, "ranking_from_histogram", lambda *a, **k: pytest.fail("a row per score"))
+    made = M.logistic(FEATURES, "l").batch(rows, batched.fold_sets(3))
+    scored = made.packed.toArrow().to_batches()
+    x, s, y = (np.concatenate(v) for v in zip(*batched.unpacked(iter(scored))))
+    p = batched._sigmoid(x @ made.fitted.gamma())
+    got = robustness._auc_of_checks(made, [(m, m, False) for m in range(3)])
+    for m in range(3):
+        own = s[:, m] == 0
+        pos, neg = p[own & (y[:, 0] == 1), m], p[own & (y[:, 0] == 0), m]
+        assert abs(got[m] - ((pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2)) < 1e-9
+    drops = {r["bloco"]: r["queda_media"] for r in robustness.linear_drops(made, rows, {"taxa": ["mun_taxa_alfab_lag1"], "nada": []}, 2).collect()}
+    assert drops["nada"] == 0 and drops["taxa"] > 0.02
