@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.contracts import GROUP, SEED, TARGET
@@ -14,7 +14,7 @@ from cohortspark.models import candidates as M
 from cohortspark.models import batched, split
 from cohortspark.operators import metrics, ranks, resample, sampling
 from cohortspark.operators.quality import QualityError
-from cohortspark.session import materialize, shuffle_width
+from cohortspark.session import materialize
 
 
 def _mean_fold_auc(df: DataFrame, candidate: M.Candidate, k: int, seed: int) -> DataFrame:
@@ -22,23 +22,40 @@ def _mean_fold_auc(df: DataFrame, candidate: M.Candidate, k: int, seed: int) ->
     return metrics.auc(scored, TARGET, M.SCORE, ["fold"]).agg(F.avg("auc").alias("roc_auc"), F.stddev_samp("auc").alias("dp"))
 
 
+#: Rows of a range of hashes, about, of which a cut is one.
+CUT_ROWS = 10_000
+
+
 def permuted_labels(df: DataFrame, n_global: int, n_within: int, seed: int = SEED, key: str = "row_id", group: str = GROUP, label: str = TARGET, out: str = "_labels") -> DataFrame:
     """Adds an array: the 0/1 label itself, ``n_global`` permutations of it and ``n_within`` permutations inside each group.
 
     A permutation of a 0/1 column only chooses which rows hold its ones: those of the smallest hashes of (key, draw), as many
-    as there are ones. So a draw is one cut value (per group), and rows get all their labels by comparing hashes. All cuts come
-    from one ranking of the hashes, whose even ranges are known beforehand.
+    as there are ones. So a draw is one cut value (per group), and rows get all their labels by comparing hashes. A cut is an
+    order statistic of evenly spread hashes: counts by their leading bits name the range that holds it, and only the hashes
+    of that range are put in order. Groups of any size are cut finely enough for a range to hold a few thousand rows.
     """
     hashed = lambda i: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(i), key), 11)
-    width = shuffle_width(df.sparkSession)
-    edges = [float((1 << 53) // width * i) for i in range(1, width)]
 
     def cuts(draws: Sequence[int], by: Sequence[str]) -> DataFrame:
-        cells = F.array(*[F.struct(F.lit(i).alias("draw"), hashed(i).alias("h")) for i in draws])
-        long = df.select(*by, F.col(label).cast("bigint").alias("pos"), F.explode(cells).alias("c")).select(*by, "pos", "c.*")
-        hist = long.groupBy(*by, "draw", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"))
-        ranked = ranks.cumulate(hist, "h", ["n", "pos"], [*by, "draw"], edges)
-        return ranked.groupBy(*by, "draw").agg(F.max(F.when(F.col("n_before") < F.col("pos_total"), F.col("h"))).alias("cut"))
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("draw"), hashed(i).alias("h")) for i in draws])).alias("c")
+        bits = F.least(F.lit(20), F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / CUT_ROWS)).cast("int")))
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_ones")).where(F.col("_ones") > 0).select(*by, "_ones", bits.alias("_bits"))
+        whole_size = None if by else (sizes.first() or (0, 0))
+
+        def long(cut_finer: bool) -> DataFrame:
+            if by:
+                rows = df.select(*by, key).join(sizes.where((F.col("_bits") > 0) == F.lit(cut_finer)), list(by))
+            else:
+                rows = df.select(key, *[F.lit(v).alias(n) for n, v in zip(("_ones", "_bits"), whole_size)]).where(F.lit(whole_size[0] > 0 and (whole_size[1] > 0) == cut_finer))
+            return rows.select(*by, "_ones", "_bits", cells).select(*by, "_ones", "c.*", F.expr("shiftright(c.h, 53 - _bits)").alias("_range"))
+
+        totals = long(True).groupBy(*by, "draw", "_range").agg(F.count(F.lit(1)).alias("_rows"), F.max("_ones").alias("_ones"))
+        before = F.sum("_rows").over(Window.partitionBy(*by, "draw").orderBy("_range")) - F.col("_rows")
+        held = totals.withColumn("_left", F.col("_ones") - before).where((F.col("_left") > 0) & (F.col("_left") <= F.col("_rows")))
+        finer = long(True).join(held.select(*by, "draw", "_range", "_left"), [*by, "draw", "_range"])
+        one = long(False).withColumn("_left", F.col("_ones"))
+        placed = one.unionByName(finer).withColumn("_at", F.row_number().over(Window.partitionBy(*by, "draw").orderBy("h")))
+        return placed.where(F.col("_at") == F.col("_left")).select(*by, "draw", F.col("h").alias("cut"))
 
     inside = range(n_global, n_global + n_within)
     whole = {r["draw"]: r["cut"] for r in cuts(range(n_global), []).collect()} if n_global else {}
@@ -46,7 +63,7 @@ def permuted_labels(df: DataFrame, n_global: int, n_within: int, seed: int = SEE
     rows = df
     if n_within:
         held = cuts(inside, [group]).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("draw", "cut"))).alias("_cuts"))
-        rows = df.join(held, group)
+        rows = df.join(held, group, "left")  # a group without ones has no cuts
         labels += [hashed(i) <= F.col("_cuts")[i - n_global]["cut"] for i in inside]
     return rows.withColumn(out, F.array(*[F.coalesce(c, F.lit(False)).cast("tinyint") for c in labels])).drop("_cuts")
 

@@ -216,3 +216,30 @@ def test_scores_of_drops_and_checks_are_not_shuffled_one_by_one(rows, monkeypatc
         assert abs(got[m] - ((pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2)) < 1e-9
     drops = {r["bloco"]: r["queda_media"] for r in robustness.linear_drops(made, rows, {"taxa": ["mun_taxa_alfab_lag1"], "nada": []}, 2).collect()}
     assert drops["nada"] == 0 and drops["taxa"] > 0.02
+
+
+def test_labels_of_a_set_share_its_curvature(rows, monkeypatch):
+    """Many labels: the same models as one by one, though a model's own curvature is not summed in every step."""
+    labelled = robustness.permuted_labels(rows, 5, 3, 5)
+    sent, summed = [], batched._summed
+    monkeypatch.setattr(batched, "_summed", lambda *a: sent.append(summed(*a)) or sent[-1])
+    made = M.logistic(FEATURES, "l").batch(labelled, batched.fold_sets(3), F.col("_labels"), n_labels=9)
+    lengths = [len(v) for step in sent[1:] for v in step.values()]
+    assert sum(n > 100 for n in lengths) < len(lengths) / 2
+    for l in (0, 2, 8):
+        alone = M.logistic(FEATURES, "l").batch(labelled.withColumn("_own", F.col("_labels")[l]), batched.fold_sets(3), "_own")
+        for t in range(3):
+            assert np.allclose(made.fitted.beta[3 * l + t], alone.fitted.beta[t], atol=1e-7)
+
+
+@pytest.mark.parametrize("fine", [2, 10_000])
+def test_cuts_of_labels_in_ranges(rows, monkeypatch, fine):
+    """Ranges of two rows or of all: the ones are the rows of the smallest hashes, and a group without ones keeps its rows."""
+    monkeypatch.setattr(robustness, "CUT_ROWS", fine)
+    some = rows.withColumn(C.TARGET, F.when(F.col(C.GROUP) == 3, 0).otherwise(F.col(C.TARGET)))
+    h = [F.shiftrightunsigned(F.xxhash64(F.lit(5), F.lit(i), "row_id"), 11).alias(f"h{i}") for i in (0, 1)]
+    got = robustness.permuted_labels(some, 1, 1, 5).select(C.GROUP, C.TARGET, "_labels", *h).toPandas()
+    assert len(got) == 1200 and got[got[C.GROUP] == 3]._labels.map(sum).sum() == got[got[C.GROUP] == 3]._labels.map(lambda v: v[1]).sum()
+    assert (got._labels.map(lambda v: v[1]) == (got.h0.rank() <= got[C.TARGET].sum())).all()
+    of_group = got.groupby(C.GROUP)
+    assert (got._labels.map(lambda v: v[2]) == (of_group.h1.rank() <= of_group[C.TARGET].transform("sum"))).all()
