@@ -77,3 +77,12 @@ def test_one_column_rule_in_folds_equals_single_fits(spark):
         alone = rule.fit(df.where(F.col("fold") != f), 1).score(df.where(F.col("fold") == f)).collect()
         assert len(alone) == 300 and all(abs(together[r["row_id"]] - r[M.SCORE]) < 1e-12 for r in alone)
     assert len(together) == n and len({round(together[i], 12) for i in range(0, n, 33)}) <= 3
+
+
+def test_bridges_are_sought_without_shuffling_the_blocks(spark, monkeypatch):
+    """Points are dealt to their cells once; the steps and the last reading take the stored partitions as they are."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    dealt, plain = [], DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, *a: dealt.append(a) or plain(self, *a))
+    isotonic.fit(spark.range(600).selectExpr("0 AS curve", "id AS x", "1 AS n", "(id * 7919) % 13 AS s"))
+    assert len(dealt) == 1
