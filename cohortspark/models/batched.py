@@ -332,6 +332,8 @@ def _check_edges(packed: DataFrame, gamma: np.ndarray, checks: Sequence[tuple[in
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x, s, _ = next(unpacked(iter([batch])))
             p = _sigmoid(x @ gamma)
             found = [(number, np.quantile(p[s[:, t] == inside, m], probs)) for number, (m, t, inside) in enumerate(checks) if (s[:, t] == inside).any()]

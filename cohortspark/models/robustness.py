@@ -257,6 +257,8 @@ def linear_drops(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rep, label, p, q = (batch.column(i) for i in range(4))
             p, q = (c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1).T for c in (p, q))
             margins = []
