@@ -6,8 +6,10 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -566,6 +568,61 @@ def test_contexts_are_the_words_before(spark, corpus, monkeypatch, head):
     assert said[1] > said[2] + 0.5
 
 
+@pytest.mark.parametrize("head, pairs", [(1 << 18, 1 << 20), (1 << 18, 30), (20, 1 << 20), (20, 10)])
+def test_scores_by_the_formula(spark, corpus, monkeypatch, head, pairs):
+    """Scores are those of the formula over the model's rows, wherever a word, its context or their pair is looked up."""
+    monkeypatch.setattr(lm, "HEAD_WORDS", head)
+    monkeypatch.setattr(lm, "HEAD_PAIRS", pairs)
+    texts = frame(spark, corpus[:80]).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    model, totals = lm.train(texts)
+    name = lambda x: int(totals.ids[x]) if x < len(totals.ids) else x
+    rows = {name(r["word"]): r for r in model.collect()}
+    seats = {(name(g), w): (c, t) for w, r in rows.items() for g, c, t in zip(r["gs"], r["cs"], r["ts"])}
+    context = {r["hash"]: (r["customers"], r["tables"]) for r in totals.contexts.collect()}
+    said = {i: r["score"] for r in lm.score(frame(spark, corpus), model, totals).collect() for i in [r["doc_id"]]}
+    for i, t, _ in corpus[:130]:
+        seq = [int(x) for x in lm.hashed([lm.END, *[w.encode() for w in BLANK.findall(low(t))], lm.END])]
+        want = 0.0
+        for u, w in zip(seq, seq[1:]):
+            (customers, tables), (c, t1) = context.get(u, (0, 0)), seats.get((u, w), (0, 0))
+            p0 = totals.root(rows[w]["c0"], rows[w]["t0"]) if w in rows else totals.root(0.0, 0.0)
+            want += math.log10((c - totals.discount * t1 + (lm.STRENGTH + totals.discount * tables) * p0) / (lm.STRENGTH + customers))
+        assert math.isclose(said[i], want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_texts_are_read_alike(monkeypatch):
+    """Words of texts with odd white space, whether a chunk ends inside a batch or spans some."""
+    draw = random.Random(4)
+    for size in (1, 10, 50, 1 << 20):
+        monkeypatch.setattr(lm, "CHUNK_BYTES", size)
+        texts = ["".join(draw.choice("AbZé\x1c\x85   \t\n\x0b\x0c\r\0") for _ in range(draw.randrange(12))) for _ in range(40)]
+        batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts], pa.binary()), pa.array(range(40))], names=["text", "row"])
+        got = list(lm.read(iter([batch.slice(0, 7), batch.slice(7, 0), batch.slice(7)])))
+        assert [r for rows, _, _ in got for r in rows] == [(i,) for i in range(40)]
+        want = lm.hashed([w for t in texts for w in [lm.START, *[x.encode() for x in BLANK.findall(low(t))], lm.END]])
+        assert np.concatenate([hashes[tokens] for _, tokens, hashes in got]).tolist() == want.tolist()
+        assert all(np.bincount(tokens, minlength=len(hashes)).min() > 0 for _, tokens, hashes in got)
+
+
+def test_model_takes_little_disk(spark, tmp_path):
+    """What training and scoring stage and shuffle is a few bytes a token: pairs are packed, and those met once are not seated."""
+    draw = np.random.default_rng(3)
+    words = np.minimum(draw.zipf(1.3, 400_000), 200_000)
+    texts = [" ".join(f"w{x}" for x in part) for part in np.split(words, 400)]
+    docs = stored(spark, [(i, t, "s") for i, t in enumerate(texts)], tmp_path)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shared = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+
+    def files():
+        found = manager.getAllFiles()
+        shuffled = {f.getPath(): f.length() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_")}
+        return shuffled | {str(p): p.stat().st_size for p in shared.glob("staged-*/*.parquet")}
+
+    before = files()
+    assert lm.scored(docs).count() == 400
+    assert sum(n for p, n in files().items() if p not in before) < 3.4 * len(words)
+
+
 def one_by_one(c, a, d):
     """Probabilities of 1..c tables after c customers, by the step-wise recursion."""
     p = np.zeros(c + 1)
