@@ -248,10 +248,12 @@ def frequent_phrases(documents: DataFrame, text: str = "text", lang: str = "lang
 
 
 def _with_count(rows: DataFrame, known: DataFrame, part: str, name: str) -> DataFrame:
-    """``rows`` with the count of the phrase in ``part``; a part that many rows share is dealt among salts."""
+    """``rows`` with the count of the phrase in ``part``; a part that many rows share is dealt among salts.
+
+    Spark takes an exploded table to be as large as its file and would send all the copies through the driver, hence the hint."""
     salted = known.select(F.col("lang").alias("known_lang"), "phrase", F.col("f").alias(name), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     on = (F.col("lang") == F.col("known_lang")) & (F.col(part) == salted["phrase"]) & (F.pmod(F.xxhash64("candidate"), F.lit(SALTS)) == F.col("salt"))
-    return rows.join(salted, on).drop("known_lang", "phrase", "salt")
+    return rows.join(salted.hint("merge"), on).drop("known_lang", "phrase", "salt")
 
 
 def scored(phrases: DataFrame, inside: int = INSIDE) -> DataFrame:
@@ -266,7 +268,7 @@ def scored(phrases: DataFrame, inside: int = INSIDE) -> DataFrame:
     parts = longer.where("words > 2").select("lang", "a", "w", "words", F.explode(F.sequence(F.lit(2), F.col("words") - 1)).alias("size"))
     parts = parts.select("lang", "a", "w", "size", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("size") + 1)).alias("first"))
     held = parts.select(F.col("lang").alias("in_lang"), span(F.col("first"), F.col("size")).alias("part"), "a").groupBy("in_lang", "part").agg(F.max("a").alias("most"))
-    left = best.join(held, (F.col("lang") == F.col("in_lang")) & (F.col("candidate") == F.col("part")), "left")
+    left = best.join(held.hint("merge"), (F.col("lang") == F.col("in_lang")) & (F.col("candidate") == F.col("part")), "left")
     product = lambda factor, c: F.lit(factor).cast("decimal(3,0)") * F.col(c).cast("decimal(19,0)")
     left = left.where(F.col("most").isNull() | (product(100, "most") < product(inside, "cut.a")))
     return left.select("lang", F.col("candidate").alias("phrase"), "cut.a", "cut.l", "cut.r", "cut.score")

@@ -73,6 +73,16 @@ def test_counts_beyond_64_bit_products(spark):
     assert got == {"a b": (big, 2_000_000 * big // (2 * big + 1)), "a b c": (40, 2_000_000 * 40 // (2 * big))}
 
 
+def test_no_table_of_phrases_is_broadcast(spark, tmp_path):
+    """An exploded table counts as its file, a sixteenth of its rows: Spark would gather it in the driver."""
+    rows = [("en", "a", 1, 50), ("en", "b", 1, 60), ("en", "c", 1, 40), ("en", "a b", 2, 45), ("en", "b c", 2, 40), ("en", "a b c", 3, 30)]
+    spark.createDataFrame(rows, "lang string, phrase string, words int, f long").write.parquet(f"{tmp_path}/known")
+    got = collocations.scored(spark.read.parquet(f"{tmp_path}/known"))
+    assert {r["phrase"]: (r["a"], r["l"], r["r"]) for r in got.collect()} == {"a b": (45, 50, 60), "b c": (40, 60, 40), "a b c": (30, 50, 40)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_multikey_quicksort():
     draw = np.random.default_rng(4)
     keys = [draw.integers(0, 4, 500) for _ in range(4)]
