@@ -77,6 +77,28 @@ def test_candidates_and_calibration(spark, cohort, dealt):
     assert abs(gain.ganho_brier - (gain.brier_bruto - gain.brier_calibrado)) < 1e-12
 
 
+def test_folds_fitted_together_score_as_one_by_one(spark, cohort, dealt):
+    tree = M.boosting(FEATURES, "b", maxIter=3, maxDepth=2, minInstancesPerNode=5)
+    (alone, _), (both, seconds) = (M.out_of_fold(dealt, tree, 3, together=n) for n in (1, 3))
+    assert alone.count() == 1500 and alone.exceptAll(both).count() == both.exceptAll(alone).count() == 0 and set(seconds) == {0, 1, 2}
+    assert M.fits_at_once(dealt.coalesce(1), 3) == 3 and M.fits_at_once(dealt.repartition(64), 3) == 1
+
+
+def test_comparison_fits_the_whole_models(spark, cohort, monkeypatch):
+    """The forest and the boosting of the comparison have all features and the reference's trees, over five folds."""
+    from cohortspark.queries import modelling
+    asked = {}
+    monkeypatch.setattr(modelling, "matrix", lambda spark, folder: cohort[0])
+    monkeypatch.setattr(modelling.M, "evaluate_in_folds", lambda df, models, k, **more: asked.update(df=df, k=k, models={c.name: c for c in models}) or df.withColumns({"segundos": F.lit(0), "papel": F.lit("")}))
+    modelling.candidate_comparison(spark, "")
+    assert asked["k"] == 5 and asked["df"].select("fold").distinct().count() == 5
+    assert list(asked["models"]) == ["dummy_prior", "heuristica_taxa_municipal", "heuristica_proficiencia_municipal", "logistica_podada", "random_forest", "boosting_padrao"]
+    forest, boosting = asked["models"]["random_forest"], asked["models"]["boosting_padrao"]
+    assert forest.features == boosting.features == C.MODEL_FEATURES
+    assert forest.extra == {"numTrees": 200, "maxDepth": 16, "minInstancesPerNode": 500, "featureSubsetStrategy": "sqrt"}
+    assert boosting.extra == {"maxIter": 400, "stepSize": 0.05, "maxDepth": 6, "minInstancesPerNode": 200, "subsamplingRate": 0.8}
+
+
 def test_logistic_matches_newton(cohort):
     df, pdf = cohort
     scorer = M.logistic(("mun_n_alunos_lag1", "nome_regiao"), "l").fit(df, 1)
